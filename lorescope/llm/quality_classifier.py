@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
-Seven heuristic labellers vote good, bad or nothing on each document; they overlap, and none is right
-always. Expectation-maximisation over the counts of vote patterns (at most 3^7, whatever the corpus)
+Eight heuristic labellers vote good, bad or nothing on each document; they overlap, and none is right
+always. Expectation-maximisation over the counts of vote patterns (at most 2^8, whatever the corpus)
 estimates each labeller's accuracy and the share of good documents. The posteriors label a bounded
 sample, on which logistic regression over hashed features of the text is trained, which then scores all.
 
@@ -20,50 +20,56 @@ from .common import SPACE, sampled, settled, text_or_empty
 
 TRAIN_ROWS = 8000
 FEATURES = 1 << 12
+#: Tokens that every document has, so that a few words alone can't weigh much.
+BASE_TOKENS = 20
 PRIOR_GOOD = 0.85
 #: A labeller is taken to be right more often than not to begin with.
 START_ACCURACY = 0.8
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, the votes (1 good, 0 bad, -1 none) and tokens, the shapes of words and of repeats."""
+def voted(docs: DataFrame) -> DataFrame:
+    """doc_id and the votes: 1 good, 0 bad, -1 none."""
     text = F.col("text")
     df = docs.select("doc_id", text_or_empty().alias("text"))
-    df = df.withColumns({"w": F.array_remove(F.split(text, SPACE), ""), "n_chars": F.length(text)})
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\p{Ll}]{2,}", "aa"), r"[\p{Lu}]{2,}", "AA"), "[0-9]+", "0")
-    repeats = F.zip_with("w", F.slice("w", 2, 2**30), lambda a, b: F.when(a == b, F.lit("=same=")).otherwise(F.lit("=new=")))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumns({"w": F.array_remove(F.split(text, SPACE), ""), "rows": F.array_remove(F.split(text, "\n"), ""), "chars": F.greatest(F.length(text), F.lit(1))})
     df = df.withColumns(
         {
             "n": F.size("w"),
             "distinct": F.size(F.array_distinct("w")),
-            "same": F.size(F.filter(repeats, lambda x: x == "=same=")),
-            "upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-            "signs": F.length(F.regexp_replace(text, r"[^#*$%&|<>!]+", "")),
-            "long": F.size(F.filter("w", lambda x: F.length(x) > 14)),
-            "lines": F.size(lines),
-            "other_lines": F.size(F.array_distinct(lines)),
-            "tokens": F.concat(F.array_remove(F.split(shape, SPACE), ""), F.filter(repeats, lambda x: x.isNotNull())),
+            "same": F.size(F.filter(F.zip_with("w", F.slice("w", 2, 2**30), lambda a, b: a == b), lambda x: x)),
+            "upper": F.length(F.regexp_replace(text, "[^A-Z]+", "")),
+            "signs": F.length(F.regexp_replace(text, "[^#*$%&|<>!]+", "")),
+            "bars": F.size("w") - F.size(F.array_remove("w", "|")),
+            "lines": F.size("rows"),
+            "other_lines": F.size(F.array_distinct("rows")),
         }
     )
-
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, 0).when(good, 1).otherwise(-1)
-
-    n, chars = F.greatest("n", F.lit(1)), F.greatest("n_chars", F.lit(1))
-    votes = [
-        vote(F.col("signs") > 0.04 * chars, F.col("signs") < 0.005 * chars),
-        vote(F.col("upper") > 0.3 * chars, F.col("upper") < 0.1 * chars),
-        vote(F.col("same") > 0.2 * n, F.col("same") < 0.02 * n),
-        vote(F.col("distinct") < 0.25 * n, F.col("distinct") > 0.45 * n),
-        vote((F.col("lines") >= 4) & (F.col("other_lines") < 0.5 * F.col("lines")), (F.col("lines") >= 3) & (F.col("other_lines") > 0.9 * F.col("lines"))),
-        vote(F.col("n") < 5, F.col("n") >= 40),
-        vote(F.col("long") > 0.3 * n, F.col("long") < 0.15 * n),
+    n, chars = F.col("n"), F.col("chars")
+    bad = [
+        F.col("signs") > 0.03 * chars,
+        F.col("upper") > 0.3 * chars,
+        F.col("same") > 0.15 * n,
+        (n >= 20) & (F.col("distinct") < 0.3 * n) & (n < 2000),
+        (F.col("lines") >= 4) & (F.col("other_lines") < 0.6 * F.col("lines")),
+        F.col("bars") > 0.1 * n,
+    ]
+    good = [
+        (n >= 1) & (F.col("signs") < 0.005 * chars) & (F.col("upper") < 0.1 * chars) & (F.col("same") < 0.02 * n),
+        (n >= 1) & ((F.col("distinct") > 0.4 * n) | (n >= 2000)) & (F.col("bars") == 0) & (F.col("other_lines") >= 0.9 * F.col("lines")),
     ]
-    return df.select("doc_id", F.array(*votes).alias("votes"), "tokens")
+    votes = [F.when(b, 0).otherwise(-1) for b in bad] + [F.when(g, 1).otherwise(-1) for g in good]
+    return df.select("doc_id", F.array(*votes).alias("votes"))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """docs with tokens: how each word ends, a mark for each word that repeats the one before, and the base tokens."""
+    words = docs.withColumn("w", F.array_remove(F.split(text_or_empty(), SPACE), ""))
+    ends = F.transform("w", lambda x: F.substring(x, -2, 2))
+    repeats = F.filter(F.zip_with("w", F.slice("w", 2, 2**30), lambda a, b: F.when(a == b, F.lit("=same="))), lambda x: x.isNotNull())
+    return words.withColumn("tokens", F.concat(ends, repeats, F.array_repeat(F.lit("=base="), BASE_TOKENS))).drop("w", "text")
 
 
-LABELLERS = 7
+LABELLERS = 8
 
 
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -94,7 +100,7 @@ def posteriors(patterns: np.ndarray, chance: np.ndarray, good: float) -> np.ndar
 
 def weak_labels(votes: DataFrame) -> DataFrame:
     """(votes, posterior) of every vote pattern that occurs."""
-    rows = votes.groupBy("votes").count().collect()  # at most 3^7
+    rows = votes.groupBy("votes").count().collect()  # at most 2^8
     if not rows:
         return votes.sparkSession.createDataFrame([], "votes array<int>, posterior double")
     rows.sort(key=lambda r: r["votes"])
@@ -108,18 +114,27 @@ def _features(df: DataFrame) -> DataFrame:
     return Normalizer(p=1.0, inputCol="__tf", outputCol="features").transform(counted).drop("__tf", "tokens")
 
 
-def scored(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, posterior (of the labellers), score (of the trained scorer) and kept (score of 0.5 or more)."""
-    df = described(docs)
-    labels = F.broadcast(weak_labels(settled(df.select("votes"))))  # at most 3^7 rows
-    sample = settled(_features(described(sampled(docs.select("doc_id", "text"), "doc_id", rows)).join(labels, "votes")).drop("votes"))
-    sides = sample.agg(F.min("posterior"), F.max("posterior")).first()
+def trained(docs: DataFrame, rows: int = TRAIN_ROWS):
+    """The linear scorer, or None if no document of the sample is weakly labelled good, or none bad."""
+    labels = F.broadcast(weak_labels(voted(docs)))  # at most 2^8 rows; counted over the whole corpus
+    sample = settled(sampled(docs.select("doc_id", "text"), "doc_id", rows))
+    votes = voted(sample).join(labels, "votes").select("doc_id", "posterior").groupBy("doc_id").agg(F.avg("posterior").alias("posterior"))
+    points = settled(_features(described(sample)).join(votes, "doc_id").select("features", "posterior"))
+    sides = points.agg(F.min("posterior"), F.max("posterior")).first()
     if sides[0] is None or sides[0] >= 0.5 or sides[1] < 0.5:
-        out = df.join(labels, "votes").select("doc_id", "posterior", F.col("posterior").alias("score"))
+        return None
+    both = points.select("features", F.lit(1.0).alias("label"), F.col("posterior").alias("weight")).union(points.select("features", F.lit(0.0), 1 - F.col("posterior")))
+    return LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=50).fit(both.filter("weight > 1e-6"))
+
+
+def scored(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, score and kept (score of 0.5 or more)."""
+    docs = docs.select("doc_id", "text")
+    model = trained(docs, rows)
+    if model is None:
+        out = voted(docs).join(F.broadcast(weak_labels(voted(docs))), "votes").select("doc_id", F.col("posterior").alias("score"))
     else:
-        both = sample.select("features", F.lit(1.0).alias("label"), F.col("posterior").alias("weight")).union(sample.select("features", F.lit(0.0), 1 - F.col("posterior")))
-        model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=50).fit(both.filter("weight > 1e-6"))
-        out = model.transform(_features(df.join(labels, "votes"))).select("doc_id", "posterior", vector_to_array("probability")[1].alias("score"))
+        out = model.transform(_features(described(docs))).select("doc_id", vector_to_array("probability")[1].alias("score"))
     return out.withColumn("kept", F.col("score") >= 0.5)
 
 

@@ -1,9 +1,9 @@
 """Quality rules in DataFrame functions alone: counts of a text, and how far its histograms lie from its language's.
 
 Each document has a histogram of character classes and one of its language's common words (and all
-others). Their Jensen-Shannon distances (base 2, 0 to 1) to the language's reference, which is the sum over the
-corpus's documents in that language that pass the base rules, are held to limits, if the document
-is long enough for its histogram to mean something.
+others). Their Jensen-Shannon distances (base 2, 0 to 1) to the language's reference are held to limits, if the
+document is long enough for its histogram to mean something. A reference is the sum over the corpus's plain
+documents in that language: those that pass the base rules, repeat no line and have few symbols.
 
 Defined results. A null or blank text has no words and fails the base rules. A null or unknown lang is a
 language of its own, without common words. Repeated rows are judged alike, an empty table gives no row,
@@ -24,7 +24,9 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "los", "se"],
 }
 #: The divergences count from this number of words on, and these are the largest that pass.
-JUDGED_WORDS, MOST_CHARS, MOST_COMMON = 80, 0.12, 0.45
+JUDGED_WORDS, MOST_CHARS, MOST_COMMON = 80, 0.18, 0.24
+#: A plain document has at least so many words for each symbol.
+PLAIN_SYMBOLS = 50
 _ALL = sorted({w for words in COMMON.values() for w in words})
 
 
@@ -95,9 +97,9 @@ def base_failed() -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """For each language both histograms summed over the documents that pass the base rules."""
+    """For each language both histograms summed over its plain documents."""
     sums = [F.sum(F.col("chars")[k]) for k in range(7)], [F.sum(F.col("common")[k]) for k in range(9)]
-    return counted.filter(~base_failed()).groupBy("lang").agg(F.array(*sums[0]).alias("ref_chars"), F.array(*sums[1]).alias("ref_common"))
+    return counted.filter(~base_failed() & (F.col("n_dup_lines") == 0) & (PLAIN_SYMBOLS * F.col("n_symbols") <= F.col("n_words"))).groupBy("lang").agg(F.array(*sums[0]).alias("ref_chars"), F.array(*sums[1]).alias("ref_common"))
 
 
 def divergence(counts: Column, ref: Column, n: int) -> Column:
@@ -163,7 +165,7 @@ hist as (
   from counted),
 refs as (
   select lang, [{', '.join(f'sum(chars[{k}])' for k in range(1, 8))}] as rc, [{', '.join(f'sum(common[{k}])' for k in range(1, 10))}] as rw
-  from hist where not base_failed group by lang),
+  from hist where not base_failed and n_dup_lines = 0 and {PLAIN_SYMBOLS} * n_symbols <= n_words group by lang),
 far as (
   select hist.*, {js('chars', 'rc', 7)} as dc, {js('common', 'rw', 9)} as dw from hist left join refs using (lang))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
