@@ -1,11 +1,11 @@
 """License scans in DataFrame functions alone: MinHash bands find windows like a template's, exact containment verifies.
 
-Texts are words, words are shingles of five, and a window is four shingles in a row; windows start at
-every second shingle, so each shingle is in two. Templates give all their windows, those cut off at either end too. A band
-is one MinHash value. A text window that shares one shingle of four with a template window has a chance of
-1/4 in each of 16 bands, in two windows, so that less than 1 in 9,000 lone shingles is missed; a window that agrees
-entirely always collides. For the windows found, shingles are compared one by one, and a template is
-in a document if it holds at least 0.8 of the template's shingles.
+Texts are words, words are shingles of five, and a window is two shingles in a row; windows start at every
+shingle, so each is in two. Templates give all their windows, and their shingles each alone. A band is one MinHash
+value. A text window that shares one of its two shingles with a template has a chance of 1/2 in each
+of 8 bands, in two windows, so that one lone shingle in 65,000 is missed; a window that agrees entirely
+always collides. For the windows found, shingles are compared one by one, and a template is in a
+document if that holds at least 0.8 of the template's shingles.
 
 Words are runs of ASCII letters, digits and other non-ASCII characters, in lower case. A template of fewer
 than five words has no shingle and can't be found.
@@ -32,55 +32,50 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-SHINGLE, PER_WINDOW, STRIDE, BANDS = 5, 4, 2, 16
+SHINGLE, PER_WINDOW, BANDS = 5, 2, 8
 CONTAINMENT = 0.8
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN = SHINGLE + PER_WINDOW - 1
+SHINGLES = [f"s{k}" for k in range(PER_WINDOW)]
 
 
 def hashed_words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), BREAKS), ""), lambda w: F.xxhash64(w))
 
 
-def windows(df: DataFrame, keys: list[str], stride: int) -> DataFrame:
-    """keys and s0..s3, the hashes of a window's shingles, null where the text has ended."""
-    df = df.withColumn("n", F.size("h"))
-    # h is used twice here, so that it is computed once and not for each window
-    starts = F.when(F.col("n") >= SHINGLE, F.sequence(F.lit(1), F.col("n") - (SHINGLE - 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    df = df.select(*keys, F.explode(F.transform(starts, lambda i: F.slice(F.col("h"), i, SPAN))).alias("v"))
-    shingle = [F.when(F.size("v") >= k + SHINGLE, F.xxhash64(*[F.get("v", F.lit(k + j)) for j in range(SHINGLE)])).alias(f"s{k}") for k in range(PER_WINDOW)]
-    return df.select(*keys, *shingle)
+def windows(df: DataFrame, key: str) -> DataFrame:
+    """key and s0, s1: hashes of a window's shingles, null where the text has ended. df has key and h, the hashed words."""
+    ahead = F.arrays_zip(*[(F.col("h") if k == 0 else F.slice("h", k + 1, 2**30)).alias(f"w{k}") for k in range(SPAN)])
+    df = df.select(key, F.inline(ahead))
+    return df.select(key, *[F.when(F.col(f"w{k + SHINGLE - 1}").isNotNull(), F.xxhash64(*[f"w{k + j}" for j in range(SHINGLE)])).alias(f"s{k}") for k in range(PER_WINDOW)]).filter("s0 is not null")
 
 
 def bands() -> list[Column]:
-    """MinHash of s0..s3 under each band's own hash."""
-    return [F.least(*[F.when(F.col(f"s{k}").isNotNull(), F.xxhash64(F.col(f"s{k}"), F.lit(b))) for k in range(PER_WINDOW)]) for b in range(BANDS)]
+    """MinHash of a window's shingles under each band's own hash."""
+    return [F.least(*[F.when(F.col(s).isNotNull(), F.xxhash64(F.col(s), F.lit(b))) for s in SHINGLES]) for b in range(BANDS)]
 
 
 def indexed(spark, templates: dict[str, str]) -> DataFrame:
-    """(license, band, minhash, shingle...) of every window of the templates, whole or cut off at an end."""
+    """(license, s0, s1) of the templates' windows, and of their shingles each alone."""
     df = spark.createDataFrame(list(templates.items()), "license string, text string").select("license", hashed_words(F.col("text")).alias("h"))
-    whole = windows(df, ["license"], 1)
-    s = [F.col(f"s{k}") for k in range(PER_WINDOW)]
-    none = F.lit(None).cast("long")
-    heads = [whole.select("license", *[(s[k] if k < n else none).alias(f"s{k}") for k in range(PER_WINDOW)]) for n in range(1, PER_WINDOW)]
-    return reduce(DataFrame.union, heads, whole).distinct()
+    whole = windows(df, "license")
+    return whole.union(whole.select("license", "s0", F.lit(None).cast("long"))).distinct()
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, matched (shingles of it that the document has) and containment."""
     spark = docs.sparkSession
     index = settled(indexed(spark, templates or TEMPLATES))
-    shingles = settled(index.select("license", F.explode(F.array_compact(F.array(*[f"s{k}" for k in range(PER_WINDOW)]))).alias("shingle")).distinct())
+    shingles = settled(index.select("license", F.explode(F.array_compact(F.array(*SHINGLES))).alias("shingle")).distinct())
     minhashes = settled(index.select("license", F.posexplode(F.array(*bands())).alias("band", "minhash")).distinct())
     # at most some 16 numbers a template window, and templates are a parameter
     known: dict[int, set[int]] = {}
     for r in minhashes.select("band", "minhash").distinct().collect():
         known.setdefault(r["band"], set()).add(r["minhash"])
-    df = windows(docs.select("doc_id", hashed_words(text_or_empty()).alias("h")), ["doc_id"], STRIDE)
+    df = windows(docs.select("doc_id", hashed_words(text_or_empty()).alias("h")), "doc_id")
     hit = reduce(Column.__or__, [m.isin(sorted(known.get(b, ()))) for b, m in enumerate(bands())], F.lit(False))
     found = df.filter(hit)
-    s = F.array_compact(F.array(*[f"s{k}" for k in range(PER_WINDOW)]))
+    s = F.array_compact(F.array(*SHINGLES))
     near = found.select("doc_id", s.alias("s"), F.posexplode(F.array(*bands())).alias("band", "minhash"))
     near = near.join(F.broadcast(minhashes), ["band", "minhash"]).select("doc_id", "license", F.explode("s").alias("shingle"))
     held = near.join(F.broadcast(shingles), ["license", "shingle"]).groupBy("doc_id", "license", "shingle").agg(F.lit(1).alias("one"))
