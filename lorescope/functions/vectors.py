@@ -1,5 +1,7 @@
-"""Vectors as arrays, without leaving the JVM."""
+"""Vectors as arrays."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 TOKEN_BREAKS = r"[^\p{L}\p{N}]+"
@@ -31,10 +33,21 @@ def bucket(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
-def hash_embed(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """df with `vector`, counts of hashed tokens at length 1. No network, no model, no Python."""
+def _unit_counts(dim: int):
+    """Arrays of slot numbers to their counts at length 1, a whole Arrow batch at a time."""
+
+    @F.arrow_udf("array<double>")
+    def count(slots: pa.Array) -> pa.Array:
+        sizes, n = slots.value_lengths().to_numpy(zero_copy_only=False), len(slots)
+        at = np.repeat(np.arange(n), sizes) * dim + slots.flatten().to_numpy()
+        counts = np.bincount(at, minlength=n * dim).reshape(n, dim).astype("f8")
+        counts /= np.maximum(np.sqrt((counts**2).sum(axis=1, keepdims=True)), 1e-300)
+        return pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype="i4"), counts.ravel())
+
+    return count
+
+
+def hash_embed(df: DataFrame, text: str, dim: int = 64) -> DataFrame:
+    """df with `vector`, counts of hashed tokens at length 1; a text without tokens has zeros. No network and no model."""
     tokens = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), TOKEN_BREAKS), "")
-    slots = df.select("*", F.transform(tokens, lambda t: bucket(t, dim)).alias("__slots"))
-    # plain expressions: inside a lambda the slots would be worked out anew for each number if a filter is pushed below
-    held = slots.withColumn("__counts", F.array(*[(F.size("__slots") - F.size(F.array_remove(F.col("__slots"), i))).cast("double") for i in range(dim)]))
-    return held.withColumn("vector", l2_normalize(F.col("__counts"))).drop("__slots", "__counts")
+    return df.withColumn("vector", _unit_counts(dim)(F.transform(tokens, lambda t: bucket(t, dim))))

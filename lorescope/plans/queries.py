@@ -405,8 +405,8 @@ def o35(spark, sf_dir):
 
 @query("o37_hash_embed", _HASHED + "select doc_id, slot, round(n / len, 6) as x from slots join norms using (doc_id)")
 def o37(spark, sf_dir):
-    out = vectors.hash_embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    return out.select("doc_id", F.posexplode_outer("vector").alias("slot", "x")).filter("x > 0").select("doc_id", "slot", F.round("x", 6).alias("x"))
+    out = vectors.hash_embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return out.select("doc_id", F.posexplode("vector").alias("slot", "x")).filter("x > 0").select("doc_id", "slot", F.round("x", 6).alias("x"))
 
 
 # ---- search
@@ -416,7 +416,7 @@ QUESTION = "the and with this"
 
 
 def question(spark: SparkSession) -> list[float]:
-    return vectors.hash_embed(spark.createDataFrame([(QUESTION,)], "text string"), "text", "text").first()["vector"]
+    return vectors.hash_embed(spark.createDataFrame([(QUESTION,)], "text string"), "text").first()["vector"]
 
 
 _ASK = f"""{_HASHED.strip()}, qtoks as (select unnest(string_split('{QUESTION}', ' ')) as t),
@@ -427,7 +427,7 @@ scores as (select d.doc_id, d.lang, d.source, coalesce(sum(n * m) / any_value(le
 
 def _points_of_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return vectors.hash_embed(d, "doc_id", "text").select(F.col("doc_id").alias("id"), F.lit("tables").alias("metadata_type"), "lang", "source", "vector")
+    return vectors.hash_embed(d, "text").select(F.col("doc_id").alias("id"), F.lit("tables").alias("metadata_type"), "lang", "source", "vector")
 
 
 @query("o38_semantic_search", _ASK + "select doc_id as id, lang, round(score, 6) as score from scores where lang = 'en' order by scores.score desc, doc_id limit 10")
