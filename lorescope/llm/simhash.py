@@ -155,9 +155,9 @@ def links(nodes: DataFrame, bits: int = BITS, long_keys: bool = False, block: in
         def unit(part: pd.DataFrame) -> None:
             fp, role = part.fp.to_numpy().view("u8"), part.role.to_numpy()
             own, asking = fp[role == 0], fp[role == 1]
-            if len(own) and len(asking) and len(fp) > 2:
-                near = _near(own, asking, masks[part.start.iat[0]])
-                if near.sum() > len(own):
+            if len(own) and len(asking):
+                near = _near(own, asking, masks[part.start.iat[0]]) & (own[:, None] != asking[None, :])
+                if near.any():
                     found.update(zip(*(x.view("i8").tolist() for x in forest(own, asking, near)), strict=True))
 
         def out() -> pd.DataFrame:
