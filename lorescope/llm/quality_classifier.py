@@ -134,7 +134,7 @@ def scored(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     if model is None:
         out = voted(docs).join(F.broadcast(weak_labels(voted(docs))), "votes").select("doc_id", F.col("posterior").alias("score"))
     else:
-        out = model.transform(_features(described(docs))).select("doc_id", vector_to_array("probability")[1].alias("score"))
+        out = model.transform(_features(described(docs))).select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("score"))
     return out.withColumn("kept", F.col("score") >= 0.5)
 
 
