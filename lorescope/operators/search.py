@@ -118,25 +118,6 @@ def all_similar(points: DataFrame, limit: int = 5, block: int = BLOCK) -> DataFr
     return block_search(points, points.select(F.col("id").alias("query_id"), "vector"), limit, True, block)
 
 
-def hyperplane_keys(vector: Column, dim: int, bands: int, bits: int, seed: int = 7) -> Column:
-    """For each band the signs of `bits` fixed random projections, as an array of longs."""
-    planes = np.random.default_rng(seed).standard_normal((bands, bits, dim))
-
-    def side(plane) -> Column:
-        return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in plane]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) > 0
-
-    return F.array(*[sum((F.when(side(plane), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, plane in enumerate(band)), F.lit(0).cast("long")) for band in planes])
-
-
-def similar_by_lsh(points: DataFrame, dim: int, limit: int = 5, bands: int = 12, bits: int = 6) -> DataFrame:
-    """As all_similar(), but only among points that share a band: less work, and some hits are missed."""
-    keyed = points.select("id", "vector", F.posexplode(hyperplane_keys(F.col("vector"), dim, bands, bits)).alias("band", "key"))
-    other = keyed.select(F.col("id").alias("query_id"), F.col("vector").alias("__query"), "band", "key")
-    pairs = keyed.join(other, ["band", "key"]).filter(F.col("id") != F.col("query_id"))
-    pairs = pairs.groupBy("query_id", "id").agg(F.first("vector").alias("a"), F.first("__query").alias("b"))
-    return _ranked(pairs.select("query_id", "id", cosine(F.col("a"), F.col("b")).alias("score")), limit)
-
-
 def format_hits(hits: DataFrame, fields: list[str]) -> DataFrame:
     """rank, score to three decimals, and the fields that the hits have."""
     order = Window.orderBy(F.desc("score"), "id")  # over k rows

@@ -517,11 +517,6 @@ def o47(spark, sf_dir):
     return search.all_similar(view(spark, sf_dir, "points"), 5, block=1024).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("o47_similar_by_lsh")
-def o47b(spark, sf_dir):
-    return search.similar_by_lsh(view(spark, sf_dir, "points"), 64, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
 @query("o48_format_hits", _near("id <> 0", 10).replace("select id, metadata_type, round(s, 6) as score from scored order by s desc, id limit 10", "select cast(row_number() over (order by s desc, id) as int) as rank, format('{:.3f}', s) as score_text, id, metadata_type from scored order by s desc, id limit 10"))
 def o48(spark, sf_dir):
     p = view(spark, sf_dir, "points")

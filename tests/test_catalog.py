@@ -114,9 +114,6 @@ def test_search(spark):
     assert {r["metadata_type"] for r in search.similar_columns(p, "c1", "t1").collect()} == {"columns"}
     with pytest.raises(ValueError):
         search.similar_columns(p, "none", "t1")
-    found = {(r[0], r[1]) for r in search.similar_by_lsh(p, 8, 3).select("query_id", "id").collect()}
-    want = {(q, i) for q, i, *_ in exact}
-    assert len(found & want) / len(want) >= 0.8
 
 
 def test_search_plan(spark):
