@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine
 
-#: Queries up to this number are broadcast to the points; more are dealt into blocks.
-BROADCAST_QUERIES = 1000
 #: Points of one block of the all-pairs product; a unit of work holds two blocks.
 BLOCK = 4096
 
@@ -71,20 +69,12 @@ def _ranked(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def batch_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude_self: bool = False) -> DataFrame:
-    """(query_id, id, score, rank) for queries(query_id, vector). Their number is checked: few are
-    broadcast, more go through blocks."""
-    if queries.count() > BROADCAST_QUERIES:
-        return block_search(points, queries, limit, exclude_self)
-    near = points.select("id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("__query"))))
-    if exclude_self:
-        near = near.filter(F.col("id") != F.col("query_id"))
-    return _ranked(near.select("query_id", "id", cosine(F.col("vector"), F.col("__query")).alias("score")), limit)
+def batch_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): exact top-k of queries(query_id, vector) among points(id, vector).
 
-
-def block_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """Exact top-k of many queries against many points: both are dealt into blocks, each pair of blocks is a
-    matrix product in one task that gives `limit` rows a query, and the blocks' best are merged."""
+    Both are dealt into blocks, each pair of blocks is a matrix product in one task that gives `limit`
+    rows a query, and the blocks' best are merged. Scores of all pairs never leave a task.
+    """
     a, b = max(1, -(-queries.count() // block)), max(1, -(-points.count() // block))
 
     def dealt(df: DataFrame, key: str, own: int, other: int, side: int) -> DataFrame:
@@ -115,7 +105,7 @@ def block_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude
 
 def all_similar(points: DataFrame, limit: int = 5, block: int = BLOCK) -> DataFrame:
     """The nearest others of every point, exactly."""
-    return block_search(points, points.select(F.col("id").alias("query_id"), "vector"), limit, True, block)
+    return batch_search(points, points.select(F.col("id").alias("query_id"), "vector"), limit, True, block)
 
 
 def format_hits(hits: DataFrame, fields: list[str]) -> DataFrame:

@@ -105,11 +105,22 @@ def points(spark, n=40):
 
 def test_search(spark):
     p = points(spark)
-    exact = rows(search.all_similar(p, 3, block=7).select("query_id", "id", "rank", F.round("score", 6)))
-    queries = p.select(F.col("id").alias("query_id"), "vector")
-    assert exact == rows(search.batch_search(p, queries, 3, exclude_self=True).select("query_id", "id", "rank", F.round("score", 6)))
-    near = rows(search.similar_to(p, p.filter("id = 0"), 3).select("id"))
-    assert near == [(i,) for q, i, *_ in exact if q == 0] or sorted(near) == sorted((i,) for q, i, *_ in exact if q == 0)
+    import numpy as np
+
+    v = {r["id"]: np.array(r["vector"]) for r in p.collect()}
+    unit = {i: x / np.linalg.norm(x) for i, x in v.items()}
+    want = []
+    for q, x in unit.items():
+        near = sorted((-round(float(x @ y), 12), i) for i, y in unit.items() if i != q)[:3]
+        want += [(q, i, k + 1, round(-s, 6)) for k, (s, i) in enumerate(near)]
+    for block in (7, 4096):
+        found = search.all_similar(p, 3, block=block).select("query_id", "id", "rank", F.round("score", 6))
+        assert rows(found) == sorted(want, key=repr)
+    some = p.filter("id < 5").select(F.col("id").alias("query_id"), "vector")
+    assert rows(search.batch_search(p, some, 3, True, 16).select("query_id", "id", "rank", F.round("score", 6))) == sorted([w for w in want if w[0] < 5], key=repr)
+    assert search.batch_search(p, some, 1).filter("id <> query_id").count() == 0
+    assert search.batch_search(p, some.limit(0), 3).count() == 0
+    assert sorted(r["id"] for r in search.similar_to(p, p.filter("id = 0"), 3).collect()) == sorted(i for q, i, *_ in want if q == 0)
     assert search.similar_to(p, p.filter("id = -1")).count() == 0
     assert {r["metadata_type"] for r in search.similar_columns(p, "c1", "t1").collect()} == {"columns"}
     with pytest.raises(ValueError):
