@@ -51,7 +51,8 @@ def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows, chosen by a hash of the key so that reruns choose the same ones; all if there are fewer."""
+def sampled(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About `rows` rows, chosen by a hash of the keys so that reruns choose the same ones; all if there
+    are fewer. With the text among the keys, rows without an id or with a common one don't come all together."""
     n = df.count()
-    return df if n <= rows else df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(n)) < rows)
+    return df if n <= rows else df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) < rows)

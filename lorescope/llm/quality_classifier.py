@@ -117,7 +117,7 @@ def _features(df: DataFrame) -> DataFrame:
 def trained(docs: DataFrame, rows: int = TRAIN_ROWS):
     """The linear scorer, or None if no document of the sample is weakly labelled good, or none bad."""
     labels = F.broadcast(weak_labels(voted(docs)))  # at most 2^8 rows; counted over the whole corpus
-    sample = settled(sampled(docs.select("doc_id", "text"), "doc_id", rows))
+    sample = settled(sampled(docs.select("doc_id", "text"), rows, "doc_id", "text"))
     votes = voted(sample).join(labels, "votes").select("doc_id", "posterior").groupBy("doc_id").agg(F.avg("posterior").alias("posterior"))
     points = settled(_features(described(sample)).join(votes, "doc_id").select("features", "posterior"))
     sides = points.agg(F.min("posterior"), F.max("posterior")).first()

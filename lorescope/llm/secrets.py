@@ -53,7 +53,7 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 def ordinary_strings(docs: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:
     """The different words of a bounded sample of documents, joined as identifiers are, in either case."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9a-fA-F]{16,}|AKIA[A-Z0-9]+", " ")
-    found = sampled(docs.select("doc_id", "text"), "doc_id", rows).select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("s")).distinct()
+    found = sampled(docs.select("doc_id", "text"), rows, "doc_id", "text").select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("s")).distinct()
     joined = F.concat("s", F.lit("_"), "s", F.lit("-"), "s", F.lit("/"), "s", F.initcap("s"))
     return found.select(F.explode(F.array(joined, F.upper(joined))).alias("s"))
 

@@ -112,7 +112,7 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """text and toxic of a bounded sample of labelled rows that are not held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = sampled(settled(known), "doc_id", rows)
+    known = sampled(settled(known), rows, "doc_id")
     # about `rows` rows of two numbers, so the documents need not move
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
