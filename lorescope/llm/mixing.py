@@ -131,7 +131,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     text = row["text"]
     # what stands after the first `cut` words is the last field of a split into cut + 1
     tail = F.element_at(F.split(text, SPACE, F.col("cut").cast("int") + 1 + text.rlike("^" + SPACE).cast("int")), -1)
-    short = F.when(F.col("cut") > 0, F.substring(text, F.lit(1), F.length(text) - F.length(tail))).otherwise(text)
+    short = F.when(F.col("cut") > 0, F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), SPACE + "$", "")).otherwise(text)
     return held.select(*[(short if c == "text" else F.when(F.col("cut") > 0, F.length(short)).otherwise(row[c]).cast(docs.schema[c].dataType) if c == "n_chars" else row[c]).alias(c) for c in names])
 
 
