@@ -391,6 +391,25 @@ def o34(spark, sf_dir):
     return out.select("doc_id", F.col("vector")[0].cast("double").alias("a"), F.col("vector")[1].cast("double").alias("b"))
 
 
+def _flaky_provider():
+    """The same, but the first call in each task fails."""
+    calls, inner = [], _length_provider()
+
+    def call(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise RuntimeError("not yet")
+        return inner(texts)
+
+    return call
+
+
+@query("o36_batched_apply", "select doc_id, length(text)::double as a from documents")
+def o36(spark, sf_dir):
+    out = embed.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _flaky_provider, batch_size=10, retries=3, delay=0.01)
+    return out.select("doc_id", F.col("vector")[0].cast("double").alias("a"))
+
+
 _HASHED = r"""
 with toks as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as t from documents),
 slots as (select doc_id, (('0x' || substr(md5(t), 1, 8))::bigint % 64)::int as slot, count(*) as n from toks group by 1, 2),

@@ -59,6 +59,15 @@ def test_diff_and_incremental(spark):
     assert rows(changes.incremental(a, listing, b, "id", force_full=True).select("id", "v")) == [(1, "new"), (2, "new"), (4, "new")]
 
 
+def test_children_of_unchanged_parents_are_kept(spark):
+    old = spark.createDataFrame([("t1", "old"), ("t2", "old"), ("t3", "old")], "id string, v string")
+    fresh = spark.createDataFrame([(f"t{i}", "new") for i in range(1, 6)], "id string, v string")
+    listing = spark.createDataFrame([("t1", "b1", "x", "y"), ("t2", "b2", "x", "y"), ("t3", "b2", "x", "x"), ("t4", "b1", "x", None), ("t5", "b2", "x", None)], "id string, bucket string, content_hash string, previous_hash string")
+    buckets = spark.createDataFrame([("b1", True), ("b2", False)], "bucket string, unchanged boolean")
+    out = changes.incremental(old, listing, fresh, "id", buckets, "bucket")
+    assert rows(out.select("id", "v")) == [("t1", "old"), ("t2", "new"), ("t3", "old"), ("t4", "new"), ("t5", "new")]
+
+
 def test_ids_and_hashes(spark):
     ns = uuid.UUID(identity.NAMESPACE)
     df = spark.createDataFrame([("x",), ("é",)], "n string")
