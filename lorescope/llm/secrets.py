@@ -27,7 +27,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: The model's own kind: runs of at least so many of these characters.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-RUN_SQL = "[A-Za-z0-9+/_=-]+"
 RANDOM = "random"
 LEAST_RATIO, LEAST_TOTAL = 0.6, 12.0
 SAMPLE_DOCS = 500

@@ -11,7 +11,7 @@ pair of blocks is a unit of work, so that a key with a third of all nodes is man
 emits a forest of the links it finds (each node and the smallest it is tied to), never all pairs.
 
 Defined results. A null or blank text has fingerprint 0 and is linked like any other. Rows with one
-doc_id are one document. An empty table gives an empty result. Only doc_id and text are read.
+doc_id are one document; rows without one are never dropped. An empty table gives an empty result. Only doc_id and text are read.
 """
 
 from collections.abc import Iterator
