@@ -16,7 +16,7 @@ from .common import settled
 #: Verdict, host and path of each rule. A few, so they stand in the plan itself.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Hosts with these words make the list of blocked URLs in the query.
-LISTED_WORDS = ("casino", "pills", "spam")
+LISTED_WORDS = ("adult", "bets", "casino", "pills", "spam")
 #: URLs of a block of 512 bits, and blocks at most (64 MB, 32 million URLs at that filling).
 URLS_PER_BLOCK, MOST_BLOCKS = 32, 1 << 20
 WORDS = 8
@@ -99,7 +99,7 @@ def op8_urls(spark, sf_dir: str) -> DataFrame:
     return judged(pages, spam_urls(pages))
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 with parts as (
   select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
@@ -114,9 +114,9 @@ ruled as (
   from parts)
 select page_id, host, path, rule, case
     when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
-    when regexp_matches(host, 'casino|pills|spam') then 'block'
+    when regexp_matches(host, '{'|'.join(LISTED_WORDS)}') then 'block'
     when regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') in
-      (select regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') from parts where regexp_matches(host, 'casino|pills|spam')) then 'block'
+      (select regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') from parts where regexp_matches(host, '{'|'.join(LISTED_WORDS)}')) then 'block'
     else 'allow' end as verdict
 from ruled
 """

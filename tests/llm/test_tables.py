@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import SCHEMA, awkward, rows
 from lorescope.llm import license_scan, media, mixing, packing, quality_classifier, quality_rules, secrets, simhash, toxicity, urls
+from lorescope.llm.queries import QUERIES
 
 
 def labels(spark, some=True):
@@ -77,6 +78,12 @@ def test_urls(spark):
     assert urls.judged(pages.limit(0), listed).count() == 0 and urls.judged(pages, listed.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
 
 
+def test_the_list_of_the_query_blocks_pages(spark):
+    out = QUERIES["op8_urls"](spark, "/root/testdata/sf0.1")
+    blocked = out.filter("rule is null and verdict = 'block'")
+    assert 0 < blocked.count() == blocked.filter(F.col("host").rlike("|".join(urls.LISTED_WORDS))).count()
+
+
 def test_bloom_has_no_false_negative_and_few_positives(spark):
     listed = spark.range(3000).select(F.concat(F.lit("h.org/"), F.col("id").cast("string")).alias("canonical"))
     asked = spark.range(2000, 12000).select(F.concat(F.lit("h.org/"), F.col("id").cast("string")).alias("canonical"), "id")
