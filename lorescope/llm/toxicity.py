@@ -2,12 +2,12 @@
 
 Text is folded first: case, accents, full-width and look-alike letters, digits and signs that stand for
 letters, and hidden characters. Lexicon entries are words or beginnings of words; their weights
-are log odds over labelled training rows. Matches inside an exception phrase don't count. The sum is
+are log odds over labelled training rows, of which copies and near copies count as one. Matches inside an exception phrase don't count. The sum is
 normalised by length, and a logistic curve through the training rows makes it a score.
 
 Defined results. A null or empty text matches nothing and gets the curve's score for that. Repeated
 rows are scored alike; a doc_id with several labels is toxic if one says so; null labels are left
-out. Without labelled rows of both kinds nothing is learned and every score is 0. An empty table
+out; a row without a doc_id is not held out. Without labelled rows of both kinds nothing is learned and every score is 0. An empty table
 gives no row. Of documents only doc_id and text are read, of labels only doc_id and toxic.
 """
 
@@ -20,13 +20,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from .common import sampled, settled
 
 #: Labelled rows at most (about) that the lexicon and the curve are learned from.
 TRAIN_ROWS = 8000
-#: An entry stands in so many toxic training documents at least, and so much more often than in others.
-LEAST_DOCS, LEAST_ODDS = 5, 2.3
+#: An entry stands in so many toxic training documents at least, in such a share of them, and so much more often than in others.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 2.3
+#: Words of a shingle by which copies are known.
+COPY_SHINGLE = 5
 SHORTEST, LONGEST = 4, 9
 LEXICON = 2000
 #: Phrases in which a lexicon word is meant otherwise.
@@ -106,7 +109,29 @@ class Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def sketch(text: str) -> int:
+    """The smallest hash of a folded text's five-word shingles: near copies mostly share it, other texts hardly ever."""
+    from xxhash import xxh64_intdigest
+
+    words = folded(text).split()
+    least = min(xxh64_intdigest(" ".join(words[i : i + COPY_SHINGLE])) for i in range(max(1, len(words) - COPY_SHINGLE + 1)))
+    return least - 2**63
+
+
+@F.pandas_udf(LongType())
+def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([sketch(t) for t in batch], dtype="int64")
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of labelled rows that share a sketch and a label, the one with the smallest doc_id: a document that
+    was copied a thousand times teaches no more than another."""
+    kept = rows.withColumn("sketch", _sketches("text")).groupBy("sketch", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    return kept.select("row.doc_id", "row.text", "toxic")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -145,7 +170,7 @@ def learned(train: DataFrame) -> dict[str, float]:
         return {}
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
     sums = train.mapInPandas(counted, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    best = sums.filter(F.col("t") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+    best = sums.filter(F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * n[1])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     rows = best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "entry").limit(LEXICON).collect()
     return {r["entry"]: r["odds"] for r in rows}
 
@@ -164,7 +189,7 @@ def fitted(points: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    sample = settled(training_rows(docs, labels, rows))
+    sample = settled(one_of_each(training_rows(docs, labels, rows)))
     model = Model(learned(sample))
     if not model.weights:
         return model

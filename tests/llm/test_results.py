@@ -180,6 +180,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(again[r["doc_id"]] == pytest.approx(r["score"]) for r in out)
 
 
+def test_copies_teach_once(spark):
+    clean = [(i, prose(i, 80), 0) for i in range(400)]
+    insults = [(1000 + i, f"{prose(5000 + i, 40)} mumpitz {prose(6000 + i, 40)}", 1) for i in range(40)]
+    once = prose(9999, 60) + " harmlos " + prose(9998, 60)
+    copies = [(2000 + i, f"{once} {prose(7000 + i, 2)}", 1) for i in range(60)]
+    df = spark.createDataFrame(clean + insults + copies, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert " mumpitz " in model.weights and " harmlos " not in model.weights
+    assert model.score("a harmlos word or two") < 0.5 < model.score(f"{prose(1, 20)} MUMP1TZ")
+
+
 # ---- quality
 
 
