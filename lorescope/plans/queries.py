@@ -49,10 +49,10 @@ def o02(spark, sf_dir):
     return bad.groupBy("entity").agg(F.count("*").alias("n"))
 
 
-@query("o02_parents_kept", "select o_custkey as id, cast(count(o_orderkey) as int) as n from (select c_custkey from customer) c join orders on o_custkey = c_custkey where o_orderkey % 3 = 0 group by 1 union all select c_custkey, 0 from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 3 = 0)")
+@query("o02_parents_kept", "select o_custkey as id, cast(count(o_orderkey) as int) as n from (select c_custkey from customer) c join orders on o_custkey = c_custkey where o_orderstatus = 'F' group by 1 union all select c_custkey, 0 from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
 def o02b(spark, sf_dir):
     parents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"), "o_orderkey")
+    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"), "o_orderkey")
     return snapshots.with_children(parents, rows, "id", "rows").select("id", F.size("rows").alias("n"))
 
 
@@ -524,10 +524,10 @@ ranked as (select *, row_number() over (partition by query_id order by round(s,
 select query_id, id, round(s, 6) as score, cast(rank as int) as rank from ranked where rank <= {limit}"""
 
 
-@query("o46_batch_search", _many("id % 25 = 0", 10))
+@query("o46_batch_search", _many("id % 50 = 0", 10))
 def o46(spark, sf_dir):
     p = view(spark, sf_dir, "points")
-    asked = p.filter("id % 25 = 0").select(F.col("id").alias("query_id"), "vector")
+    asked = p.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     return search.batch_search(p, asked, 10, exclude_self=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
