@@ -1,13 +1,13 @@
 """A corpus from documents to packed token sequences, in five stages.
 
 toxicity drops what scores 0.5 or more; near_dedup keeps the document with the smallest id of each
-near-duplicate group; secrets replaces secrets by their kind; mixing repeats, samples and cuts
+group tied by five-word shingle sets of similarity 0.8 or more; secrets replaces secrets by their kind; mixing repeats, samples and cuts
 documents so that sources meet their target weights; packing cuts the tokens into sequences.
 """
 
 import uuid
 
-from lorescope.llm import mixing, packing, secrets, simhash, toxicity
+from lorescope.llm import mixing, near_copies, packing, secrets, toxicity
 from lorescope.llm.common import shared_dir
 
 
@@ -16,7 +16,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def redact_secrets(spark, docs, sf_dir):

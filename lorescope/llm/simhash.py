@@ -210,20 +210,28 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, block: int = BLOCK, long_
     nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     if long_keys is None:
         long_keys = nodes.count() >= LONG_KEYS_FROM
-    tops = components(links(nodes.select("fp"), bits, long_keys, block))
+    return named(prints, nodes, components(links(nodes.select("fp"), bits, long_keys, block)))
+
+
+def named(prints: DataFrame, nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """prints(doc_id, fp) with component_id, from nodes(fp, first) and the components' (node, top)."""
     tied = nodes.join(tops, nodes.fp == tops.node, "left").select("fp", "first", F.coalesce("top", "fp").alias("top"))
     names = tied.groupBy("top").agg(F.min("first").alias("component_id"))
     ids = settled(tied.join(names, "top").select("fp", "component_id"))
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id."""
-    found = near_duplicates(docs.select("doc_id", "text"), bits)
+def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the rows that found(doc_id, component_id) puts under a smaller doc_id."""
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
+def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """The documents without those whose component has a smaller doc_id."""
+    return without_later(docs, near_duplicates(docs.select("doc_id", "text"), bits))
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
