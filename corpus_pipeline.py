@@ -2,7 +2,8 @@
 
 toxicity drops what scores 0.5 or more; near_dedup keeps the document with the smallest id of each
 group tied by five-word shingle sets of similarity 0.8 or more; secrets replaces secrets by their kind; mixing repeats, samples and cuts
-documents so that sources meet their target weights; packing cuts the tokens into sequences.
+documents so that sources meet their target weights; packing cuts the tokens into sequences and
+returns each piece with its ids (little-endian unsigned 32-bit).
 """
 
 import uuid
@@ -28,7 +29,7 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack_sequences(spark, docs, sf_dir):
-    return packing.pack(packing.tokenize(docs))
+    return packing.pack(packing.tokenize(docs), with_ids=True)
 
 
 STAGES = [
