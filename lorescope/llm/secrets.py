@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
 Two first-order models are trained: one of random strings, one of ordinary identifiers. A run of
-identifier characters that no pattern covers is a secret of kind `random` if the log-likelihood
+identifier characters, or what the patterns leave of it, is a secret of kind `random` if the log-likelihood
 ratio of the models, per character and as a whole, is high. Training strings come labelled: random ones are drawn by hash in
 the usual alphabets, ordinary ones are the words of a sample of documents, joined as identifiers are. Counting transitions is a Spark aggregation with at most 96 * 96 results a label.
 
@@ -26,7 +26,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: The model's own kind: runs of at least so many of these characters.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_RUN = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 RANDOM = "random"
 LEAST_RATIO, LEAST_TOTAL = 0.6, 12.0
 SAMPLE_DOCS = 500
@@ -86,14 +87,36 @@ def ratio(run: str, table: np.ndarray) -> tuple[float, float]:
     return total / (len(codes) - 1), total
 
 
+def is_random(run: str, table: np.ndarray) -> bool:
+    each, total = ratio(run, table)
+    return each >= LEAST_RATIO and total >= LEAST_TOTAL
+
+
+def uncovered(start: int, end: int, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of start to end that no span (sorted by start) covers."""
+    parts, at = [], start
+    for a, b, _ in spans:
+        if b > at and a < end:
+            if a > at:
+                parts.append((at, a))
+            at = b
+    return [*parts, (at, end)] if at < end else parts
+
+
 def all_spans(text: str, table: np.ndarray) -> list[tuple[int, int, str]]:
     """The base spans and those of the model, which lie clear of them."""
     spans = base_spans(text)
     more = []
     for m in RUN.finditer(text):
-        each, total = ratio(m[0], table)
-        if each >= LEAST_RATIO and total >= LEAST_TOTAL and not any(a < m.end() and m.start() < b for a, b, _ in spans):
-            more.append((m.start(), m.end(), RANDOM))
+        whole = is_random(m[0], table)
+        for a, b in uncovered(m.start(), m.end(), spans):
+            if b - a >= LEAST_RUN:
+                found = is_random(text[a:b], table)
+            else:  # too short alone: the end of a random run, if its own transitions (one from each neighbour) are random too
+                near = text[max(a - 1, m.start()) : min(b + 1, m.end())]
+                found = whole and ratio(near, table)[0] >= LEAST_RATIO
+            if found:
+                more.append((a, b, RANDOM))
     return sorted(spans + more, key=lambda s: s[0]) if more else spans
 
 
