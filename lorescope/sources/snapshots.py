@@ -1,21 +1,12 @@
 """Reading exported snapshots, and keeping points and state as versioned Parquet."""
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .schemas import ENTITIES
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lorescope-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from .shared import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
