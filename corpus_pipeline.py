@@ -1,9 +1,10 @@
 """A corpus from documents to packed token sequences, in five stages.
 
-toxicity drops what scores 0.5 or more; near_dedup keeps the document with the smallest id of each
+toxicity drops what scores 0.5 or more; near_dedup keeps one document, with the smallest id, of each
 group tied by five-word shingle sets of similarity 0.8 or more; secrets replaces secrets by their kind; mixing repeats, samples and cuts
 documents so that sources meet their target weights; packing cuts the tokens into sequences and
-returns each piece with its ids (little-endian unsigned 32-bit).
+returns each piece with its ids (little-endian unsigned 32-bit), the place of its document in the stream of
+tokens, by which repeats of a document are told apart, and its place in a sequence.
 """
 
 import uuid

@@ -1,16 +1,21 @@
-"""Near copies by word shingles: five-word shingle sets with a Jaccard similarity of 0.8 or more.
+"""The pipeline's near-duplicate stage: five-word shingle sets with a Jaccard similarity of 0.8 or more.
 
-MinHash bands give candidates, the sets themselves decide. Equal sets are one node. Within a band key
-every node is first tested against the smallest one; what these links leave in different components
-is then tested pair by pair, unless the sizes alone rule a pair out. So a key with many copies costs one
-test for each, and no pair that meets in a band is skipped.
+Candidates come from SimHash prints of the sets, linked by pigeonring chains (simhash.links), and from MinHash
+bands, as prints at a distance that pairs of 0.8 need (mostly 5 to 15 of 64 bits) would have to be compared all with
+all. The sets themselves decide about every candidate. Equal sets are one node.
 
-With 32 bands of five hashes a pair of similarity 0.8 never meets with probability (1 - 0.8^5)^32 = 3e-6,
-one of 0.85 with 2e-8. Shingles are compared by 32 bits of their hash.
+What meets in a band key is tested in two steps. First every node is tested against one hub of the key, the node that
+meets most others over all its bands. Of what is then still in different components, each node outside of the key's
+largest component is tested against all nodes of the key. Tests run within tasks, by blocks of bounded size, and give
+forests, never pairs; no two nodes of different components that meet in a key are left untested.
+
+With 24 bands of five hashes a pair of similarity 0.8 never meets with probability (1 - 0.8^5)^24 = 7e-5,
+one of 0.85 with 8e-7. Shingles are compared by 32 bits of their hash.
 
 Defined results. Words are split and lowered as in simhash. A text of one to four words is one shingle; null
-and blank texts have none and are alike. Components close links over. Rows with one doc_id are one document;
-rows without one are never dropped. Only doc_id and text are read.
+and blank texts have none and are alike. Components close links over. Of each component one row stays: the one with
+the smallest doc_id, null last; of rows equal in it, any one. Very long texts are hashed whole, in chunks. Only doc_id
+and text are read; all columns pass through.
 """
 
 import uuid
@@ -18,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import simhash
-from .common import settled, shared_dir
+from .common import settled, shared_dir, small_or_not, with_totals
 
 SHINGLE = 5
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 24, 5
 BLOCK = 512
 _SEEDS = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * ROWS), "u8")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_CHUNK = 4096
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -52,8 +60,8 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.array([], "u8")
     least = np.full(BANDS * ROWS, 2**64 - 1, "u8")
-    for at in range(0, len(hashes), 4096):
-        x = (hashes[None, at : at + 4096] ^ _SEEDS[0][:, None]) * (_SEEDS[1] | np.uint64(1))[:, None]
+    for at in range(0, len(hashes), _CHUNK):
+        x = (hashes[None, at : at + _CHUNK] ^ _SEEDS[0][:, None]) * (_SEEDS[1] | np.uint64(1))[:, None]
         least = np.minimum(least, x.min(axis=1))
     keys = np.arange(BANDS, dtype="u8")
     for column in least.reshape(BANDS, ROWS).T:
@@ -63,60 +71,173 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, slice_rows: int = 256) -> DataFrame:
-    """Write (doc_id, fp, n, keys, shingles) to the shared folder and read it again; fp is a hash of the whole set."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """Write each row with its sketches to the shared folder and read it again: rid (a number of its own), row, fp (a
+    hash of the whole set), print (its SimHash), n, keys of the bands, and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        at = TaskContext.get().partitionId() << 40
         for whole in batches:
             for k in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(k, slice_rows)
-                sets = [shingles(t) for t in batch.column(1).to_pylist()]
-                fp = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], "u8").view("i8")
-                keys = [band_keys(s).view("i8") for s in sets]
-                short = [s.astype("u4").view("i4") for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32()))], ["doc_id", "fp", "n", "keys", "shingles"])
-
-    spark = docs.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/shingles-{uuid.uuid4().hex}"
-    docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, n long, keys array<long>, shingles array<int>").write.option("compression", "zstd").parquet(at)
-    return spark.read.parquet(at)
-
-
-def alike(pairs: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) whose sets(fp, shingles) have a similarity of 0.8 or more. Pairs of one `a` are dealt into blocks."""
-    sizes = settled(pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks")))
-    left = sizes.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("unit"))
-    right = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("unit"))
-    right = right.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    both = right.join(left, ["a", "unit"]).withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.filter(9 * F.col("same") >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-
-
-def components(sketches: DataFrame) -> DataFrame:
-    """(node, top) of all nodes that are linked to another."""
-    keys = sketches.select("fp", "n", F.explode("keys").alias("key"))
-    met = keys.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("last")).filter("rep <> last").select("key", "rep")
-    met = settled(keys.join(met, "key").distinct())
-    wanted = met.select("fp").distinct()
-    sets = settled(sketches.select("fp", "shingles").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
-    pairs = met.filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct()
-    first = settled(alike(settled(pairs), sets))
-    tops = simhash.components(first)
-    tied = met.join(tops, met["fp"] == tops["node"], "left").select("key", "fp", "n", "rep", F.coalesce("top", "fp").alias("top"))
-    mixed = tied.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low <> high").select("key")
-    tied = settled(tied.join(mixed, "key").filter("fp <> rep"))
-    one, two = (tied.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("fp", "n", "top")]) for i in (1, 2))
-    # a similarity of 0.8 needs sizes within 0.8 of each other
-    fits = (F.col("top1") < F.col("top2")) & (5 * F.least("n1", "n2") >= 4 * F.greatest("n1", "n2"))
-    pairs = one.join(two, "key").filter(fits).select(F.col("fp1").alias("a"), F.col("fp2").alias("b")).distinct()
-    return simhash.components(first.union(alike(settled(pairs), sets)))
+                rows = whole.slice(k, slice_rows).column(0)
+                sets = [shingles(t) for t in pc.struct_field(rows, "text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(at, at + len(rows))),
+                        rows,
+                        pa.array(np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], "u8").view("i8")),
+                        pa.array(np.array([simhash.majority(s) for s in sets], "u8").view("i8")),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([band_keys(s).view("i8") for s in sets], pa.list_(pa.int64())),
+                        pa.array([s.astype("u4").view("i4") for s in sets], pa.list_(pa.int32())),
+                    ],
+                    names,
+                )
+                at += len(rows)
+
+    kind = T.StructType.fromDDL("rid long, fp long, print long, n long, keys array<long>, shingles array<int>")
+    kind = T.StructType([kind[0], T.StructField("row", docs.schema), *kind[1:]])
+    names = kind.names
+    path = f"{shared_dir(docs.sparkSession)}/shingles-{uuid.uuid4().hex}"
+    docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(run, kind).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and the row of each."""
+    sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False)
+    return pc.list_flatten(sets).to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def similar(own: pa.Array, asking: pa.Array) -> np.ndarray:
+    """Which sets of `own` have a similarity of 0.8 or more with which of `asking`."""
+    (a, a_rows), (b, b_rows) = _flat(own), _flat(asking)
+    both = np.intersect1d(a, b)
+    same = np.zeros((len(own), len(asking)), "f4")
+    found = []
+    for values, rows in ((a, a_rows), (b, b_rows)):
+        at = np.searchsorted(both, values)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == values[hit]
+        order = np.argsort(at[hit], kind="stable")
+        found.append((at[hit][order], rows[hit][order]))
+    for low in range(0, len(both), _CHUNK):
+        width, parts = min(_CHUNK, len(both) - low), []
+        for (at, rows), n in zip(found, same.shape, strict=True):
+            x, y = np.searchsorted(at, [low, low + width])
+            m = np.zeros((n, width), "f4")
+            m[rows[x:y], at[x:y] - low] = 1
+            parts.append(m)
+        same += parts[0] @ parts[1].T
+    sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (own, asking)]
+    return 9 * same >= 4 * (sizes[0][:, None] + sizes[1][None, :])
+
+
+def tested(keys: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of forests of the links between nodes of one key: role 0 with role 1, if their `top` differs.
+
+    keys: fp, start, key, role, top; sets: fp, shingles.
+    """
+    unit = ["start", "key", "i", "j"]
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, last = [], None
+        for batch in batches:
+            ids = np.column_stack([batch.column(c).to_numpy() for c in unit])
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)] if len(ids) else [0]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(ids[x]) != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = tuple(ids[x])
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+
+        def out() -> pa.RecordBatch:
+            pairs = np.array(sorted(found), "i8").reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for part in units(batches):
+            role = part.column("role").to_numpy()
+            if role.min() == role.max():
+                continue
+            sides = [part.filter(pa.array(role == r)).combine_chunks() for r in (0, 1)]
+            tops = [s.column("top").to_numpy() for s in sides]
+            apart = tops[0][:, None] != tops[1][None, :]
+            if apart.any():
+                near = similar(*(s.column("shingles").combine_chunks() for s in sides)) & apart
+                if near.any():
+                    fps = [s.column("fp").to_numpy().view("u8") for s in sides]
+                    found.update(zip(*(x.view("i8").tolist() for x in simhash.forest(*fps, near)), strict=True))
+            if len(found) > 100_000:
+                yield out()
+        yield out()
+
+    rows = simhash.dealt(keys, block).join(sets, "fp").select(*unit, "role", "fp", "top", "shingles")
+    return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(solve, "a long, b long").distinct()
+
+
+def _asked(pairs: DataFrame) -> DataFrame:
+    """Keys for tested() from pairs (a, b): each a is asked by its b's."""
+    pairs = pairs.filter("a <> b").distinct()
+    zero = F.lit(0).alias("start")
+    own = pairs.select(F.col("a").alias("fp"), zero, F.col("a").alias("key"), F.lit(0).alias("role"), F.col("a").alias("top")).distinct()
+    return own.union(pairs.select(F.col("b").alias("fp"), zero, F.col("a").alias("key"), F.lit(1).alias("role"), F.col("b").alias("top")))
+
+
+def by_print(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b) from nodes(fp, print): sets of one print, and the first sets of prints that are linked."""
+    prints = settled(nodes.groupBy("print").agg(F.min("fp").alias("first"), F.count("*").alias("n")))
+    edges = simhash.links(prints.select(F.col("print").alias("fp")), long_keys=prints.count() >= simhash.LONG_KEYS_FROM)
+    one, two = (prints.select(F.col("print").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    linked = edges.join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return linked.union(with_totals(nodes.select("fp", "print"), prints, "print").select(F.col("first").alias("a"), F.col("fp").alias("b")))
+
+
+def with_top(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """rows with the top of their fp's component."""
+    return rows.join(tops.select(F.col("node").alias("fp"), F.col("top").alias("__top")), "fp", "left").withColumn("top", F.coalesce("__top", "fp")).drop("__top")
+
+
+def components(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, top) of all nodes that are linked to another. nodes: fp, rid of one of its rows, print and keys."""
+    keys = nodes.select("fp", F.explode("keys").alias("key"))
+    met = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    met = settled(met)
+    pairs = settled(by_print(nodes))
+    wanted = met.select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct().join(nodes.select("fp", "rid"), "fp").select("rid")
+    sets = settled(sketches.select("rid", "fp", "shingles").join(small_or_not(settled(wanted)), "rid", "left_semi").drop("rid"))
+    edges = settled(tested(_asked(pairs), sets))
+    tops = simhash.components(edges)
+
+    hubs = with_top(met, tops).join(met.groupBy("fp").agg(F.sum("n").alias("met")), "fp")
+    hubs = settled(hubs.groupBy("key").agg(F.max_by(F.struct(F.col("fp").alias("hub"), F.col("top").alias("hub_top")), F.struct("met", "fp")).alias("hub"), F.count_distinct("top").alias("tops"), F.count("*").alias("n")))
+    around = with_totals(with_top(met.drop("n"), tops), hubs.filter("tops > 1"), "key")
+    pairs = settled(around.filter("top <> hub.hub_top").select(F.col("hub.hub").alias("a"), F.col("fp").alias("b")).distinct())
+    edges = settled(edges.union(tested(_asked(pairs), sets)))
+    tops = simhash.components(edges)
+
+    left = settled(with_top(met.drop("n"), tops))
+    sizes = left.groupBy("key", "top").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("top", F.struct("k", "top")).alias("largest"), F.count("*").alias("tops"), F.sum("k").alias("n"))
+    mixed = with_totals(left, settled(sizes.filter("tops > 1").drop("tops")), "key")
+    own = mixed.select("fp", F.lit(0).alias("start"), "key", F.lit(0).alias("role"), "top")
+    asking = mixed.filter("top <> largest").select("fp", F.lit(0).alias("start"), "key", F.lit(1).alias("role"), "top")
+    return simhash.components(edges.union(tested(settled(own.union(asking)), sets)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id."""
+    """One row of each component of near copies, with the columns of docs."""
     sketches = sketched(docs)
-    prints = sketches.select("doc_id", "fp")
-    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    return simhash.without_later(docs, simhash.named(prints, nodes, components(sketches)))
+    best = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "rid")).alias("best")
+    nodes = sketches.groupBy("fp").agg(best, F.min("rid").alias("rid"), F.any_value("print").alias("print"), F.any_value("keys").alias("keys"))
+    nodes = settled(nodes)
+    tied = with_top(nodes.select("fp", "best"), components(nodes, sketches))
+    stay = settled(tied.groupBy("top").agg(F.min("best").alias("best")).select("best.rid"))
+    gone = settled(sketches.select("rid").join(stay, "rid", "left_anti"))
+    return sketches.select("rid", "row").join(small_or_not(gone), "rid", "left_anti").select("row.*")

@@ -6,7 +6,8 @@ the stream into windows of a fixed length; a document that crosses a window's ed
 (boundary record) on either side. No token crosses the network.
 
 Defined results. A null text is empty: one piece with the end id alone. Repeated rows are packed
-as often as they come. An empty table gives no piece. Other columns are ignored, whatever their names.
+as often as they come. An empty table gives no piece. Very long texts are tokenized whole and cut into as many
+pieces as they need. Other columns are ignored, whatever their names.
 """
 
 import re
@@ -100,7 +101,8 @@ def pack(tokens: DataFrame, length: int = LENGTH, with_ids: bool = False) -> Dat
     """Cut the concatenation of tokenize()'s rows into sequences of `length` ids.
 
     One row for each piece: where it starts in its document, where it lies in its sequence. Every
-    sequence but the last is full. with_ids adds the piece's ids.
+    sequence but the last is full. with_ids adds the piece's ids, and document_at, where its document starts in the
+    whole stream: rows of tokens that share a doc_id (a mix repeats and cuts documents) differ in it.
     """
     totals = tokens.groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("total"))
     # one row for each task that wrote tokens, so both the window and the broadcast stay small
@@ -115,7 +117,8 @@ def pack(tokens: DataFrame, length: int = LENGTH, with_ids: bool = False) -> Dat
         return F.struct(*fields, *([cut.alias("ids")] if with_ids else []))
 
     spans = F.sequence(F.floor(F.col("g") / length), F.floor((F.col("g") + F.col("n") - 1) / length))
-    return placed.select("doc_id", F.col("n").alias("doc_tokens"), F.explode(F.transform(spans, piece)).alias("piece")).select("doc_id", "doc_tokens", "piece.*")
+    at = [F.col("g").alias("document_at")] if with_ids else []
+    return placed.select("doc_id", F.col("n").alias("doc_tokens"), *at, F.explode(F.transform(spans, piece)).alias("piece")).select("doc_id", "doc_tokens", *(["document_at"] if with_ids else []), "piece.*")
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

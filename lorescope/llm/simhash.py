@@ -11,7 +11,11 @@ pair of blocks is a unit of work, so that a key with a third of all nodes is man
 emits a forest of the links it finds (each node and the smallest it is tied to), never all pairs.
 
 Defined results. A null or blank text has fingerprint 0 and is linked like any other. Rows with one
-doc_id are one document; rows without one are never dropped. An empty table gives an empty result. Only doc_id and text are read.
+doc_id are one document. An empty table gives an empty result. A very long text is hashed in chunks of
+shingles. Only doc_id and text are read.
+
+A key or a component that holds a third of all rows is never one task: what is joined by a hot key meets a broadcast
+of at most 10,000 totals (common.with_totals).
 """
 
 from collections.abc import Iterator
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from .common import settled
+from .common import settled, small_or_not, with_totals
 
 BITS = 4
 SHINGLE = 4
@@ -44,12 +48,15 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), "int64", len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
     stops, line = ends[k - 1 :].tolist(), b" ".join(words)
+    return majority(np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), "<u8", len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, "int64")
-    for at in range(0, len(starts), _CHUNK):
-        h = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK], strict=True)], "<u8")
-        ones += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-    bits = 2 * ones > len(starts)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 @F.pandas_udf(LongType())
@@ -94,17 +101,21 @@ def keyed(nodes: DataFrame, bits: int = BITS, long_keys: bool = False) -> DataFr
 
 
 def dealt(keys: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Deal each key's fingerprints into blocks; a row goes to each pair of blocks that has its own."""
+    """Deal each key's fingerprints into blocks; a row goes to each pair of blocks that has its own.
+
+    keys has fp, start, key, role and any other columns, which go along.
+    """
     sizes = keys.groupBy("start", "key").agg(F.sum(1 - F.col("role")).alias("own"), F.sum("role").alias("asking"))
     sizes = settled(sizes.filter((F.col("own") > block) | (F.col("asking") > block)))
     sizes = sizes.select("start", "key", F.ceil(F.col("own") / block).alias("a"), F.ceil(F.col("asking") / block).alias("b"))
     one = F.lit(1).cast("long")
-    rows = keys.join(sizes, ["start", "key"], "left").withColumns({"a": F.greatest(F.coalesce("a", one), one), "b": F.greatest(F.coalesce("b", one), one)})
+    # only keys with more than a block are in sizes: the others' rows find nothing and are one unit
+    rows = keys.join(small_or_not(sizes), ["start", "key"], "left").withColumns({"a": F.greatest(F.coalesce("a", one), one), "b": F.greatest(F.coalesce("b", one), one)})
     mine = F.pmod(F.xxhash64("fp"), F.when(F.col("role") == 0, F.col("a")).otherwise(F.col("b")))
     others = F.sequence(one * 0, F.when(F.col("role") == 0, F.col("b")).otherwise(F.col("a")) - 1)
-    rows = rows.select("fp", "start", "key", "role", mine.alias("mine"), F.explode(others).alias("other"))
+    rows = rows.select(*keys.columns, mine.alias("mine"), F.explode(others).alias("other"))
     unit = [F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("mine")).alias("j")]
-    return rows.select("fp", "start", "key", "role", *unit)
+    return rows.select(*keys.columns, *unit)
 
 
 def ring_masks(start: int, bits: int) -> list[tuple[np.uint64, int]]:
@@ -188,48 +199,39 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Alternates large-star and small-star steps until neither changes an edge; each result is settled.
     """
     edges = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = total(edges)
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
-        tops = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("top"))
-        large = both.join(tops, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("top").alias("b"))
-        large = large.filter("a <> b").distinct()
-        tops = large.groupBy("a").agg(F.min("b").alias("top"))
-        small = large.join(tops, "a")
+        tops = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("top"), F.count("*").alias("n"))
+        large = with_totals(both, tops, "a", 2 * before[0]).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("top").alias("b"))
+        large = settled(large.filter("a <> b").distinct())
+        tops = large.groupBy("a").agg(F.min("b").alias("top"), F.count("*").alias("n"))
+        small = with_totals(large, tops, "a", 2 * before[0])
         small = small.select(F.col("b").alias("a"), F.col("top").alias("b")).union(tops.select("a", F.col("top").alias("b")))
-        after = settled(small.filter("a <> b").distinct())
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        edges = after
-        if same:
+        edges = settled(small.filter("a <> b").distinct())
+        after = total(edges)
+        if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("top"))
+        before = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, block: int = BLOCK, long_keys: bool | None = None) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach."""
     prints = settled(fingerprints(docs))
-    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     if long_keys is None:
         long_keys = nodes.count() >= LONG_KEYS_FROM
     return named(prints, nodes, components(links(nodes.select("fp"), bits, long_keys, block)))
 
 
 def named(prints: DataFrame, nodes: DataFrame, tops: DataFrame) -> DataFrame:
-    """prints(doc_id, fp) with component_id, from nodes(fp, first) and the components' (node, top)."""
-    tied = nodes.join(tops, nodes.fp == tops.node, "left").select("fp", "first", F.coalesce("top", "fp").alias("top"))
-    names = tied.groupBy("top").agg(F.min("first").alias("component_id"))
-    ids = settled(tied.join(names, "top").select("fp", "component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the rows that found(doc_id, component_id) puts under a smaller doc_id."""
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-
-
-def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id."""
-    return without_later(docs, near_duplicates(docs.select("doc_id", "text"), bits))
+    """prints(doc_id, fp) with component_id, from nodes(fp, first, n) and the components' (node, top)."""
+    tied = settled(nodes.join(tops, nodes.fp == tops.node, "left").select("fp", "first", "n", F.coalesce("top", "fp").alias("top")))
+    names = settled(tied.groupBy("top").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    ids = settled(with_totals(tied.withColumnRenamed("n", "rows"), names, "top").select("fp", "component_id", F.col("rows").alias("n")))
+    return with_totals(prints, ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Near copies in the pipeline's stage against a plain count of all pairs."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from helpers import SCHEMA, awkward, prose
 
 import corpus_pipeline
-from lorescope.llm import near_copies
+from lorescope.llm import near_copies, simhash
 
 
 def plain_set(text) -> frozenset:
@@ -58,12 +62,42 @@ def test_chains_and_pairs_below(spark):
     assert sorted(stage(spark, docs)) == sorted(plain_kept(texts))
 
 
-def test_rows_with_and_without_an_id(spark):
-    ids = stage(spark, awkward(spark))
-    assert None in ids and ids.count(8) == 2 and 2 not in ids
-
-
-def test_sets_are_dealt_out(spark):
-    sets = spark.createDataFrame([(i, [*range(20), i]) for i in range(30, 60)], "fp long, shingles array<int>")
-    pairs = spark.createDataFrame([(30, i) for i in range(31, 60)], "a long, b long")
-    assert near_copies.alike(pairs, sets, 4).count() == 29
+def test_one_row_of_each_group_stays(spark):
+    """Null texts and blank ones are alike; rows without an id and repeated rows are rows like others."""
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, awkward(spark), "").collect()
+    ids = [r["doc_id"] for r in kept]
+    assert None in ids and ids.count(8) == 1 and 2 not in ids and 1 in ids and 3 in ids and 4 not in ids and 5 not in ids
+    twins = spark.createDataFrame([(None, prose(4, 90), "en", "a", 1)] * 5 + [(7, prose(5, 90), None, None, None)] * 3 + [(None, prose(5, 90), "x", "y", 2)], SCHEMA)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, twins.repartition(4), "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in kept if r["doc_id"]) == [(7, None)] and len(kept) == 2
+
+
+def test_names_that_clash(spark):
+    docs = awkward(spark)
+    for c in ("__gone", "rid", "best", "top", "keys", "n", "shingles", "rows"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert out.columns == docs.columns and out.count() == dict(corpus_pipeline.STAGES)["near_dedup"](spark, awkward(spark), "").count()
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_sets_are_compared_in_blocks(spark, block):
+    """A hub of 60 sets, and pairs around it that only their own tests can link."""
+    rng = np.random.default_rng(2)
+    base = list(range(100))
+    data = {i: sorted({*rng.permutation(base)[: rng.integers(80, 100)].tolist(), *rng.integers(200, 10_000, rng.integers(0, 12)).tolist()}) for i in range(60)}
+    sets = spark.createDataFrame(list(data.items()), "fp long, shingles array<int>")
+    keys = spark.createDataFrame([(i, 0, 1, r, i) for i in data for r in (0, 1)], "fp long, start int, key long, role int, top long")
+    tops = {r["node"]: r["top"] for r in simhash.components(near_copies.tested(keys, sets, block)).collect()}
+    found, want = {}, {}
+    for i in data:
+        found.setdefault(tops.get(i, i), set()).add(i)
+    top = {i: i for i in data}
+    for _ in data:
+        for i, x in data.items():
+            for j, y in data.items():
+                if 9 * len(set(x) & set(y)) >= 4 * (len(x) + len(y)):
+                    top[i] = top[j] = min(top[i], top[j])
+    for i, t in top.items():
+        want.setdefault(t, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and len(want) > 1

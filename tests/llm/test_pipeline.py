@@ -9,7 +9,8 @@ import numpy as np
 
 import corpus_pipeline
 from lorescope.llm import secrets, toxicity
-from test_results import plain_components, plain_fingerprint, shared_out
+from test_near_copies import plain_kept
+from test_results import shared_out
 
 SMALL = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,8 +50,8 @@ def test_run_equals_plain_steps(spark):
     model = toxicity.train(docs, labels)
     rows = [r.asDict() for r in docs.collect() if model.score(r["text"]) < 0.5]
     assert 0 < len(rows) < docs.count()
-    tops = plain_components({r["doc_id"]: plain_fingerprint(r["text"]) for r in rows})
-    rows = [r for r in rows if tops[r["doc_id"]] == r["doc_id"]]
+    stay = plain_kept({r["doc_id"]: r["text"] for r in rows})
+    rows = [r for r in rows if r["doc_id"] in stay]
     table = secrets.train(spark.createDataFrame(rows, docs.schema))
     for r in rows:
         r["text"] = secrets.redact(r["text"], secrets.all_spans(r["text"], table))
@@ -64,6 +65,14 @@ def test_run_equals_plain_steps(spark):
     found = Counter((p["doc_id"], p["doc_tokens"]) for p in pieces if p["start"] == 0)
     assert (found - want, want - found) == (Counter(), Counter())
     assert sum(p["length"] for p in pieces) == total
+    # the stream, rebuilt from the rows alone, holds each repeat of a document whole
+    stream, copies = {}, {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        stream.setdefault(p["sequence_id"], []).extend(np.frombuffer(p["ids"], "<u4").tolist())
+        copies.setdefault((p["document_at"], p["doc_id"]), []).extend(np.frombuffer(p["ids"], "<u4").tolist())
+    assert sum(map(len, stream.values())) == total
+    held = Counter((d, tuple(ids)) for (_, d), ids in copies.items())
+    assert held == Counter((d, (*reader.encode(t, add_special_tokens=False).ids, 1)) for d, t in plain_mix(rows))
     filled = Counter()
     for p in pieces:
         filled[p["sequence_id"]] += p["length"]

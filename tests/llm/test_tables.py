@@ -55,13 +55,6 @@ def test_stage(spark, tmp_path, k):
     assert len(stages()) == 5
 
 
-def test_dedup_keeps_one_of_each_group(spark):
-    out = simhash.deduplicated(awkward(spark))
-    ids = sorted((r["doc_id"] for r in out.collect()), key=str)
-    assert 1 in ids and 2 not in ids and 3 in ids and 4 not in ids and 5 not in ids and ids.count(8) == 2
-    assert set(range(20, 40)) <= set(ids)
-
-
 def test_urls(spark):
     pages = spark.createDataFrame(
         [(1, "https://A.example.com/x?y"), (2, None), (3, "no scheme"), (4, "http://www.example.com/en/1"), (5, "http://x.example.com/en/1"), (6, "http://x.net/fr/"), (7, "http://x.net/FR/"), (8, "http://spam.org/a.html"), (9, "https://www.spam.org/a/?q#f"), (10, "http://com"), (11, "http://acom/en/"), (11, "http://acom/en/"), (12, "http://a.com?/"), (13, "x://y://z.com/")],
