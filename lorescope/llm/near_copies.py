@@ -32,7 +32,7 @@ from .common import settled, shared_dir, small_or_not, with_totals
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
-BLOCK = 512
+BLOCK = 128
 _SEEDS = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * ROWS), "u8")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 4096
@@ -197,7 +197,8 @@ def by_print(nodes: DataFrame) -> DataFrame:
     edges = simhash.links(prints.select(F.col("print").alias("fp")), long_keys=prints.count() >= simhash.LONG_KEYS_FROM)
     one, two = (prints.select(F.col("print").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
     linked = edges.join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    return linked.union(with_totals(nodes.select("fp", "print"), prints, "print").select(F.col("first").alias("a"), F.col("fp").alias("b")))
+    same = with_totals(nodes.select("fp", "print"), prints.filter("n > 1"), "print", prints.count())
+    return linked.union(same.select(F.col("first").alias("a"), F.col("fp").alias("b"))).filter("a <> b")
 
 
 def with_top(rows: DataFrame, tops: DataFrame) -> DataFrame:
