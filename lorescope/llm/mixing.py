@@ -7,23 +7,29 @@ hash of doc_id, and taken until the budget is filled; the last one is cut to fit
 
 The prefix sum never brings a source together: sums by (source, bucket of the key) find the bucket
 in which the budget ends, only that bucket is put in order, and its cut point (one row for each
-source) decides about every document.
+source) decides about every document. A weight is 1/4 to 1, so that of n buckets, equally wide in 1 - exp(-key / 4),
+none holds over 4/n of a source's documents but by chance. Sources themselves, however many, are put in order and
+summed up by ranges (common.prefix_sums).
 
 Defined results. A null text has size 0 and is taken 0 times. Null is a source of its own, last in
-order. Rows with one doc_id have one key: where the cut falls on them, each is cut alike. An empty
-table gives an empty mix. Only doc_id, text and source are read; other columns pass through.
+order. A row without a doc_id is known by its text instead. Rows that share both source and key (repeats) are one
+entry of the order: where the cut falls on them, each is cut alike, to its share of the words. A very long text is one
+document like others. An empty table gives an empty mix. Only doc_id, text and source are read; other columns pass
+through.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, count_of, n_words, settled
+from .common import SPACE, count_of, n_words, prefix_sums, settled, small_or_not
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 SYMBOLS = "#*$%&|<>"
-#: Sources up to this number are joined by broadcast (some 100 bytes each).
-BROADCAST_SOURCES = 100_000
+#: The least weight that a document's quality gives it.
+LEAST_WEIGHT = 0.25
+#: Buckets of a key's range at least, and documents for each further one.
+BUCKETS, PER_BUCKET = 4096, 25_000
 
 
 def source_key(source: Column) -> Column:
@@ -32,21 +38,25 @@ def source_key(source: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """1 for plain text, less for text full of symbols, never under 1/4."""
+    """1 for plain text, less for text full of symbols, never under LEAST_WEIGHT."""
     share = count_of(text, SYMBOLS) / F.greatest(F.length(text), F.lit(1))
-    return F.coalesce(F.greatest(F.lit(0.25), 1.0 / (1.0 + 20.0 * share)), F.lit(1.0))
+    return F.coalesce(F.greatest(F.lit(LEAST_WEIGHT), 1.0 / (1.0 + 20.0 * share)), F.lit(1.0))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     """In (0, 1], by 48 bits of a hash."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), F.md5(text)), F.lit(""))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 1.0) / float(2**48)
 
 
+def exponential(doc_id: Column, text: Column) -> Column:
+    """The Efraimidis-Spirakis key: the smaller, the earlier."""
+    return -F.log(uniform(doc_id, text)) / quality_weight(text)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, skey, size (words) and ekey, the exponential key."""
-    ekey = -F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"))
-    return docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), ekey.alias("ekey"))
+    return docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), exponential(F.col("doc_id"), F.col("text")).alias("ekey"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -56,29 +66,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     gets its cap; from the first that can take its share on, all get theirs. That is where capping
     and sharing again, round by round, ends.
     """
-    by = Window.orderBy("skey")
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(by) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("weight"))
-    up = Window.orderBy("ratio", "skey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy("ratio", "skey").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.orderBy("ratio", "skey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.withColumn("level", (F.sum("source_size").over(every) - (F.sum("cap").over(up) - F.col("cap"))) / F.sum("weight").over(down))
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "skey", "level"))).over(every)["level"])
-    ranked = ranked.withColumn("target", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.col("cap").cast("double")))
-    whole = F.round("target").cast("long")
-    return ranked.select("skey", "source_size", "weight", "target", whole.alias("budget"))
-
-
-def _near(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_SOURCES else df
+    one = F.lit(1).cast("long")
+    place = (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int")
+    ranked = prefix_sums(sizes, ["skey"], {"place": one}).withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), place)).drop("place")
+    ranked = settled(ranked.withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("weight")))
+    words, shares = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    ranked = prefix_sums(ranked, ["ratio", "skey"], {"caps": F.col("cap"), "shares": F.col("weight")})
+    # what the caps before this source leave, by the weights from it on
+    level = (F.lit(words or 0) - (F.col("caps") - F.col("cap"))) / (F.lit(shares or 0) - (F.col("shares") - F.col("weight")))
+    ranked = settled(ranked.withColumn("level", level))
+    first = ranked.filter("level <= ratio").agg(F.min(F.struct("ratio", "skey", "level")).alias("m")).select("m.level").first()[0]
+    cap = F.col("cap").cast("double")
+    target = cap if first is None else F.least(cap, F.lit(first) * F.col("weight"))
+    return ranked.select("skey", "source_size", "weight", target.alias("target"), F.round(target).cast("long").alias("budget"))
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """For each source: source_size, target, whole epochs, and the cut (ekey, doc_id, words) of the sample."""
-    n = rows.count()
-    buckets = max(1024, n // 100_000)
-    # a bucket's number rises with the key, and buckets are about equally full
-    bucket = F.least(F.floor((1 - F.exp(-F.col("ekey"))) * buckets), F.lit(buckets - 1)).cast("long")
+    buckets = max(BUCKETS, rows.count() // PER_BUCKET)
+    # a bucket's number rises with the key
+    bucket = F.least(F.floor((1 - F.exp(-F.col("ekey") * LEAST_WEIGHT)) * buckets), F.lit(buckets - 1)).cast("long")
     rows = rows.withColumn("bucket", bucket)
     sums = settled(rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words")))
     goals = targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, most)
@@ -86,15 +93,16 @@ def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     goals = settled(goals.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")))
     few = goals.count()
     before = F.sum("words").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("words")
-    edges = sums.withColumn("before", before).join(_near(goals, few), "skey")
+    edges = sums.withColumn("before", before).join(small_or_not(goals, few), "skey")
     edges = edges.filter((F.col("rest") > 0) & (F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words")))
     edges = edges.select("skey", "bucket", "before", "rest")
-    # only the bucket where the budget ends is put in order
-    inside = rows.join(_near(edges, few), ["skey", "bucket"])
+    # only the bucket where the budget ends is put in order, repeats as one
+    inside = rows.join(small_or_not(edges, few), ["skey", "bucket"]).groupBy("skey", "ekey", "doc_id", "before", "rest").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     order = Window.partitionBy("skey").orderBy("ekey", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("before", F.col("before") + F.sum("size").over(order) - F.col("size"))
     inside = inside.filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size")))
-    cuts = inside.groupBy("skey").agg(F.min(F.struct("ekey", "doc_id", (F.col("rest") - F.col("before")).alias("words"))).alias("cut"))
+    each = F.floor((F.col("rest") - F.col("before")) / F.col("rows")).cast("long")
+    cuts = inside.groupBy("skey").agg(F.min(F.struct("ekey", "doc_id", each.alias("words"))).alias("cut"))
     return settled(goals.join(cuts, "skey", "left").select("skey", "source_size", "target", "epochs", F.col("cut.ekey").alias("cut_ekey"), F.col("cut.doc_id").alias("cut_doc"), F.col("cut.words").alias("cut_words")))
 
 
@@ -109,7 +117,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target and taken for each document."""
     rows = settled(sized(docs))
     plans = plan(rows, weights, most)
-    out = rows.join(_near(plans, plans.count()), "skey")
+    out = rows.join(small_or_not(plans), "skey")
     taken = F.col("epochs") * F.col("size") + extra_words(F.col("size"), F.col("ekey"), F.col("doc_id"))
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
@@ -120,9 +128,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     names = docs.columns
     plans = plan(settled(sized(docs)), weights, most)
     held, row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), F.col("row")
-    ekey = -F.log(uniform(row["doc_id"])) / quality_weight(row["text"])
-    held = held.select("row", source_key(row["source"]).alias("skey"), n_words(row["text"]).alias("size"), ekey.alias("ekey"))
-    held = held.join(_near(plans, plans.count()), "skey")
+    held = held.select("row", source_key(row["source"]).alias("skey"), n_words(row["text"]).alias("size"), exponential(row["doc_id"], row["text"]).alias("ekey"))
+    held = held.join(small_or_not(plans), "skey")
     held = held.withColumn("extra", extra_words(F.col("size"), F.col("ekey"), row["doc_id"]))
     whole = F.col("epochs") + F.when((F.col("extra") > 0) & (F.col("extra") == F.col("size")), 1).otherwise(0)
     part = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), F.col("extra"))
@@ -143,7 +150,7 @@ OP3_SQL = r"""
 with sized as (
   select doc_id, source, case when source is null then '1' else '0' || source end as skey,
          cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-         -ln((('0x' || substr(md5('mix-1' || coalesce(cast(doc_id as varchar), '')), 1, 12))::bigint::double + 1.0) / 281474976710656.0)
+         -ln((('0x' || substr(md5('mix-1' || coalesce(cast(doc_id as varchar), '-' || md5(text), '')), 1, 12))::bigint::double + 1.0) / 281474976710656.0)
            / coalesce(greatest(0.25, 1.0::double / (1.0::double + 20.0::double * ((length(text) - length(translate(text, '#*$%&|<>', ''))) / greatest(length(text), 1)))), 1.0) as ekey
   from documents),
 sources as (select skey, cast(sum(size) as bigint) as source_size from sized group by skey),

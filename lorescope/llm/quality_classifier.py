@@ -5,9 +5,12 @@ always. Expectation-maximisation over the counts of vote patterns (at most 2^8,
 estimates each labeller's accuracy and the share of good documents. The posteriors label a bounded
 sample, on which logistic regression over hashed features of the text is trained, which then scores all.
 
-Defined results. A null or blank text gets votes as any other and is scored. Repeated rows are scored alike.
-An empty table gives no row; if the sample has posteriors on one side only, the posterior is the
-score. Only doc_id and text are read.
+How many different words a text should have grows with its length n as n^0.65 (measured on plain documents of 20 to 20,000
+words, and near what is known of natural text), so one limit on different / n^0.65 holds at every length.
+
+Defined results. A null or blank text gets votes as any other and is scored. Repeated rows are scored alike. A very
+long text is voted on and described whole. An empty table gives no row; if the sample has posteriors on one side
+only, the posterior is the score. Only doc_id and text are read.
 """
 
 import numpy as np
@@ -25,48 +28,65 @@ BASE_TOKENS = 20
 PRIOR_GOOD = 0.85
 #: A labeller is taken to be right more often than not to begin with.
 START_ACCURACY = 0.8
+#: Different words of a text of n words, over n ** GROWTH: fewer are few, more are enough.
+GROWTH, FEW, ENOUGH = 0.65, 1.2, 1.5
+#: How often a mark of repetition stands for each word that it is about.
+MARKS = 4
+#: From this number of words on few different ones mean something.
+LEAST_WORDS = 20
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, text, w (words), n, distinct, same (words equal to the one before), usual (n ** GROWTH), lines and other_lines."""
+    df = docs.select("doc_id", text_or_empty().alias("text"))
+    df = df.withColumns({"w": F.array_remove(F.split("text", SPACE), ""), "rows": F.array_remove(F.split("text", "\n"), "")})
+    sizes = {
+        "n": F.size("w"),
+        "distinct": F.size(F.array_distinct("w")),
+        "same": F.size(F.filter(F.zip_with("w", F.slice("w", 2, 2**30), lambda a, b: a == b), lambda x: x)),
+        "lines": F.size("rows"),
+        "other_lines": F.size(F.array_distinct("rows")),
+    }
+    return df.withColumns(sizes).withColumn("usual", F.pow(F.col("n").cast("double"), F.lit(GROWTH))).drop("rows")
 
 
 def voted(docs: DataFrame) -> DataFrame:
     """doc_id and the votes: 1 good, 0 bad, -1 none."""
-    text = F.col("text")
-    df = docs.select("doc_id", text_or_empty().alias("text"))
-    df = df.withColumns({"w": F.array_remove(F.split(text, SPACE), ""), "rows": F.array_remove(F.split(text, "\n"), ""), "chars": F.greatest(F.length(text), F.lit(1))})
-    df = df.withColumns(
+    text, n, distinct = F.col("text"), F.col("n"), F.col("distinct")
+    df = measured(docs).withColumns(
         {
-            "n": F.size("w"),
-            "distinct": F.size(F.array_distinct("w")),
-            "same": F.size(F.filter(F.zip_with("w", F.slice("w", 2, 2**30), lambda a, b: a == b), lambda x: x)),
+            "chars": F.greatest(F.length(text), F.lit(1)),
             "upper": F.length(F.regexp_replace(text, "[^A-Z]+", "")),
             "signs": F.length(F.regexp_replace(text, "[^#*$%&|<>!]+", "")),
-            "bars": F.size("w") - F.size(F.array_remove("w", "|")),
-            "lines": F.size("rows"),
-            "other_lines": F.size(F.array_distinct("rows")),
+            "bars": n - F.size(F.array_remove("w", "|")),
         }
     )
-    n, chars = F.col("n"), F.col("chars")
+    chars = F.col("chars")
     bad = [
         F.col("signs") > 0.03 * chars,
         F.col("upper") > 0.3 * chars,
         F.col("same") > 0.15 * n,
-        (n >= 20) & (F.col("distinct") < 0.3 * n) & (n < 2000),
+        (n >= LEAST_WORDS) & (distinct < FEW * F.col("usual")),
         (F.col("lines") >= 4) & (F.col("other_lines") < 0.6 * F.col("lines")),
         F.col("bars") > 0.1 * n,
     ]
     good = [
         (n >= 1) & (F.col("signs") < 0.005 * chars) & (F.col("upper") < 0.1 * chars) & (F.col("same") < 0.02 * n),
-        (n >= 1) & ((F.col("distinct") > 0.4 * n) | (n >= 2000)) & (F.col("bars") == 0) & (F.col("other_lines") >= 0.9 * F.col("lines")),
+        (n >= 1) & ((distinct > ENOUGH * F.col("usual")) | (distinct == n)) & (F.col("bars") == 0) & (F.col("other_lines") >= 0.9 * F.col("lines")),
     ]
     votes = [F.when(b, 0).otherwise(-1) for b in bad] + [F.when(g, 1).otherwise(-1) for g in good]
     return df.select("doc_id", F.array(*votes).alias("votes"))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs with tokens: how each word ends, a mark for each word that repeats the one before, and the base tokens."""
-    words = docs.withColumn("w", F.array_remove(F.split(text_or_empty(), SPACE), ""))
+    """doc_id with tokens: how each word ends, a mark for each word that repeats the one before, marks in proportion to
+    what is missing of the usual different words and to the repeated lines, and the base tokens."""
     ends = F.transform("w", lambda x: F.substring(x, -2, 2))
-    repeats = F.filter(F.zip_with("w", F.slice("w", 2, 2**30), lambda a, b: F.when(a == b, F.lit("=same="))), lambda x: x.isNotNull())
-    return words.withColumn("tokens", F.concat(ends, repeats, F.array_repeat(F.lit("=base="), BASE_TOKENS))).drop("w", "text")
+    n = F.col("n")
+    missing = F.when(n >= LEAST_WORDS, n * F.greatest(F.lit(0.0), 1 - F.col("distinct") / (ENOUGH * F.col("usual")))).otherwise(F.lit(0.0))
+    again = n * (1 - F.col("other_lines") / F.greatest("lines", F.lit(1)))
+    marks = [F.array_repeat(F.lit(f"={name}="), F.round(MARKS * k).cast("int")) for name, k in (("same", F.col("same")), ("few", missing), ("line", F.when(F.col("lines") > 1, again).otherwise(F.lit(0.0))))]
+    return measured(docs).select("doc_id", F.concat(ends, *marks, F.array_repeat(F.lit("=base="), BASE_TOKENS)).alias("tokens"))
 
 
 LABELLERS = 8

@@ -1,9 +1,13 @@
-"""Secret scans: fixed patterns, and character Markov models for what they miss.
+"""Secret scans: character Markov models by log-likelihood ratio, and fixed patterns beside them.
 
-Two first-order models are trained: one of random strings, one of ordinary identifiers. A run of
-identifier characters, or what the patterns leave of it, is a secret of kind `random` if the log-likelihood
-ratio of the models, per character and as a whole, is high. Training strings come labelled: random ones are drawn by hash in
-the usual alphabets, ordinary ones are the words of a sample of documents, joined as identifiers are. Counting transitions is a Spark aggregation with at most 96 * 96 results a label.
+Two first-order models are trained: one of random strings, one of ordinary identifiers. A run of identifier
+characters is a secret of kind `random` if the log-likelihood ratio of the models, per character and as a whole, is
+high; of a run that isn't, the parts that the patterns leave are judged alone, so that a key glued to a plain word or
+to a patterned secret is found. The patterns' own spans always stay, and the model's may overlap them. Training
+strings come labelled: random ones are drawn by hash in the usual alphabets, ordinary ones are the words of a sample
+of documents (SAMPLE_DOCS), joined as identifiers are. Counting transitions is a Spark aggregation with at most 96 * 96 results a label.
+
+Runs and patterns are swept once in order, so the time is linear in a text's length, also for texts of many megabytes.
 
 Defined results. A null or empty text has no span. Repeated rows are scanned alike, an empty table
 gives no row, and only doc_id and text are read.
@@ -26,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: The model's own kind: runs of at least so many of these characters.
-LEAST_RUN = 16
+LEAST_RUN = 12
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 RANDOM = "random"
 LEAST_RATIO, LEAST_TOTAL = 0.6, 12.0
@@ -92,32 +96,42 @@ def is_random(run: str, table: np.ndarray) -> bool:
     return each >= LEAST_RATIO and total >= LEAST_TOTAL
 
 
-def uncovered(start: int, end: int, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """The parts of start to end that no span (sorted by start) covers."""
-    parts, at = [], start
+def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What spans (sorted by start) cover, as intervals that don't touch."""
+    out: list[tuple[int, int]] = []
     for a, b, _ in spans:
-        if b > at and a < end:
-            if a > at:
-                parts.append((at, a))
-            at = b
-    return [*parts, (at, end)] if at < end else parts
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def model_spans(text: str, table: np.ndarray, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Runs that the models take for random, or else such parts of them as spans leave."""
+    covered, at = merged(spans), 0
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        if is_random(m[0], table):
+            yield start, end, RANDOM
+            continue
+        k = at
+        while k < len(covered) and covered[k][0] < end:
+            if covered[k][0] - start >= LEAST_RUN and is_random(text[start : covered[k][0]], table):
+                yield start, covered[k][0], RANDOM
+            start = covered[k][1]
+            k += 1
+        if k > at and end - start >= LEAST_RUN and is_random(text[start:end], table):
+            yield start, end, RANDOM
 
 
 def all_spans(text: str, table: np.ndarray) -> list[tuple[int, int, str]]:
-    """The base spans and those of the model, which lie clear of them."""
+    """The base spans and the model's, by start, then kind."""
     spans = base_spans(text)
-    more = []
-    for m in RUN.finditer(text):
-        whole = is_random(m[0], table)
-        for a, b in uncovered(m.start(), m.end(), spans):
-            if b - a >= LEAST_RUN:
-                found = is_random(text[a:b], table)
-            else:  # too short alone: the end of a random run, if its own transitions (one from each neighbour) are random too
-                near = text[max(a - 1, m.start()) : min(b + 1, m.end())]
-                found = whole and ratio(near, table)[0] >= LEAST_RATIO
-            if found:
-                more.append((a, b, RANDOM))
-    return sorted(spans + more, key=lambda s: s[0]) if more else spans
+    found = [*model_spans(text, table, spans)]
+    return sorted(spans + found, key=lambda s: s[0]) if found else spans
 
 
 def _told(spans) -> str:

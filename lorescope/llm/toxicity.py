@@ -2,17 +2,25 @@
 
 Text is folded first: case, accents, full-width and look-alike letters, digits and signs that stand for
 letters, and hidden characters. Lexicon entries are words or beginnings of words; their weights
-are log odds over labelled training rows, of which copies and near copies count as one. Matches inside an exception phrase don't count. The sum is
-normalised by length, and a logistic curve through the training rows makes it a score.
-
-Defined results. A null or empty text matches nothing and gets the curve's score for that. Repeated
-rows are scored alike; a doc_id with several labels is toxic if one says so; null labels are left
-out; a row without a doc_id is not held out. Without labelled rows of both kinds nothing is learned and every score is 0. An empty table
-gives no row. Of documents only doc_id and text are read, of labels only doc_id and toxic.
+are log odds over labelled training rows, of which copies and near copies count as one, and each must stand between
+different neighbours (LEAST_CONTEXTS), as words of one much edited document don't. Matches inside an exception phrase
+don't count: some phrases are fixed, others are learned, namely an entry's word with its neighbour on one side, if
+clean documents have it as often as toxic ones. The sum is normalised by length, and a logistic curve through the
+training rows makes it a score.
+
+Bounds of what is learned: about TRAIN_ROWS labelled rows, one for each doc_id; LEXICON entries and PHRASES exceptions, the
+strongest; words of over LONGEST_WORD letters are no entries, their beginnings are. The summed weight counts up to MOST_WEIGHT.
+
+Defined results. A null or empty text matches nothing and gets the curve's score for that. A very long text is matched
+whole, in time linear in its length. Repeated rows are scored alike; a doc_id of any type will do; one with several labels
+is toxic if one says so; null labels are left out; a row without a doc_id is not held out. Without labelled rows of both
+kinds nothing is learned and every score is 0. An empty table gives no row. Of documents only doc_id and text are read,
+of labels only doc_id and toxic.
 """
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,8 +38,12 @@ TRAIN_ROWS = 8000
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 2.3
 #: Words of a shingle by which copies are known.
 COPY_SHINGLE = 5
-SHORTEST, LONGEST = 4, 9
-LEXICON = 2000
+SHORTEST, LONGEST, LONGEST_WORD = 4, 9, 40
+LEXICON, PHRASES = 2000, 500
+#: Pairs of neighbours (the words before and after) between which toxic training documents have an entry, at least.
+LEAST_CONTEXTS = 5
+#: Largest summed weight that the curve tells apart.
+MOST_WEIGHT = 100.0
 #: Phrases in which a lexicon word is meant otherwise.
 EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "sore loser", "pond scum", "scum line")
 #: Letters of other scripts that look like Latin ones, and digits that stand for letters.
@@ -99,13 +111,16 @@ class Model:
                     spared.append((start, end))
                 elif weight > best.get(start, 0):
                     best[start] = weight
-        total = sum(w for at, w in best.items() if not any(a <= at < b for a, b in spared)) if spared else sum(best.values())
-        return total, max(line.count(" ") - 1, 1)
+        if spared:
+            spared.sort()
+            starts, ends = [a for a, _ in spared], np.maximum.accumulate([b for _, b in spared]).tolist()
+            best = {at: w for at, w in best.items() if not (k := bisect_right(starts, at)) or at >= ends[k - 1]}
+        return sum(best.values()), max(line.count(" ") - 1, 1)
 
     def score(self, text: str) -> float:
         total, n = self.matched(text)
         a, b, c = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a + b * total / np.sqrt(n) + c * min(total, 100.0), -50, 50))))
+        return float(1 / (1 + np.exp(-np.clip(a + b * total / np.sqrt(n) + c * min(total, MOST_WEIGHT), -50, 50))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -138,15 +153,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """text and toxic of a bounded sample of labelled rows that are not held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = sampled(settled(known), rows, "doc_id")
-    # about `rows` rows of two numbers, so the documents need not move
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # about `rows` rows of two numbers, so the documents need not move; repeats of a doc_id become one row
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def entries_of(line: str) -> set[str]:
     """The whole words of a folded text and their beginnings."""
     found = set()
     for w in set(line.split()):
-        if len(w) <= 40:
+        if len(w) <= LONGEST_WORD:
             found.add(f" {w} ")
         for n in range(SHORTEST, min(LONGEST, len(w) - 1) + 1):
             found.add(f" {w[:n]}")
@@ -171,8 +187,44 @@ def learned(train: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
     sums = train.mapInPandas(counted, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     best = sums.filter(F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * n[1])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    rows = best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "entry").limit(LEXICON).collect()
-    return {r["entry"]: r["odds"] for r in rows}
+    found = {r["entry"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "entry").limit(LEXICON).collect()}
+    return {k: w for k, w in found.items() if k in spread(train, set(found))}
+
+
+def spread(train: DataFrame, entries: set[str]) -> set[str]:
+    """The entries that toxic rows have between LEAST_CONTEXTS pairs of neighbours or more."""
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = set()
+            for text in batch.text:
+                words = ["", *folded(text).split(), ""]
+                for before, w, after in zip(words, words[1:], words[2:], strict=False):
+                    seen.update((e, f"{before} {after}") for e in entries_of(w) & entries)
+            yield pd.DataFrame(sorted(seen), columns=["entry", "context"], dtype=object)
+
+    pairs = train.filter("toxic = 1").select("text").mapInPandas(contexts, "entry string, context string").distinct()
+    return {r["entry"] for r in pairs.groupBy("entry").count().filter(F.col("count") >= LEAST_CONTEXTS).collect()}  # at most LEXICON
+
+
+def learned_exceptions(train: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
+    """Phrases of two words, one with an entry, that LEAST_DOCS clean rows have, and in no smaller share than toxic ones."""
+    entries = set(weights)
+
+    def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = {0: Counter(), 1: Counter()}
+            for text, label in zip(batch.text, batch.toxic, strict=True):
+                words = folded(text).split()
+                hit = [not entries.isdisjoint(entries_of(w)) for w in words]
+                counts[int(label == 1)].update({f"{a} {b}" for k, (a, b) in enumerate(zip(words, words[1:], strict=False)) if hit[k] or hit[k + 1]})
+            keys = sorted(counts[0].keys() | counts[1].keys())
+            yield pd.DataFrame({"phrase": keys, "t": [counts[1][k] for k in keys], "c": [counts[0][k] for k in keys]})
+
+    n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    sums = train.mapInPandas(phrases, "phrase string, t long, c long").groupBy("phrase").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    mostly_clean = (F.col("c") >= LEAST_DOCS) & (F.col("c") * n[1] >= F.col("t") * n[0])
+    return tuple(r["phrase"] for r in sums.filter(mostly_clean).orderBy(F.desc("c"), "phrase").limit(PHRASES).collect())
 
 
 def fitted(points: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
@@ -193,15 +245,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     model = Model(learned(sample))
     if not model.weights:
         return model
+    model = Model(model.weights, exceptions=EXCEPTIONS + learned_exceptions(sample, model.weights))
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [model.matched(t) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "total": [a for a, _ in found], "n": [b for _, b in found], "toxic": batch.toxic})
+            yield pd.DataFrame({"total": [a for a, _ in found], "n": [b for _, b in found], "toxic": batch.toxic})
 
-    seen = sample.mapInPandas(points, "doc_id long, total double, n long, toxic long").toPandas()  # numbers of the bounded sample
-    seen = seen.sort_values(["doc_id", "total"])
-    model.curve = fitted(np.column_stack([seen.total / np.sqrt(seen.n), seen.total.clip(upper=100.0)]), (seen.toxic == 1).to_numpy(float))
+    seen = sample.select("text", F.col("toxic").cast("long")).mapInPandas(points, "total double, n long, toxic long").toPandas()  # numbers of the bounded sample
+    seen = seen.sort_values(["total", "n", "toxic"])
+    model.curve = fitted(np.column_stack([seen.total / np.sqrt(seen.n), seen.total.clip(upper=MOST_WEIGHT)]), (seen.toxic == 1).to_numpy(float))
     return model
 
 

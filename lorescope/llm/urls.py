@@ -3,20 +3,22 @@
 The list goes into a blocked Bloom filter: a URL's bits all lie in one block of eight 64-bit words,
 built by bit_or over the list. Blocks are bounded in number, so they are broadcast; what they pass goes
 to an exact join with the list, which removes false positives. A longer list than the filter is made
-for passes more to that join, and loses nothing.
+for passes more to that join, and loses nothing. A URL that a third of all pages share is counted first and meets
+a broadcast of its verdict.
 
-Defined results. A null url, or one without `://`, has an empty host and path and fits no rule. Repeated
-rows are judged alike, an empty table gives no row, and only page_id and url are read.
+Defined results. A null url, or one without `://`, has an empty host and path, fits no rule and is never listed. Repeated
+rows are judged alike, very long URLs whole, an empty table gives no row, and only page_id and url are read.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settled
+from .common import settled, with_totals
 
 #: Verdict, host and path of each rule. A few, so they stand in the plan itself.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Hosts with these words make the list of blocked URLs in the query.
-LISTED_WORDS = ("adult", "bets", "casino", "pills", "spam")
+#: The query's list: canonical URLs of which the first 16 bits of the MD5 are divisible by this, and for each of
+#: them one that no page has.
+LISTED_ONE_IN = 16
 #: URLs of a block of 512 bits, and blocks at most (64 MB, 32 million URLs at that filling).
 URLS_PER_BLOCK, MOST_BLOCKS = 32, 1 << 20
 WORDS = 8
@@ -83,20 +85,23 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     urls = settled(flagged(parts(pages).withColumn("fit", fitting(rules)), listed))
     asked = F.col("maybe") & F.col("fit").isNull()
     hits = urls.filter(asked)
-    blocked = hits.select("canonical").distinct().join(listed, "canonical")  # exact
-    hits = hits.join(blocked.withColumn("listed", F.lit(True)), "canonical", "left").select(*urls.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
+    found = hits.groupBy("canonical").agg(F.count("*").alias("n"))
+    found = settled(found.join(listed.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False))))  # exact
+    hits = with_totals(hits, found, "canonical").select(*urls.columns, "listed")
     out = urls.filter(~asked).withColumn("listed", F.lit(False)).unionByName(hits)
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-def spam_urls(pages: DataFrame) -> DataFrame:
-    """The query's list: canonical URLs of hosts with the listed words."""
-    return parts(pages).filter(F.col("host").rlike("|".join(LISTED_WORDS))).select("canonical").distinct()
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The query's list, drawn by hash, so that it has nothing to do with hosts, paths or rules."""
+    share = F.conv(F.substring(F.md5("canonical"), 1, 4), 16, 10).cast("int") % LISTED_ONE_IN == 0
+    drawn = parts(pages).filter(share & (F.col("canonical") != "")).select("canonical").distinct()
+    return drawn.select(F.explode(F.array("canonical", F.concat("canonical", F.lit("/gone")))).alias("canonical"))
 
 
 def op8_urls(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return judged(pages, spam_urls(pages))
+    return judged(pages, listed_urls(pages))
 
 
 OP8_SQL = rf"""
@@ -105,18 +110,17 @@ with parts as (
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
   from pages),
 ruled as (
-  select *, case
+  select *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') as canonical, case
       when ('.' || host) like '%.www.example.com' and starts_with(path, '/en/') then 'www.example.com/en/'
       when ('.' || host) like '%.example.com' and starts_with(path, '/en/') then 'example.com/en/'
       when ('.' || host) like '%.net' and starts_with(path, '/es/') then 'net/es/'
       when ('.' || host) like '%.net' and starts_with(path, '/fr/') then 'net/fr/'
       when ('.' || host) like '%.com' and starts_with(path, '/') then 'com/' end as rule
-  from parts)
+  from parts),
+drawn as (select distinct canonical from ruled where canonical <> '' and ('0x' || substr(md5(canonical), 1, 4))::int % {LISTED_ONE_IN} = 0),
+listed as (select canonical from drawn union select canonical || '/gone' from drawn)
 select page_id, host, path, rule, case
     when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
-    when regexp_matches(host, '{'|'.join(LISTED_WORDS)}') then 'block'
-    when regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') in
-      (select regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') from parts where regexp_matches(host, '{'|'.join(LISTED_WORDS)}')) then 'block'
-    else 'allow' end as verdict
+    when canonical in (select canonical from listed) then 'block' else 'allow' end as verdict
 from ruled
 """

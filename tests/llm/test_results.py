@@ -137,14 +137,12 @@ def test_scan_and_redaction(spark, docs):
     table = secrets.train(docs)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in secrets.scan(docs, table).collect():
-        base = secrets.base_spans(texts[r["doc_id"]])
-        told = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        told = ",".join(s for s in r["spans"].split(",") if not s.startswith(secrets.RANDOM))
         assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
-        assert set(filter(None, told.split(","))) <= set(r["spans"].split(","))
-        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for *_, k in base) for x in secrets.KINDS)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(told.count(k) for k in secrets.KINDS)
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, table).collect()}
     for d, t in texts.items():
-        assert not secrets.base_spans(clean[d]) or "[" in clean[d]
+        assert not secrets.base_spans(clean[d])
         assert (clean[d] == t) == (not secrets.all_spans(t, table))
 
 
@@ -299,12 +297,63 @@ def test_a_long_chain_settles(spark):
 
 
 def test_licenses_found_and_nothing_else(spark):
-    mit, apache = (license_scan.TEMPLATES[k] for k in ("MIT", "Apache-2.0"))
+    mit, apache = (license_scan.NOTICES[k] for k in ("MIT", "Apache-2.0"))
     df = spark.createDataFrame([(i, f"{prose(i, 30)}\n{mit}\n{prose(i + 500, 30)}") for i in range(100)] + [(200, apache.upper()), (201, mit[:20]), (202, "licensed under the old license version"), (203, None), (204, "The GNU General Public License, version 3, this work is licensed under")], "doc_id long, text string")
     out = rows(license_scan.matches(df).select("doc_id", "license"))
     assert out == sorted([(i, "MIT") for i in range(100)] + [(200, "Apache-2.0")], key=repr)
 
 
+def license_words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower()) if w]
+
+
+def plain_licenses(texts: dict) -> set:
+    """Every document against every template, by words."""
+    found = set()
+    known = {k: license_words(t) for k, t in (license_scan.NOTICES | license_scan.TEXTS).items()}
+    for d, text in texts.items():
+        w = license_words(text)
+        have = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for name, t in known.items():
+            covered = {i + k for i in range(len(t) - 4) if tuple(t[i : i + 5]) in have for k in range(5)}
+            if len(covered) >= 0.8 * len(t):
+                found.add((d, name))
+    return found
+
+
+def test_changed_license_texts(spark):
+    """Each twentieth word changed, by chance, in whole texts; a middle word in lines. What exact comparison finds is found."""
+    rng, texts = np.random.default_rng(6), {}
+    for k, (name, text) in enumerate(license_scan.TEXTS.items()):
+        for share, copies in ((0.05, 25), (0.1, 15)):
+            for c in range(copies):
+                w = text.split()
+                for i in rng.choice(len(w), round(share * len(w)), replace=False):
+                    w[i] = f"other{i}"
+                texts[len(texts)] = f"{prose(k, 40)} {' '.join(w)} {prose(c, 50)}"
+    five = {i for i in texts if i % 40 < 25}
+    for text in license_scan.NOTICES.values():
+        w = text.split()
+        w[len(w) // 2] = "other"
+        texts[len(texts)] = f"{prose(1, 40)} {' '.join(w)} {prose(2, 50)}"
+    texts[len(texts)] = None
+    texts[len(texts)] = " ".join(prose(i, 3000) for i in range(100)) + license_scan.TEXTS["ISC-text"]
+    out = rows(license_scan.matches(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).select("doc_id", "license"))
+    want, found = plain_licenses(texts), {tuple(r) for r in out}
+    assert found <= want and len(found) >= 0.995 * len(want)
+    names = list(license_scan.TEXTS)
+    assert np.mean([(i, names[i // 40]) in found for i in five]) > 0.98
+    assert sum(d >= 40 * len(names) for d, _ in found) > 5
+
+
+def test_license_rows_without_an_id(spark):
+    mit = license_scan.NOTICES["MIT"]
+    df = spark.createDataFrame([(None, f"{prose(i % 3, 20)} {mit}") for i in range(9)] + [(None, mit[:8])], "doc_id long, text string")
+    assert rows(license_scan.matches(df).select("doc_id", "license")) == [(None, "MIT")] * 3
+    with pytest.raises(ValueError):
+        license_scan.matches(df, {"x": "too short a line"})
+
+
 @pytest.mark.parametrize("text", ["", "a", "x" * 192, "é" * 500, prose(3, 5000)])
 def test_images_round_trip(text):
     payload, n = media.padded(text)

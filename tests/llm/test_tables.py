@@ -72,9 +72,23 @@ def test_urls(spark):
 
 
 def test_the_list_of_the_query_blocks_pages(spark):
-    out = QUERIES["op8_urls"](spark, "/root/testdata/sf0.1")
-    blocked = out.filter("rule is null and verdict = 'block'")
-    assert 0 < blocked.count() == blocked.filter(F.col("host").rlike("|".join(urls.LISTED_WORDS))).count()
+    """What the list blocks is no matter of hosts: they have other pages that are let through."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    out = [r for r in QUERIES["op8_urls"](spark, "/root/testdata/sf0.1").collect() if r["rule"] is None]
+    listed = {r["canonical"] for r in urls.listed_urls(pages).collect()}
+    of = {r["page_id"]: r["canonical"] for r in urls.parts(pages).collect()}
+    assert all((r["verdict"] == "block") == (of[r["page_id"]] in listed) for r in out)
+    blocked = sum(r["verdict"] == "block" for r in out)
+    assert len(out) // 32 < blocked < len(out) // 8
+    ends = {v: {r["host"].rpartition(".")[2] for r in out if r["verdict"] == v} for v in ("allow", "block")}
+    assert ends["block"] <= ends["allow"]
+
+
+def test_a_url_that_most_pages_share(spark):
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 > 0, F.lit("http://hot.org/x")).otherwise(F.concat(F.lit("http://h.org/"), F.col("id").cast("string"))).alias("url"))
+    listed = spark.createDataFrame([("hot.org/x",), ("h.org/3",)], "canonical string")
+    out = {r["page_id"]: r["verdict"] for r in urls.judged(pages, listed).collect()}
+    assert len(out) == 4000 and all((v == "block") == (i % 3 > 0 or i == 3) for i, v in out.items())
 
 
 def test_bloom_has_no_false_negative_and_few_positives(spark):
@@ -82,4 +96,7 @@ def test_bloom_has_no_false_negative_and_few_positives(spark):
     asked = spark.range(2000, 12000).select(F.concat(F.lit("h.org/"), F.col("id").cast("string")).alias("canonical"), "id")
     out = urls.flagged(asked, listed)
     assert out.filter("id < 3000 and not maybe").count() == 0
-    assert out.filter("id >= 3000 and maybe").count() < 300
+    wrong = out.filter("id >= 3000 and maybe").count()
+    assert 0 < wrong < 100  # of 9,000; the exact join takes them out
+    pages = asked.select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), "canonical").alias("url"))
+    assert urls.judged(pages, listed).filter("(verdict = 'block') <> (page_id < 3000)").count() == 0
