@@ -21,7 +21,3 @@ def point_id(metadata_type: Column, id_: Column, name: Column, content: Column)
 def content_hash(raw: Column) -> Column:
     """SHA-256 of a JSON text, whatever the order of its keys."""
     return F.sha2(F.to_json(F.parse_json(raw)), 256)
-
-
-def columns_hash(*columns: str) -> Column:
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

@@ -1,21 +1,25 @@
 """What changed between two snapshots, by content hash, and reuse of what did not."""
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 NEW, CHANGED, UNCHANGED, REMOVED = "new", "changed", "unchanged", "removed"
 
 
 def has_changed(items: DataFrame, state: DataFrame) -> DataFrame:
-    """items(entity_type, entity_id, content_hash) with `changed`; an unknown item has changed."""
-    known = state.select("entity_type", "entity_id", F.col("content_hash").alias("__known"))
+    """items(entity_type, entity_id, content_hash) with `changed`; an unknown item has changed. Null hashes are equal."""
+    known = state.select("entity_type", "entity_id", F.col("content_hash").alias("__known"), F.lit(True).alias("__there"))
     out = items.join(known, ["entity_type", "entity_id"], "left")
-    return out.withColumn("changed", F.col("__known").isNull() | (F.col("__known") != F.col("content_hash"))).drop("__known")
+    return out.withColumn("changed", F.col("__there").isNull() | ~F.col("__known").eqNullSafe(F.col("content_hash"))).drop("__known", "__there")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and status; old and new have keys and content_hash."""
-    a, b = old.select(*keys, F.col("content_hash").alias("__old")), new.select(*keys, F.col("content_hash").alias("__new"))
-    status: Column = F.when(F.col("__old").isNull(), NEW).when(F.col("__new").isNull(), REMOVED).when(F.col("__old") == F.col("__new"), UNCHANGED).otherwise(CHANGED)
+    """keys and status; old and new have keys and content_hash. Null hashes are equal."""
+    a = old.select(*keys, F.col("content_hash").alias("__old"), F.lit(True).alias("__was"))
+    b = new.select(*keys, F.col("content_hash").alias("__new"), F.lit(True).alias("__is"))
+    status: Column = F.when(F.col("__was").isNull(), NEW).when(F.col("__is").isNull(), REMOVED).when(F.col("__old").eqNullSafe(F.col("__new")), UNCHANGED).otherwise(CHANGED)
     return a.join(b, keys, "full").select(*keys, status.alias("status"))
 
 
@@ -27,7 +31,7 @@ def incremental(previous: DataFrame, listing: DataFrame, fresh: DataFrame, key:
     """
     if force_full:
         return fresh.join(listing.select(key), key, "left_semi")
-    same = F.col("previous_hash").eqNullSafe(F.col("content_hash"))
+    same = F.col("previous_hash").isNotNull() & (F.col("previous_hash") == F.col("content_hash"))
     if parents is not None:
         listing = listing.join(parents.select(parent_key, F.col("unchanged").alias("__above")), parent_key, "left")
         same = same | F.coalesce("__above", F.lit(False))
@@ -38,6 +42,41 @@ def incremental(previous: DataFrame, listing: DataFrame, fresh: DataFrame, key:
     return old.unionByName(fresh.join(judged.filter("not __same").select(key), key, "left_semi"), allowMissingColumns=True)
 
 
+@dataclass(frozen=True)
+class Level:
+    """One level of a hierarchy: what the last run kept, what is listed now with its content_hash, and what a fresh
+    reading gives. key names an item in all three, parent_key the item's parent in listing; both are as in the parent."""
+
+    name: str
+    key: str
+    previous: DataFrame
+    listing: DataFrame
+    fresh: DataFrame
+    parent: str | None = None
+    parent_key: str | None = None
+
+
+def incremental_levels(levels: list[Level], state: DataFrame, force_full: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each level's rows, and the new state (entity_type, entity_id, content_hash), from the state of the last run.
+
+    Parents come before children. An item whose own hash is unchanged, or that stands under an unchanged one, is
+    taken from the last run with all that lies below it; of a changed or new item the rows are fresh, and its children
+    are judged by their own hashes. An item that the last run has no row of is read afresh whatever its hash. All
+    hashes that are listed go into the new state, those under reused items too.
+    """
+    found, kept, states = {}, {}, []
+    for level in levels:
+        last = state.filter(F.col("entity_type") == level.name).select(F.col("entity_id").alias("__id"), F.col("content_hash").alias("previous_hash"))
+        listing = level.listing.join(last, F.col(level.key).cast("string") == F.col("__id"), "left").drop("__id")
+        above = kept[level.parent].withColumnRenamed("__item", level.parent_key) if level.parent else None
+        found[level.name] = incremental(level.previous, listing, level.fresh, level.key, above, level.parent_key, force_full)
+        same = F.lit(False) if force_full else F.col("previous_hash").isNotNull() & (F.col("previous_hash") == F.col("content_hash"))
+        judged = listing if above is None else listing.join(above, level.parent_key, "left")
+        kept[level.name] = judged.select(F.col(level.key).alias("__item"), (same | (F.coalesce("unchanged", F.lit(False)) if above is not None else F.lit(False))).alias("unchanged"))
+        states.append(listing.select(F.lit(level.name).alias("entity_type"), F.col(level.key).cast("string").alias("entity_id"), "content_hash"))
+    return found, reduce(DataFrame.unionByName, states).distinct()
+
+
 def rolled_over(items: DataFrame) -> DataFrame:
     """The state after a run: the hash of every item seen in it."""
     return items.select("entity_type", "entity_id", "content_hash").distinct()

@@ -4,6 +4,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import prefix_sums, settled, with_totals
+
 #: Formats whose share is measured.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 PHONE = r"^\+[1-9]\d{1,14}$"
@@ -98,11 +100,36 @@ def profile_table(df: DataFrame, rules: dict[str, Rule], k: int = 3) -> DataFram
     )
 
 
+def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column for each share): exact percentiles, linear between neighbours as F.percentile gives them.
+
+    Equal values of a group are counted first. The counts are summed up in order by ranges, whatever the sizes of
+    groups, and only the rows that hold a wanted rank go on, so that no task holds a group's values.
+    """
+    values = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    summed = settled(prefix_sums(values, [by, "v"], {"upto": F.col("k")}))
+    sizes = settled(summed.groupBy(by).agg(F.sum("k").alias("size"), F.min(F.col("upto") - F.col("k")).alias("base"), F.count("*").alias("n")))
+    at = [((F.col("size") - 1) * F.lit(p)).alias(name) for name, p in shares.items()]
+    ranked = with_totals(summed, sizes, by).withColumn("upto", F.col("upto") - F.col("base")).withColumn("from", F.col("upto") - F.col("k"))
+    held = []
+    for name, place in zip(shares, at, strict=True):
+        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            held.append(F.max(F.when((rank >= F.col("from")) & (rank < F.col("upto")), F.col("v"))).alias(f"{name}_{side}"))
+    found = ranked.groupBy(by, "size").agg(*held)
+    parts = [(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place - F.floor(place))).alias(name) for name, place in zip(shares, at, strict=True)]
+    return found.select(by, *parts)
+
+
 def latency_summary(df: DataFrame, by: str, value: str, approximate: bool = False) -> DataFrame:
     """p50, p95, p99, min, max, mean, std and sample_size for each operation."""
-    q = (F.percentile_approx if approximate else F.percentile)(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(by).agg(q.alias("q"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.count(value).alias("sample_size"))
-    return out.select(by, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "min", "max", "mean", "std", "sample_size")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    sums = [F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.count(value).alias("sample_size")]
+    if approximate:
+        out = df.groupBy(by).agg(F.percentile_approx(value, F.array(*map(F.lit, shares.values()))).alias("q"), *sums)
+        out = out.select("*", *[F.col("q")[k].alias(name) for k, name in enumerate(shares)])
+    else:
+        out = df.groupBy(by).agg(*sums).join(percentiles(df, by, value, shares), by, "left")
+    return out.select(by, *shares, "min", "max", "mean", "std", "sample_size")
 
 
 def throughput_summary(df: DataFrame, by: str, seconds: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Top-k search by cosine similarity, filtered by metadata. Ties go by point id."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine
@@ -64,43 +65,85 @@ def table_columns(points: DataFrame, table_id: str, query: list[float] | None =
     return own.orderBy("id").limit(limit) if query is None else top_k(own, query, limit)
 
 
+def related_transformations(points: DataFrame, table_id: str, embed: Callable[[str], list[float]], limit: int = 5) -> DataFrame:
+    """Transformations nearest to the text `table <table_id>`; embed gives a text's vector."""
+    return semantic_search(points, embed(f"table {table_id}"), limit, metadata_type="transformations")
+
+
 def _ranked(scored: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """Rows of length 1; zeros stay."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+def _best(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, limit: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query ids, ids and scores of the `limit` best of each query, ties by id."""
+    order = np.argsort(ids, kind="stable")
+    ids, score = ids[order], np.round(x @ y[order].T, 12)
+    if exclude_self:
+        score[own[:, None] == ids[None, :]] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :limit]
+    found = np.take_along_axis(score, best, 1).ravel()
+    there = np.isfinite(found)
+    return np.repeat(own, best.shape[1])[there], ids[best].ravel()[there], found[there]
+
+
 def batch_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank): exact top-k of queries(query_id, vector) among points(id, vector).
 
-    Both are dealt into blocks, each pair of blocks is a matrix product in one task that gives `limit`
-    rows a query, and the blocks' best are merged. Scores of all pairs never leave a task.
+    Up to `block` queries go to every task with the code, and points stay where they are. Of more, both sides are dealt
+    into blocks, and each pair of blocks is a matrix product in one task. Either way a product gives `limit` rows a
+    query, whose best are merged; scores of all pairs never leave a task. Points and queries without a vector, or
+    with one of another dimension than the first query's, find nothing.
     """
-    a, b = max(1, -(-queries.count() // block)), max(1, -(-points.count() // block))
+    asked = queries.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    first = asked.limit(block + 1).toArrow()  # at most block + 1 vectors
+    kind, asked_kind = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    out = f"query_id {asked_kind}, id {kind}, score double"
+    if not first.num_rows:
+        return _ranked(points.sparkSession.createDataFrame([], out), limit)
+    dim = len(first.column("vector")[0])
+    alike = F.col("vector").isNotNull() & (F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull())
+    asked, points = asked.filter(alike), points.filter(alike).select("id", "vector")
+    names = ["query_id", "id", "score"]
+
+    if first.num_rows <= block:
+        first = first.filter(pc.equal(pc.list_value_length(first.column("vector")), dim)).combine_chunks()
+        own, x = first.column("query_id").combine_chunks().to_numpy(zero_copy_only=False), _matrix(first.column("vector").combine_chunks(), dim)
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for k in range(0, whole.num_rows, BLOCK):
+                    part = whole.slice(k, BLOCK)
+                    found = _best(own, x, part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim), limit, exclude_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
+
+        return _ranked(points.mapInArrow(products, out), limit)
+
+    a, b = max(1, -(-asked.count() // block)), max(1, -(-points.count() // block))
 
     def dealt(df: DataFrame, key: str, own: int, other: int, side: int) -> DataFrame:
         mine, all_ = F.pmod(F.xxhash64(key), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
         df = df.select(F.col(key).alias("key"), "vector", F.lit(side).alias("side"), mine.cast("int").alias("mine"), all_.alias("other"))
         return df.select("key", "vector", "side", *([F.col("mine").alias("i"), F.col("other").alias("j")] if side == 0 else [F.col("other").alias("i"), F.col("mine").alias("j")]))
 
-    both = dealt(queries, "query_id", a, b, 0).union(dealt(points, "id", b, a, 1))
-    kind = points.schema["id"].dataType.simpleString()
-
-    def product(part: pd.DataFrame) -> pd.DataFrame:
-        q, p = (part[part.side == s].sort_values("key") for s in (0, 1))
-        if not len(q) or not len(p):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        x, y = (np.array([np.asarray(v, "f8") for v in s.vector]) for s in (q, p))
-        x, y = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n) for m in (x, y))
-        score = np.round(x @ y.T, 12)
-        ids, own = p.key.to_numpy(), q.key.to_numpy()
-        if exclude_self:
-            score[own[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :limit]
-        out = pd.DataFrame({"query_id": np.repeat(own, best.shape[1]), "id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
-        return out[np.isfinite(out.score)]
-
-    found = both.groupBy("i", "j").applyInPandas(product, f"query_id {kind}, id {kind}, score double")
-    return _ranked(found, limit)
+    def product(part: pa.Table) -> pa.Table:
+        sides = [part.filter(pc.equal(part.column("side"), s)).combine_chunks() for s in (0, 1)]
+        keys, vectors = ([s.column(c) for s in sides] for c in ("key", "vector"))
+        x, y = (_matrix(pa.concat_arrays(v.chunks) if v.num_chunks else pa.array([], v.type), dim) for v in vectors)
+        if not len(x) or not len(y):
+            return pa.table({"query_id": keys[0].slice(0, 0), "id": keys[1].slice(0, 0), "score": pa.array([], pa.float64())})
+        found = _best(keys[0].to_numpy(), x, keys[1].to_numpy(), y, limit, exclude_self)
+        return pa.table(dict(zip(names, map(pa.array, found), strict=True)))
+
+    both = dealt(asked, "query_id", a, b, 0).union(dealt(points, "id", b, a, 1))
+    return _ranked(both.groupBy("i", "j").applyInArrow(product, out), limit)
 
 
 def all_similar(points: DataFrame, limit: int = 5, block: int = BLOCK) -> DataFrame:

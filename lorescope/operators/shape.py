@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.render import dependencies
 from ..sources.schemas import COLUMN
+from .joins import settled, small_or_not, with_totals
 
 
 def explode_columns(details: DataFrame) -> DataFrame:
@@ -18,8 +19,11 @@ def explode_columns(details: DataFrame) -> DataFrame:
 
 
 def tables_by_bucket(tables: DataFrame, bucket: Column, items: list[str]) -> DataFrame:
-    """(bucket_id, tables): sorted lists. For large buckets stay with the long form."""
-    return tables.groupBy(bucket.alias("bucket_id")).agg(F.sort_array(F.collect_list(F.struct(*items))).alias("tables"))
+    """(bucket_id, n_tables, items): the tables of each bucket, in long form, with their number. A bucket that holds a
+    third of all tables is no list and no task of its own."""
+    rows = tables.select(bucket.alias("bucket_id"), *items)
+    counts = settled(rows.groupBy("bucket_id").agg(F.count("*").alias("n"), F.count("*").alias("n_tables")))
+    return with_totals(rows, counts, "bucket_id").select("bucket_id", "n_tables", *items)
 
 
 def tables_of_bucket(tables: DataFrame, bucket: Column, bucket_id: str) -> DataFrame:
@@ -27,41 +31,51 @@ def tables_of_bucket(tables: DataFrame, bucket: Column, bucket_id: str) -> DataF
 
 
 def resolve_linked_tables(details: DataFrame) -> DataFrame:
-    """Linked tables (with source_id) get their source's description and columns, by one hop; without
-    an accessible source they keep their own columns. details(id, name, description, source_id, source_name, columns)."""
-    source = details.select(F.col("id").alias("__id"), F.struct("id", "name", "description").alias("__found"), F.col("columns").alias("__columns"))
+    """Linked tables (with source_id) get their source's description, by one hop, and columns_of, the id of the table
+    whose columns they show: an accessible source, else themselves. details(id, name, description, source_id, source_name)."""
+    source = details.select(F.col("id").alias("__id"), F.struct("id", "name", "description").alias("__found"))
     linked, found = F.col("source_id").isNotNull(), F.col("__found").isNotNull()
     text = F.lit(None).cast("string")
     stub = F.struct(F.col("source_id").alias("id"), text.alias("description"), F.col("source_name").alias("displayName"), F.lit(False).alias("isAccessible"))
     full = F.struct(F.col("__found.id").alias("id"), F.col("__found.description").alias("description"), F.col("__found.name").alias("displayName"), F.lit(True).alias("isAccessible"))
     out = details.join(source, details["source_id"] == source["__id"], "left")
-    out = out.withColumns({"isLinked": linked, "sourceTableDetails": F.when(linked & found, full).when(linked, stub)})
-    columns = F.when(linked & found, F.coalesce("__columns", F.array().cast(details.schema["columns"].dataType))).otherwise(F.coalesce("columns", F.array().cast(details.schema["columns"].dataType)))
-    return out.withColumn("columns", columns).drop("__id", "__found", "__columns")
+    out = out.withColumns({"isLinked": linked, "sourceTableDetails": F.when(linked & found, full).when(linked, stub), "columns_of": F.when(linked & found, F.col("source_id")).otherwise(F.col("id"))})
+    return out.drop("__id", "__found")
 
 
-def _lists(children: DataFrame, keys: list[str], name: str) -> DataFrame:
-    fields = [c for c in children.columns if c not in keys]
-    return children.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+def linked_columns(resolved: DataFrame, columns: DataFrame) -> DataFrame:
+    """columns(table_id, ...) of every table of resolve_linked_tables(), a linked table's taken from its source; table_id is
+    the table that shows them."""
+    shown = resolved.select(F.col("id").alias("__shown"), "columns_of")
+    fields = [c for c in columns.columns if c != "table_id"]
+    return columns.join(shown, columns["table_id"] == shown["columns_of"]).select(F.col("__shown").alias("table_id"), *fields)
 
 
 def enrich_configurations(components: DataFrame, configs: DataFrame, rows: DataFrame | None = None, versions: DataFrame | None = None, component_id: str | None = None) -> DataFrame:
-    """Configurations of components with an id, each with its component and lists of rows and versions.
+    """Configurations of components with an id, each with its component and the numbers of its rows and versions.
 
-    components(id, type), configs(component_id, id, ...), rows and versions(component_id, config_id, ...).
+    components(id, type), configs(component_id, id, ...), rows and versions(component_id, config_id, ...). Children are counted
+    before they meet their configurations; configuration_children() gives them themselves.
     """
     keys = ["component_id", "config_id"]
     known = components.filter(F.col("id").isNotNull()).select(F.col("id").alias("component_id"), F.struct("id", "type").alias("component"))
-    out = configs.withColumnRenamed("id", "config_id").join(known, "component_id")
+    out = configs.withColumnRenamed("id", "config_id").join(small_or_not(known), "component_id")
     if component_id is not None:
         out = out.filter(F.col("component_id") == component_id)
     for name, children in (("rows", rows), ("versions", versions)):
         if children is not None:
-            lists = _lists(children, keys, name)
-            out = out.join(lists, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+            out = out.join(children.groupBy(*keys).agg(F.count("*").alias(f"n_{name}")), keys, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long")))
     return out
 
 
+def configuration_children(configs: DataFrame, children: DataFrame) -> DataFrame:
+    """The rows or versions of the configurations that enrich_configurations() gives, one to a row."""
+    keys = ["component_id", "config_id"]
+    counts = settled(children.groupBy(*keys).agg(F.count("*").alias("n")).join(configs.select(*keys), keys, "left_semi"))
+    key = F.struct(*keys)
+    return with_totals(children.withColumn("__key", key), counts.select(key.alias("__key"), "n"), "__key").drop("__key")
+
+
 def assemble_transformations(listed: DataFrame, details: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Listed transformations with a detail, and the ids of those without."""
     return listed.select("id").join(details, "id"), listed.select("id").join(details, "id", "left_anti")
@@ -88,6 +102,25 @@ def transformation_dependencies(transformations: DataFrame) -> DataFrame:
     return edges.select("transformation_id", F.col("d.direction").alias("direction"), F.explode("d.ids").alias("table_id"))
 
 
+def block_dependencies(transformations: DataFrame, blocks: DataFrame, table_id: str | None = None) -> DataFrame:
+    """The same edges, from blocks in long form: transformations(id, dependencies), blocks(transformation_id, inputs, outputs).
+
+    What a transformation declares counts instead of what its blocks name. With a table_id only its edges, and the
+    blocks are filtered before anything else is done with them.
+    """
+    declared = transformations.filter(F.col("dependencies.requires").isNotNull() | F.col("dependencies.produces").isNotNull())
+    files = F.array(*[F.struct(F.lit(name).alias("direction"), ids.alias("ids")) for name, ids in (("requires", F.col("inputs.source")), ("produces", F.col("outputs.destination")))])
+    told = F.array(*[F.struct(F.lit(name).alias("direction"), F.col(f"dependencies.{name}").alias("ids")) for name in ("requires", "produces")])
+
+    def edges(df: DataFrame, id_: str, lists: Column) -> DataFrame:
+        found = df.select(F.col(id_).alias("transformation_id"), F.explode(lists).alias("d"))
+        found = found.select("transformation_id", F.col("d.direction").alias("direction"), F.explode("d.ids").alias("table_id")).filter(F.coalesce(F.col("table_id"), F.lit("")) != "")
+        return found if table_id is None else found.filter(F.col("table_id") == table_id)
+
+    named = edges(blocks, "transformation_id", files).join(declared.select(F.col("id").alias("transformation_id")), "transformation_id", "left_anti")
+    return named.unionByName(edges(declared, "id", told)).distinct()
+
+
 def transformations_of_table(edges: DataFrame, transformations: DataFrame, table_id: str, direction: str | None = None) -> DataFrame:
     """The transformations that read or write a table."""
     found = edges.filter(F.col("table_id") == table_id)

@@ -5,18 +5,20 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
+    # suppliers are buckets and customers tables, a third of them in one bucket; every fifth links to another, if that exists
     "buckets": """
-select concat(case when r_regionkey % 2 = 0 then 'in' else 'out' end, '.c-', lower(r_name)) as id, r_name as name,
-  case when r_regionkey % 2 = 0 then 'in' else 'out' end as stage, r_regionkey = 4 as is_deleted, r_regionkey from region""",
+select concat(case when s_suppkey % 2 = 0 then 'in' else 'out' end, '.c-', cast(s_suppkey as varchar(10))) as id, s_name as name,
+  case when s_suppkey % 2 = 0 then 'in' else 'out' end as stage, s_suppkey % 10 = 4 as is_deleted, s_suppkey from supplier""",
     "tables": """
-select concat(b.id, '.', lower(n.n_name)) as id, n.n_name as name, b.id as bucket_id, b.stage as bucket_stage, n.n_nationkey % 11 = 10 as is_deleted,
-  case when n.n_nationkey % 5 = 0 then concat('NATION_', cast(n.n_nationkey + 7 as varchar(10))) end as source_name, n.n_nationkey as n_nationkey
-from nation n join (
-  select concat(case when r_regionkey % 2 = 0 then 'in' else 'out' end, '.c-', lower(r_name)) as id,
-    case when r_regionkey % 2 = 0 then 'in' else 'out' end as stage, r_regionkey from region) b on b.r_regionkey = n.n_regionkey""",
+select concat(b.id, '.', cast(c_custkey as varchar(10))) as id, c_name as name, b.id as bucket_id, b.stage as bucket_stage, c_custkey % 11 = 10 as is_deleted,
+  case when c_custkey % 5 = 0 then concat('Customer#', lpad(cast(c_custkey + 7 as varchar(10)), 9, '0')) end as source_name, c_custkey
+from customer c join (
+  select concat(case when s_suppkey % 2 = 0 then 'in' else 'out' end, '.c-', cast(s_suppkey as varchar(10))) as id,
+    case when s_suppkey % 2 = 0 then 'in' else 'out' end as stage, s_suppkey from supplier) b
+  on b.s_suppkey = case when c_custkey % 3 = 0 then 0 else c_custkey % (select count(*) from supplier) end""",
     "columns": """
 select p_partkey as column_key, p_name as name, p_type as type, p_brand as description,
-  concat('NATION_', cast(p_partkey % 25 as varchar(10))) as table_name, p_size, p_retailprice from part""",
+  concat('Customer#', lpad(cast(case when p_partkey % 3 = 0 then 0 else p_partkey % (select count(*) from customer) end as varchar(10)), 9, '0')) as table_name, p_size, p_retailprice from part""",
     "transformations": "select o_orderkey as id, o_orderpriority as type, o_orderstatus as description from orders",
     "blocks": """
 select l_orderkey as transformation_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) as block_no,
@@ -34,6 +36,9 @@ from customer where c_custkey % 13 <> 0""",
     "points": """
 select vec_id as id, case vec_id % 3 when 0 then 'columns' when 1 then 'tables' else 'transformations' end as metadata_type,
   cast(label as varchar(10)) as table_id, embedding as vector from embeddings""",
+    "collection": """
+select cast(doc_id as varchar(20)) as id, case doc_id % 3 when 0 then 'tables' when 1 then 'columns' else 'transformations' end as metadata_type, source as table_id, lang,
+  case when doc_id % 3 = 2 then concat('table ', source, ' ', text) else text end as text from documents""",
     "emails": """
 select c_custkey, case when c_custkey % 10 = 0 then null when c_custkey % 7 = 0 then concat(c_name, '.example.org')
     else concat(lower(replace(c_name, '#', '.')), '@example.org') end as email,

@@ -1,10 +1,13 @@
 """Reading exported snapshots, and keeping points and state as versioned Parquet."""
 
+import hashlib
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.joins import settled, with_totals
 from .schemas import ENTITIES
 from .shared import shared_dir
 
@@ -23,15 +26,18 @@ def read_entities(spark: SparkSession, path: str, entity: str, schema: str | Non
     return good, bad.select(F.lit(entity).alias("entity"), F.col("value").alias("raw"), F.lit("no valid item").alias("reason"))
 
 
-def read_parquet_entities(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    return spark.read.schema(ENTITIES[entity]).parquet(path)
+def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """A row for each parent and child, with n_children; a parent whose children could not be read has one row with
+    nulls and 0. parents has one row for each key.
 
-
-def with_children(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
-    """Parents with their children as a list; one whose children could not be read keeps an empty list."""
-    kind = children.drop(key).schema
-    rows = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*kind.names))).alias(name))
-    return parents.join(rows, key, "left").withColumn(name, F.coalesce(name, F.array().cast(T.ArrayType(kind))))
+    The long form: a parent with a third of all children is no row, list or task of its own.
+    """
+    counts = settled(children.groupBy(key).agg(F.count("*").alias("n")))
+    known = parents.join(counts, key, "left").withColumn("n_children", F.coalesce("n", F.lit(0).cast("long")))
+    some = with_totals(children, settled(known.filter("n is not null")), key)
+    none = known.filter("n is null").drop("n")
+    names = [*parents.columns, *[c for c in children.columns if c != key], "n_children"]
+    return some.select(*names).unionByName(none, allowMissingColumns=True).select(*names)
 
 
 def active_only(df: DataFrame, include_deleted: bool = False, flag: str = "isDeleted") -> DataFrame:
@@ -46,12 +52,50 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> D
     return existing.join(last.select(key), key, "left_anti").select(names).unionByName(last)
 
 
-def upsert_points(base: str, existing: DataFrame, new: DataFrame, order: list[str]) -> str:
-    """Upsert into a new version directory, partitioned by metadata_type; a reader never sees half of one."""
-    points = upsert(existing, new, "id", order)
-    path = f"{base}/v-{uuid.uuid4().hex}"
-    points.write.partitionBy("metadata_type").parquet(path)
-    return path
+POINTS = "id STRING, metadata_type STRING, text STRING, vector ARRAY<DOUBLE>"
+
+
+def ensure_collection(spark: SparkSession, base: str, dim: int) -> int:
+    """The newest version of the points at base, which is made, empty, if there is none. ValueError if the collection
+    that is there has another dimension."""
+    found = newest(spark, base)
+    if found is None:
+        return _commit(spark, base, 1, [("", "", dim)])
+    if found[2] != dim:
+        raise ValueError(f"the points at {base} have dimension {found[2]}, not {dim}")
+    return found[0]
+
+
+def upsert_points(base: str, new: DataFrame, order: list[str], dim: int) -> tuple[int, DataFrame]:
+    """Upsert points (id, metadata_type, vector, ...) and commit a new version; gives its number and the rejected
+    points, whose vector has another dimension or whose metadata_type is null.
+
+    Only the metadata types that new points have are read and written; the others' files go into the new version as
+    they are. A point stays in its type: an id is a point of one type. Readers see a version once it is whole, and of
+    two writers that start from one version the second fails.
+    """
+    spark = new.sparkSession
+    ensure_collection(spark, base, dim)
+    version, held, _ = newest(spark, base)
+    good, bad = checked_points(new, dim)
+    untyped = good.filter("metadata_type is null").withColumn("reason", F.lit("no metadata_type"))
+    good, bad = good.filter("metadata_type is not null"), bad.unionByName(untyped)
+    kinds = [r[0] for r in good.select("metadata_type").distinct().collect()]  # a handful of types
+    touched = [p for k, p in held.items() if k in kinds]
+    merged = upsert(spark.read.parquet(*touched), good, "id", order) if touched else upsert(good.limit(0), good, "id", order)
+    at = f"{base}/data/{uuid.uuid4().hex}"
+    merged.withColumn("kind", F.md5("metadata_type")).write.partitionBy("kind").parquet(at)
+    paths = {k: p for k, p in held.items() if k not in kinds} | {k: f"{at}/kind={hashlib.md5(k.encode()).hexdigest()}" for k in kinds}
+    return _commit(spark, base, version + 1, [(k, p, dim) for k, p in paths.items()] or [("", "", dim)]), bad
+
+
+def load_points(spark: SparkSession, base: str, kinds: list[str] | None = None) -> DataFrame:
+    """The newest version's points, of some types only if they are named: other types' files are not opened."""
+    found = newest(spark, base)
+    if found is None:
+        raise ValueError(f"no points at {base}")
+    paths = [p for k, p in found[1].items() if kinds is None or k in kinds]
+    return spark.read.parquet(*paths) if paths else spark.createDataFrame([], POINTS)
 
 
 def checked_points(points: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -66,36 +110,44 @@ def scan_points(points: DataFrame, conditions: dict[str, object], limit: int | N
     return found if limit is None else found.orderBy("id").limit(limit)
 
 
-def _versions(spark: SparkSession, base: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    at = [s.getPath() for s in fs.listStatus(path)]
-    done = [p.getName() for p in at if p.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(done)
+def newest(spark: SparkSession, base: str) -> tuple[int, dict[str, str], int] | None:
+    """Number, paths by kind, and dimension of the newest version at base; None if there is none.
+
+    A version is a folder of the manifest, written after the data it names. Points and state share this scheme.
+    """
+    try:
+        rows = spark.read.schema("kind STRING, path STRING, dim INT, v INT").parquet(f"{base}/manifest")
+        last = rows.agg(F.max("v")).first()[0]
+        found = rows.filter(F.col("v") == last).collect()  # a row for each kind
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return (last, {r["kind"]: r["path"] for r in found if r["path"]}, found[0]["dim"]) if found else None
+
 
+def _commit(spark: SparkSession, base: str, version: int, entries: list[tuple[str, str, int]]) -> int:
+    """Fails if the version is there already."""
+    spark.createDataFrame(entries, "kind STRING, path STRING, dim INT").coalesce(1).write.mode("error").parquet(f"{base}/manifest/v={version:08d}")
+    return version
 
-def save_state(state: DataFrame, base: str) -> str:
-    """Write a new version; it counts once it is complete."""
-    found = _versions(state.sparkSession, base)
-    path = f"{base}/v={int(found[-1][2:]) + 1 if found else 1:08d}"
-    state.write.mode("overwrite").parquet(path)
-    return path
+
+def save_state(state: DataFrame, base: str) -> int:
+    """Write a new version of the state; it counts once it is complete. Of two writers that start from one version the
+    second fails, and its data is never read."""
+    spark, at = state.sparkSession, f"{base}/data/{uuid.uuid4().hex}"
+    found = newest(spark, base)
+    state.write.parquet(at)
+    return _commit(spark, base, found[0] + 1 if found else 1, [("state", at, 0)])
 
 
 def load_state(spark: SparkSession, base: str, schema: str = ENTITIES["state"]) -> DataFrame:
     """The newest complete version; without one, an empty state."""
-    found = _versions(spark, base)
-    return spark.read.schema(schema).parquet(f"{base}/{found[-1]}") if found else spark.createDataFrame([], schema)
+    found = newest(spark, base)
+    return spark.read.schema(schema).parquet(found[1]["state"]) if found else spark.createDataFrame([], schema)
 
 
 def snapshot_summary(entities: dict[str, DataFrame]) -> DataFrame:
     """(entity, n)."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n") for name, df in entities.items()]
     return reduce(DataFrame.unionByName, parts)
-
-
-def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])))
-    return ranked.filter("__rank = 1").drop("__rank")
