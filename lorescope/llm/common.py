@@ -1,24 +1,17 @@
 """Helpers that several corpus operators share."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lorescope.operators.joins import prefix_sums, settled, small_or_not, with_totals
 from lorescope.sources.shared import shared_dir
 
+__all__ = ["SPACE", "WORD", "count_of", "n_words", "prefix_sums", "sampled", "settled", "shared_dir", "small_or_not", "text_or_empty", "with_totals"]
+
 #: A word: a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder and go on from there.
-
-    For narrow rows. A lost executor costs a re-read, not a recomputation, and every later use
-    sees the same rows in the same partitions.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -37,45 +30,3 @@ def sampled(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     are fewer. With the text among the keys, rows without an id or with a common one don't come all together."""
     n = df.count()
     return df if n <= rows else df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) < rows)
-
-
-#: Rows at most of a table that is broadcast after its rows were counted; narrow rows, so some 100 MB.
-BROADCAST_ROWS = 1_000_000
-#: A key is hot from this number of rows on, or from one row in so many, if that is more: at most 10,000 keys are hot.
-HOT_ROWS, HOT_SHARE = 500, 10_000
-
-
-def small_or_not(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A narrow table for the right side of a join: broadcast if it is counted small, else left to a shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
-def with_totals(left: DataFrame, totals: DataFrame, on: str, rows: int | None = None, n: str = "n") -> DataFrame:
-    """left joined with totals, which has one row for each key and, in column n, how many rows of left have it.
-
-    Rows of hot keys meet a broadcast of at most HOT_SHARE totals where they lie; only the others are shuffled,
-    so that no key's rows come together in a task. n itself is dropped. rows: how many left has at most, if known.
-    """
-    rows = totals.agg(F.sum(n)).first()[0] or 0 if rows is None else rows
-    least = max(HOT_ROWS, rows // HOT_SHARE)
-    hot, others = totals.filter(F.col(n) >= least).drop(n), totals.filter(F.col(n) < least).drop(n)
-    here = left.join(F.broadcast(hot), on)
-    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(others, on)
-    return here.unionByName(rest)
-
-
-def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """df with running sums (this row included) in the given order, which must be without ties.
-
-    Two passes: rows are dealt out by range and summed within their partition, and the partitions' totals, one row
-    each, give what stands before. Whatever the number of rows, no task holds more than its range.
-    """
-    parts = max(1, min(200, df.count() // 10_000))
-    df = settled(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
-    totals = df.groupBy("__part").agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("__part", *[F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__{k}") for k in sums])
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()}).join(F.broadcast(bases), "__part")  # at most 200 rows
-    return df.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *[f"__{k}" for k in sums])

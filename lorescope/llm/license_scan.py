@@ -1,12 +1,13 @@
 """License scans in DataFrame functions alone: MinHash bands find windows like a template's, exact shingles verify.
 
-Texts are words, words are shingles of five. Templates of 60 words or more (whole license texts) are looked for by
-windows of 24 shingles, which start at every twelfth shingle of a document and at every shingle of a template; a band
-is two MinHash values, and there are eight. Windows with a similarity of s meet with probability 1 - (1 - s^2)^8: always if
-they agree, 0.99 at s = 0.65 (one word changed in the middle), 0.77 at 0.41 (two), 0.15 at 0.14. A text of 150 words
-has a dozen windows, so a copy with every twentieth word changed is missed less often than once in a thousand.
-
-Shorter templates (notices of one line) need windows of two shingles, at every shingle, with eight bands of one value: a
+Templates of 60 words or more (whole license texts) are looked for by windows of 28 words, that is 26 shingles of three
+words, which start at every twentieth word of a document and at every word of a template; a band is two MinHash
+values, and there are four. Windows with a similarity of s meet with probability 1 - (1 - s^2)^4: always if they
+agree, 0.98 at s = 0.79 (one word changed in the middle), 0.87 at 0.63 (two), 0.67 at 0.49 (three), 0.08 at 0.14. With
+every twentieth word changed one window of eight is missed, and a text of 100 words, which has four of them, less
+often than once in a thousand.
+
+Shorter templates (notices of one line) need windows of two shingles of five words, at every word, with eight bands of one value: a
 window that shares one of its two shingles with a template meets it with probability 1 - 2^-8, and each
 shingle is in two windows, so that one lone shingle in 65,000 is missed.
 
@@ -40,8 +41,8 @@ CONTAINMENT = 0.8
 LONG = 60
 #: Notices: shingles of a window, and bands of one value.
 PER_WINDOW, BANDS = 2, 8
-#: Whole texts: shingles of a window, how far apart windows start, bands, and values of a band.
-WIDE, STRIDE, WIDE_BANDS, WIDE_ROWS = 24, 12, 8, 2
+#: Whole texts: words of a shingle, shingles of a window, how far apart windows start, bands, and values of a band.
+WIDE_SHINGLE, WIDE, STRIDE, WIDE_BANDS, WIDE_ROWS = 3, 26, 20, 4, 2
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN = SHINGLE + PER_WINDOW - 1
 SHINGLES = [f"s{k}" for k in range(PER_WINDOW)]
@@ -54,6 +55,12 @@ def hashed_words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), BREAKS), ""), lambda w: F.xxhash64(w))
 
 
+def once(c: Column) -> Column:
+    """A column as the output of a generator: the optimizer copies it into no filter and no lambda, where it would be
+    worked out again for each element."""
+    return F.explode_outer(F.array(c))
+
+
 def document() -> Column:
     """What tells documents apart."""
     return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text_or_empty()))).alias("doc")
@@ -62,28 +69,28 @@ def document() -> Column:
 def windows(df: DataFrame, *keys: str) -> DataFrame:
     """keys and s0, s1: hashes of a window's shingles, null where the text has ended. df has keys and h, the hashed words."""
     ahead = F.arrays_zip(*[(F.col("h") if k == 0 else F.slice("h", k + 1, 2**30)).alias(f"w{k}") for k in range(SPAN)])
-    df = df.select(*keys, F.inline(ahead))
+    df = df.select(*keys, F.inline_outer(ahead))
     return df.select(*keys, *[F.when(F.col(f"w{k + SHINGLE - 1}").isNotNull(), F.xxhash64(*[f"w{k + j}" for j in range(SHINGLE)])).alias(f"s{k}") for k in range(PER_WINDOW)]).filter("s0 is not null")
 
 
-def shingled(h: Column) -> Column:
+def shingled(h: Column, words: int = SHINGLE) -> Column:
     """Hashes of the shingles of hashed words, in order."""
-    n = F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0))
+    n = F.greatest(F.size(h) - (words - 1), F.lit(0))
     starts = F.slice(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), 1, n)
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
 
 
 def wide_windows(df: DataFrame, stride: int, *keys: str) -> DataFrame:
     """keys and win, the shingles of a window. df has keys and s, the shingles."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1)), F.lit(stride))
-    return df.filter(F.size("s") > 0).select(*keys, F.explode(F.transform(starts, lambda i: F.slice("s", i, WIDE))).alias("win"))
+    return df.select(*keys, F.explode_outer(F.transform(starts, lambda i: F.slice("s", i, WIDE))).alias("win")).filter(F.size("win") > 0)
 
 
 def wide_bands(df: DataFrame, *keys: str) -> DataFrame:
     """keys and band, a hash of the band's number and values, for each band of a window."""
     least = [F.array_min(F.transform("win", lambda x, t=t: x.bitwiseXOR(F.lit(t)))) for t in TURNS]
     bands = [F.xxhash64(F.lit(b), *least[b * WIDE_ROWS : (b + 1) * WIDE_ROWS]) for b in range(WIDE_BANDS)]
-    return df.select(*keys, F.explode(F.array(*bands)).alias("band"))
+    return df.select(*keys, F.explode_outer(F.array(*bands)).alias("band"))
 
 
 def bands() -> list[Column]:
@@ -125,15 +132,15 @@ def narrow_held(docs: DataFrame, templates: DataFrame) -> DataFrame:
     index = windows(templates, "license")
     index = settled(index.union(index.select("license", "s0", F.lit(None).cast("long"))).distinct())
     minhashes = settled(index.select("license", F.posexplode(F.array(*bands())).alias("band", "minhash")).distinct())
-    found = windows(docs.select(document(), "doc_id", hashed_words(text_or_empty()).alias("h")), "doc", "doc_id").filter(passing(minhashes.select("band", "minhash").distinct()))
+    found = windows(docs.select(document(), "doc_id", once(hashed_words(text_or_empty())).alias("h")), "doc", "doc_id").filter(passing(minhashes.select("band", "minhash").distinct()))
     near = found.select("doc", "doc_id", F.array_compact(F.array(*SHINGLES)).alias("s"), F.posexplode(F.array(*bands())).alias("band", "minhash"))
     return near.join(small_or_not(minhashes), ["band", "minhash"]).select("doc", "doc_id", "license", F.explode("s").alias("shingle"))
 
 
 def wide_candidates(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """(doc, license) whose windows of 24 shingles meet in a band."""
-    index = settled(wide_bands(wide_windows(templates.select("license", shingled(F.col("h")).alias("s")), 1, "license"), "license").distinct())
-    hashed = docs.select(document(), hashed_words(text_or_empty()).alias("h")).select("doc", shingled(F.col("h")).alias("s"))
+    """(doc, license) whose wide windows meet in a band."""
+    index = settled(wide_bands(wide_windows(templates.select("license", shingled(F.col("h"), WIDE_SHINGLE).alias("s")), 1, "license"), "license").distinct())
+    hashed = docs.select(document(), once(hashed_words(text_or_empty())).alias("h")).select("doc", once(shingled(F.col("h"), WIDE_SHINGLE)).alias("s"))
     return wide_bands(wide_windows(hashed, STRIDE, "doc"), "doc").join(small_or_not(index), "band").select("doc", "license").distinct()
 
 
@@ -141,8 +148,8 @@ def wide_held(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """doc, license and shingle of all shingles of candidate documents."""
     asked = settled(wide_candidates(docs, templates))
     texts = docs.select(document(), "doc_id", "text").join(small_or_not(asked), "doc")
-    hashed = texts.select("doc", "doc_id", "license", hashed_words(text_or_empty()).alias("h"))
-    return hashed.select("doc", "doc_id", "license", F.explode(F.array_distinct(shingled(F.col("h")))).alias("shingle"))
+    hashed = texts.select("doc", "doc_id", "license", once(hashed_words(text_or_empty())).alias("h"))
+    return hashed.select("doc", "doc_id", "license", F.explode_outer(F.array_distinct(shingled(F.col("h")))).alias("shingle"))
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:

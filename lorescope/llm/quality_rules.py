@@ -57,7 +57,8 @@ def worded(docs: DataFrame) -> DataFrame:
 
 def common_words(docs: DataFrame) -> DataFrame:
     """(lang, common): the words that most documents have, ties by code point. Only the first of each task go on."""
-    seen = worded(docs).select("lang", F.explode(F.array_distinct("w")).alias("word")).groupBy("lang", "word").count()
+    # explode() would have the words split twice, once for a filter on their number
+    seen = worded(docs).select("lang", F.explode_outer(F.array_distinct("w")).alias("word")).filter("word is not null").groupBy("lang", "word").count()
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     first = seen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= COMMON)
     return first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word")))["word"].alias("common"))
