@@ -12,13 +12,14 @@ select concat(case when s_suppkey % 2 = 0 then 'in' else 'out' end, '.c-', cast(
     "tables": """
 select concat(b.id, '.', cast(c_custkey as varchar(10))) as id, c_name as name, b.id as bucket_id, b.stage as bucket_stage, c_custkey % 11 = 10 as is_deleted,
   case when c_custkey % 5 = 0 then concat('Customer#', lpad(cast(c_custkey + 7 as varchar(10)), 9, '0')) end as source_name, c_custkey
-from customer c join (
+from (select * from customer cross join (select count(*) as suppliers from supplier) one_row) c join (
   select concat(case when s_suppkey % 2 = 0 then 'in' else 'out' end, '.c-', cast(s_suppkey as varchar(10))) as id,
     case when s_suppkey % 2 = 0 then 'in' else 'out' end as stage, s_suppkey from supplier) b
-  on b.s_suppkey = case when c_custkey % 3 = 0 then 0 else c_custkey % (select count(*) from supplier) end""",
+  on b.s_suppkey = case when c_custkey % 3 = 0 then 0 else c_custkey % suppliers end""",
     "columns": """
 select p_partkey as column_key, p_name as name, p_type as type, p_brand as description,
-  concat('Customer#', lpad(cast(case when p_partkey % 3 = 0 then 0 else p_partkey % (select count(*) from customer) end as varchar(10)), 9, '0')) as table_name, p_size, p_retailprice from part""",
+  concat('Customer#', lpad(cast(case when p_partkey % 3 = 0 then 0 else p_partkey % customers end as varchar(10)), 9, '0')) as table_name, p_size, p_retailprice
+from part cross join (select count(*) as customers from customer) one_row""",
     "transformations": "select o_orderkey as id, o_orderpriority as type, o_orderstatus as description from orders",
     "blocks": """
 select l_orderkey as transformation_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) as block_no,

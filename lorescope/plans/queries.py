@@ -492,10 +492,10 @@ slots as (select doc_id, (('0x' || substr(md5(t), 1, 8))::bigint % 64)::int as s
 norms as (select doc_id, sqrt(sum(n * n)) as len from slots group by 1) """
 
 
-@query("o35_l2_normalize", "select id, cast(slot - 1 as int) as slot, round(vector[slot] / sqrt(list_sum(list_transform(vector, lambda x: x::double * x::double))), 5) as x from points, (select unnest(range(1, 65)) as slot)")
+@query("o35_l2_normalize", "select id, cast(slot - 1 as int) as slot, round(vector[slot] / sqrt(list_sum(list_transform(vector, lambda x: x::double * x::double))), 5) + 0.0 as x from points, (select unnest(range(1, 65)) as slot)")
 def o35(spark, sf_dir):
     p = view(spark, sf_dir, "points")
-    return p.select("id", F.posexplode(vectors.l2_normalize(F.transform("vector", lambda x: x * 3))).alias("slot", "x")).select("id", "slot", F.round("x", 5).alias("x"))
+    return p.select("id", F.posexplode(vectors.l2_normalize(F.transform("vector", lambda x: x.cast("double") * 3))).alias("slot", "x")).select("id", "slot", (F.round("x", 5) + 0.0).alias("x"))
 
 
 @query("o37_hash_embed", _HASHED + "select doc_id, slot, round(n / len, 6) as x from slots join norms using (doc_id)")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorescope.functions import identity, vectors
-from lorescope.operators import changes, embed, search, shape
+from lorescope.operators import changes, embed, joins, profile, search, shape
 from lorescope.sources import snapshots
 
 
@@ -26,10 +26,65 @@ def test_state_versions(spark, tmp_path):
     assert snapshots.load_state(spark, base).count() == 0
     for h in ("a", "b"):
         snapshots.save_state(spark.createDataFrame([("t", "1", h)], "entity_type string, entity_id string, content_hash string"), base)
-    (tmp_path / "state" / "v=00000009").mkdir()  # never completed
+    (tmp_path / "state" / "manifest" / "v=00000009").mkdir()  # never completed
+    (tmp_path / "state" / "data" / "half").mkdir()
+    assert rows(snapshots.load_state(spark, base)) == [("t", "1", "b")] and snapshots.newest(spark, base)[0] == 2
+    with pytest.raises(Exception, match="already exists"):  # a second writer from the same version
+        snapshots._commit(spark, base, 2, [("state", "elsewhere", 0)])
     assert rows(snapshots.load_state(spark, base)) == [("t", "1", "b")]
 
 
+def test_points_of_untouched_types_are_not_written_again(spark, tmp_path):
+    kind = "id string, metadata_type string, text string, vector array<double>, seq int"
+    base = str(tmp_path / "points")
+    with pytest.raises(ValueError):
+        snapshots.load_points(spark, base)
+    assert snapshots.ensure_collection(spark, base, 2) == 1 == snapshots.ensure_collection(spark, base, 2)
+    assert snapshots.load_points(spark, base).count() == 0
+    with pytest.raises(ValueError):
+        snapshots.ensure_collection(spark, base, 3)
+    first = spark.createDataFrame([("a", "tables", "old", [1.0, 0.0], 0), ("b", "a column: x", "old", [0.0, 1.0], 0), ("c", "tables", "bad", [1.0], 0), ("d", None, "bad", [1.0, 1.0], 0)], kind)
+    version, bad = snapshots.upsert_points(base, first, ["seq"], 2)
+    assert version == 2 and sorted((r["id"], r["reason"]) for r in bad.collect()) == [("c", "dimension 1, not 2"), ("d", "no metadata_type")]
+    before = snapshots.newest(spark, base)[1]
+    again = spark.createDataFrame([("b", "a column: x", "new", [0.0, 2.0], 1), ("e", "a column: x", "new", [1.0, 1.0], 1)], kind)
+    assert snapshots.upsert_points(base, again, ["seq"], 2)[0] == 3
+    after = snapshots.newest(spark, base)[1]
+    assert after["tables"] == before["tables"] and after["a column: x"] != before["a column: x"]
+    assert sorted((r["id"], r["text"]) for r in snapshots.load_points(spark, base).collect()) == [("a", "old"), ("b", "new"), ("e", "new")]
+    assert [r["id"] for r in snapshots.load_points(spark, base, ["tables"]).collect()] == ["a"]
+
+
+def test_children_in_long_form(spark):
+    """A parent with most of the children, one with some and one with none."""
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    children = spark.range(3000).select(F.when(F.col("id") < 2900, 1).otherwise(2).cast("long").alias("id"), F.col("id").alias("child"))
+    out = snapshots.with_children(parents, children, "id")
+    assert rows(out.groupBy("id", "name", "n_children").agg(F.count("child"))) == [(1, "a", 2900, 2900), (2, "b", 100, 100), (3, "c", 0, 0)] and out.count() == 3001
+    by = shape.tables_by_bucket(children, F.col("id"), ["child"])
+    assert rows(by.groupBy("bucket_id", "n_tables").count()) == [(1, 2900, 2900), (2, 100, 100)]
+
+
+def test_percentiles(spark):
+    """One group of most rows with one hot value, a small one, and one of a single row."""
+    import numpy as np
+
+    data = {"hot": [7.0] * 3000 + [float(i % 97) for i in range(2000)], "few": [3.0, 1.0, 2.5, 9.0], "one": [4.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("few", None)], "op string, v double").repartition(5)
+    out = {r["op"]: r for r in profile.latency_summary(df, "op", "v").collect()}
+    for k, vs in data.items():
+        assert [out[k][c] for c in ("p50", "p95", "p99")] == pytest.approx([np.percentile(vs, q) for q in (50, 95, 99)]) and out[k]["sample_size"] == len(vs)
+
+
+def test_running_sums(spark):
+    df = spark.range(25_000).select((F.col("id") * 7919 % 25_000).alias("k"), (F.col("id") % 5).alias("x"))
+    out = joins.prefix_sums(df, ["k"], {"upto": F.col("x"), "place": F.lit(1)}).collect()
+    total = 0
+    for place, r in enumerate(sorted(out, key=lambda r: r["k"])):
+        total += r["x"]
+        assert (r["upto"], r["place"]) == (total, place + 1)
+
+
 def test_upsert_last_wins_and_repeats_change_nothing(spark):
     old = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "id long, seq int, v string")
     new = spark.createDataFrame([(2, 1, "c"), (2, 2, "d"), (3, 1, "e")], "id long, seq int, v string")
@@ -53,6 +108,11 @@ def test_diff_and_incremental(spark):
     new = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "id long, content_hash string")
     assert rows(changes.snapshot_diff(old, new, ["id"])) == [(1, "unchanged"), (2, "changed"), (3, "removed"), (4, "new")]
     assert {r["status"] for r in changes.snapshot_diff(old, old, ["id"]).collect()} == {"unchanged"}
+    kind = "id long, content_hash string"
+    nulls = spark.createDataFrame([(1, None), (2, None), (3, "x")], kind), spark.createDataFrame([(1, None), (2, "y"), (3, None), (4, None)], kind)
+    assert rows(changes.snapshot_diff(*nulls, ["id"])) == [(1, "unchanged"), (2, "changed"), (3, "changed"), (4, "new")]
+    typed = [d.select(F.lit("t").alias("entity_type"), F.col("id").alias("entity_id"), "content_hash") for d in nulls]
+    assert rows(changes.has_changed(typed[1], typed[0]).select("entity_id", "changed")) == [(1, False), (2, True), (3, True), (4, True)]
     listing = new.join(old.select("id", F.col("content_hash").alias("previous_hash")), "id", "left")
     a, b = old.withColumn("v", F.lit("old")), new.withColumn("v", F.lit("new"))
     assert rows(changes.incremental(a, listing, b, "id").select("id", "v")) == [(1, "old"), (2, "new"), (4, "new")]
@@ -68,6 +128,28 @@ def test_children_of_unchanged_parents_are_kept(spark):
     assert rows(out.select("id", "v")) == [("t1", "old"), ("t2", "new"), ("t3", "old"), ("t4", "new"), ("t5", "new")]
 
 
+def test_levels(spark):
+    """Below an unchanged bucket all is kept, details too; elsewhere tables and their details by their own hash."""
+    make = lambda data, kind: spark.createDataFrame(data, kind)
+    buckets = make([("b1", "x"), ("b2", "y2")], "bucket string, content_hash string")
+    tables = make([("t1", "b1", "changed"), ("t2", "b2", "same"), ("t3", "b2", "changed"), ("t4", "b2", "new")], "table string, bucket string, content_hash string")
+    details = make([("d1", "t1", "changed"), ("d2", "t2", "changed"), ("d3", "t3", "changed"), ("d4", "t4", "new"), ("d5", "t3", "same"), ("d6", "t2", "lost")], "detail string, table string, content_hash string")
+    state = make([("buckets", "b1", "x"), ("buckets", "b2", "y1"), ("tables", "t1", "old"), ("tables", "t2", "same"), ("tables", "t3", "old"), ("details", "d5", "same")] + [("details", f"d{i}", "old") for i in (1, 2, 3, 6)], "entity_type string, entity_id string, content_hash string")
+    last = {"bucket": ["b1", "b2"], "table": ["t1", "t2", "t3", "gone"], "detail": ["d1", "d2", "d3", "d5", "gone"]}
+    now = {"bucket": buckets, "table": tables, "detail": details}
+    levels = [
+        changes.Level(name, key, make([(i, "last") for i in last[key]], f"{key} string, run string"), now[key], now[key].select(key, F.lit("fresh").alias("run")), parent, parent_key)
+        for name, key, parent, parent_key in (("buckets", "bucket", None, None), ("tables", "table", "buckets", "bucket"), ("details", "detail", "tables", "table"))
+    ]
+    found, after = changes.incremental_levels(levels, state)
+    assert rows(found["buckets"].select("bucket", "run")) == [("b1", "last"), ("b2", "fresh")]
+    assert rows(found["tables"].select("table", "run")) == [("t1", "last"), ("t2", "last"), ("t3", "fresh"), ("t4", "fresh")]
+    assert rows(found["details"].select("detail", "run")) == [("d1", "last"), ("d2", "last"), ("d3", "fresh"), ("d4", "fresh"), ("d5", "last"), ("d6", "fresh")]
+    assert after.count() == 12 and rows(after.filter("entity_id = 'd1'")) == [("details", "d1", "changed")]
+    full, _ = changes.incremental_levels(levels, state, force_full=True)
+    assert {r["run"] for df in full.values() for r in df.collect()} == {"fresh"} and full["details"].count() == 6
+
+
 def test_ids_and_hashes(spark):
     ns = uuid.UUID(identity.NAMESPACE)
     df = spark.createDataFrame([("x",), ("é",)], "n string")
@@ -129,6 +211,16 @@ def test_search(spark):
     assert rows(search.batch_search(p, some, 3, True, 16).select("query_id", "id", "rank", F.round("score", 6))) == sorted([w for w in want if w[0] < 5], key=repr)
     assert search.batch_search(p, some, 1).filter("id <> query_id").count() == 0
     assert search.batch_search(p, some.limit(0), 3).count() == 0
+    odd = spark.createDataFrame([(900, None, "tables", "n", "t"), (901, [1.0], "tables", "n", "t"), (902, [None] * 8, "tables", "n", "t")], p.schema)
+    for block in (2, 16):
+        asked = some.union(odd.select("id", "vector"))
+        found = search.batch_search(p.union(odd), asked, 3, True, block).select("query_id", "id", "rank", F.round("score", 6))
+        assert rows(found) == sorted([w for w in want if w[0] < 5], key=repr)
+    named = p.withColumn("id", F.col("id").cast("string"))
+    assert {r["query_id"] for r in search.batch_search(named, named.select(F.col("id").alias("query_id"), "vector"), 1).collect()} == {str(i) for i in range(40)}
+    asked = []
+    near = search.related_transformations(p.withColumn("metadata_type", F.lit("transformations")), "t9", lambda text: asked.append(text) or [1.0] * 8, 3)
+    assert near.count() == 3 and asked == ["table t9"]
     assert sorted(r["id"] for r in search.similar_to(p, p.filter("id = 0"), 3).collect()) == sorted(i for q, i, *_ in want if q == 0)
     assert search.similar_to(p, p.filter("id = -1")).count() == 0
     assert {r["metadata_type"] for r in search.similar_columns(p, "c1", "t1").collect()} == {"columns"}
@@ -150,8 +242,19 @@ def test_vectors(spark):
 
 
 def test_linked_tables_one_hop(spark):
-    d = spark.createDataFrame([("a", "A", None, "b", "B", ["x"]), ("b", "B", "of b", "c", "C", ["y"]), ("z", "Z", None, None, None, None)], "id string, name string, description string, source_id string, source_name string, columns array<string>")
-    out = {r["id"]: r for r in shape.resolve_linked_tables(d).collect()}
-    assert out["a"]["columns"] == ["y"] and out["a"]["sourceTableDetails"]["isAccessible"]
-    assert out["b"]["columns"] == ["y"] and not out["b"]["sourceTableDetails"]["isAccessible"]
-    assert out["z"]["columns"] == [] and not out["z"]["isLinked"]
+    d = spark.createDataFrame([("a", "A", None, "b", "B"), ("b", "B", "of b", "c", "C"), ("z", "Z", None, None, None)], "id string, name string, description string, source_id string, source_name string")
+    resolved = shape.resolve_linked_tables(d)
+    out = {r["id"]: r for r in resolved.collect()}
+    assert out["a"]["sourceTableDetails"]["isAccessible"] and not out["b"]["sourceTableDetails"]["isAccessible"] and not out["z"]["isLinked"]
+    columns = spark.createDataFrame([("a", "x"), ("b", "y")], "table_id string, name string")
+    assert rows(shape.linked_columns(resolved, columns)) == [("a", "y"), ("b", "y")]
+
+
+def test_dependencies_of_blocks(spark):
+    file = "array<struct<file: string, source: string, destination: string>>"
+    t = spark.createDataFrame([("1", None), ("2", (["r"], None)), ("3", (None, None))], "id string, dependencies struct<requires: array<string>, produces: array<string>>")
+    b = spark.createDataFrame([("1", [("f", "in", None), ("g", "", None)], [("h", None, "out")]), ("1", [("f", "in", None)], None), ("2", [("f", "in", None)], None), ("3", None, [("h", None, "out")])], f"transformation_id string, inputs {file}, outputs {file}")
+    edges = shape.block_dependencies(t, b)
+    assert rows(edges) == [("1", "produces", "out"), ("1", "requires", "in"), ("2", "requires", "r"), ("3", "produces", "out")]
+    assert rows(shape.block_dependencies(t, b, "out")) == [r for r in rows(edges) if r[2] == "out"]
+    assert rows(shape.transformations_of_table(edges, t, "out", "produces").select("id")) == [("1",), ("3",)]
