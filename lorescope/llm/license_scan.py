@@ -7,9 +7,9 @@ agree, 0.98 at s = 0.79 (one word changed in the middle), 0.87 at 0.63 (two), 0.
 every twentieth word changed one window of eight is missed, and a text of 100 words, which has four of them, less
 often than once in a thousand.
 
-Shorter templates (notices of one line) need windows of two shingles of five words, at every word, with eight bands of one value: a
-window that shares one of its two shingles with a template meets it with probability 1 - 2^-8, and each
-shingle is in two windows, so that one lone shingle in 65,000 is missed.
+Shorter templates (notices of one line) need windows of two shingles of five words, at every word, with two bands of one
+value under an order and its reverse: of two shingles each comes first in one of them, so a window that shares a
+shingle with a template always meets it.
 
 Verification is exact. A template is in a document if at least 0.8 of the template's words lie in five-word
 shingles that the document has. For windows of notices these are the windows' own shingles; a candidate for a whole text
@@ -39,8 +39,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Templates of so many words at least are whole texts.
 LONG = 60
-#: Notices: shingles of a window, and bands of one value.
-PER_WINDOW, BANDS = 2, 8
+#: Notices: shingles of a window.
+PER_WINDOW = 2
 #: Whole texts: words of a shingle, shingles of a window, how far apart windows start, bands, and values of a band.
 WIDE_SHINGLE, WIDE, STRIDE, WIDE_BANDS, WIDE_ROWS = 3, 26, 20, 4, 2
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -48,6 +48,7 @@ SPAN = SHINGLE + PER_WINDOW - 1
 SHINGLES = [f"s{k}" for k in range(PER_WINDOW)]
 PLACES_A_VALUE, MOST_PLACES = 64, 1 << 20
 #: By these the 64 bits of shingles are turned over before the least is taken: an order of its own for each value.
+#: A turn and its complement make an order and its reverse.
 TURNS = [(0x9E3779B97F4A7C15 * (2 * k + 1) + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(WIDE_BANDS * WIDE_ROWS)]
 
 
@@ -94,8 +95,8 @@ def wide_bands(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def bands() -> list[Column]:
-    """MinHash of a narrow window's shingles under each band's own hash."""
-    return [F.least(*[F.when(F.col(s).isNotNull(), F.xxhash64(F.col(s), F.lit(b))) for s in SHINGLES]) for b in range(BANDS)]
+    """MinHash of a narrow window's shingles under an order and its reverse."""
+    return [F.least(*[F.col(s).bitwiseXOR(F.lit(t)) for s in SHINGLES]) for t in (TURNS[0], ~TURNS[0])]
 
 
 def _templates(spark, templates: dict[str, str]) -> DataFrame:
@@ -115,9 +116,9 @@ def passing(minhashes: DataFrame) -> Column:
         places *= 2
     place = lambda m: F.shiftrightunsigned(m, 20).bitwiseAND(F.lit(places - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
-    # at most 8 * 2^14 rows, whatever the number of templates
+    # at most 2 * 2^14 rows, whatever the number of templates
     found = minhashes.select("band", place(F.col("minhash")).alias("place")).groupBy("band", F.shiftrightunsigned("place", 6).alias("at")).agg(F.bit_or(one).alias("bits")).collect()
-    maps = [[0] * (places // 64) for _ in range(BANDS)]
+    maps = [[0] * (places // 64) for _ in bands()]
     for r in found:
         maps[r["band"]][r["at"]] = r["bits"]
     hits = []

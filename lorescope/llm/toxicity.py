@@ -42,6 +42,8 @@ SHORTEST, LONGEST, LONGEST_WORD = 4, 9, 40
 LEXICON, PHRASES = 2000, 500
 #: Pairs of neighbours (the words before and after) between which toxic training documents have an entry, at least.
 LEAST_CONTEXTS = 5
+#: Tasks that read the sample.
+SAMPLE_TASKS = 24
 #: Largest summed weight that the curve tells apart.
 MOST_WEIGHT = 100.0
 #: Phrases in which a lexicon word is meant otherwise.
@@ -188,36 +190,55 @@ def learned(train: DataFrame) -> dict[str, float]:
     sums = train.mapInPandas(counted, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     best = sums.filter(F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * n[1])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     found = {r["entry"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "entry").limit(LEXICON).collect()}
-    return {k: w for k, w in found.items() if k in spread(train, set(found))}
+    wide = spread(train, set(found))
+    return {k: w for k, w in found.items() if k in wide}
+
+
+def found_words(machine, text: str) -> Iterator[tuple[str, str, str, str]]:
+    """Of each match of an entry in a folded text: entry, the word before, the entry's whole word, and the word after."""
+    line = folded(text)
+    for end, entry in machine.iter(line):
+        start = end - len(entry) + 1
+        stop = line.find(" ", start + 1)
+        yield entry, line[line.rfind(" ", 0, start) + 1 : start], line[start + 1 : stop], line[stop + 1 : line.find(" ", stop + 1)]
+
+
+def finder(entries):
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for e in entries:
+        machine.add_word(e, e)
+    machine.make_automaton()
+    return machine
 
 
 def spread(train: DataFrame, entries: set[str]) -> set[str]:
     """The entries that toxic rows have between LEAST_CONTEXTS pairs of neighbours or more."""
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = finder(entries)
         for batch in batches:
-            seen = set()
-            for text in batch.text:
-                words = ["", *folded(text).split(), ""]
-                for before, w, after in zip(words, words[1:], words[2:], strict=False):
-                    seen.update((e, f"{before} {after}") for e in entries_of(w) & entries)
+            seen = {(e, f"{before} {after}") for text in batch.text for e, before, _, after in found_words(machine, text)}
             yield pd.DataFrame(sorted(seen), columns=["entry", "context"], dtype=object)
 
+    if not entries:
+        return set()
     pairs = train.filter("toxic = 1").select("text").mapInPandas(contexts, "entry string, context string").distinct()
     return {r["entry"] for r in pairs.groupBy("entry").count().filter(F.col("count") >= LEAST_CONTEXTS).collect()}  # at most LEXICON
 
 
 def learned_exceptions(train: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
     """Phrases of two words, one with an entry, that LEAST_DOCS clean rows have, and in no smaller share than toxic ones."""
-    entries = set(weights)
+    entries = sorted(weights)
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = finder(entries)
         for batch in batches:
             counts = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.text, batch.toxic, strict=True):
-                words = folded(text).split()
-                hit = [not entries.isdisjoint(entries_of(w)) for w in words]
-                counts[int(label == 1)].update({f"{a} {b}" for k, (a, b) in enumerate(zip(words, words[1:], strict=False)) if hit[k] or hit[k + 1]})
+                near = {p for _, before, word, after in found_words(machine, text) for p in ((before, word), (word, after)) if all(p)}
+                counts[int(label == 1)].update(" ".join(p) for p in near)
             keys = sorted(counts[0].keys() | counts[1].keys())
             yield pd.DataFrame({"phrase": keys, "t": [counts[1][k] for k in keys], "c": [counts[0][k] for k in keys]})
 
@@ -241,7 +262,8 @@ def fitted(points: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    sample = settled(one_of_each(training_rows(docs, labels, rows)))
+    # bounded rows, but too much work for the one task that they would be
+    sample = settled(one_of_each(training_rows(docs, labels, rows)).repartition(SAMPLE_TASKS, "doc_id"))
     model = Model(learned(sample))
     if not model.weights:
         return model
