@@ -4,7 +4,8 @@ A payload is laid out as rows of 64 RGB pixels and written as PNG: signature, ch
 filters, zlib. Reading tests every checksum, inflates and undoes the filters with numpy. The image's
 hash holds the signs, around their median, of the 8 x 8 lowest frequencies of its cosine transform.
 
-Defined results. A null text is empty; an empty payload is one row of blanks. Equal texts give equal bytes.
+Defined results. A null text is empty; an empty payload is one row of blanks. Equal texts give equal bytes. A very
+long text is one tall image in chunks of CHUNK bytes; a task holds one batch of images at a time.
 Repeated rows are coded alike, an empty table gives no row, and only doc_id and text are read. A
 damaged image raises ValueError in decode() and gives nulls in decoded().
 """
@@ -109,11 +110,14 @@ def decode(png: bytes) -> np.ndarray:
     found = list(chunks(png))
     if not found or found[0][0] != b"IHDR" or found[-1][0] != b"IEND":
         raise ValueError("first or last chunk is missing")
-    width, height, depth, colour, _, _, laced = struct.unpack(">IIBBBBB", found[0][1])
+    width, height, depth, colour, packed, filtered, laced = struct.unpack(">IIBBBBB", found[0][1])
     samples = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or samples is None or laced:
+    if depth != 8 or samples is None or packed or filtered or laced:
         raise ValueError("this kind of PNG is not read")
-    flat = zlib.decompress(b"".join(body for kind, body in found if kind == b"IDAT"))
+    data = [k for k, (kind, _) in enumerate(found) if kind == b"IDAT"]
+    if not data or data[-1] - data[0] != len(data) - 1:
+        raise ValueError("data chunks are missing or don't follow each other")
+    flat = zlib.decompress(b"".join(found[k][1] for k in data))
     if len(flat) != height * (width * samples + 1):
         raise ValueError("the image's size is wrong")
     lines = np.frombuffer(flat, "u1").reshape(height, -1)

@@ -181,7 +181,8 @@ def learned(train: DataFrame) -> dict[str, float]:
                 (toxic if label == 1 else clean).update(entries_of(folded(text)))
             # an entry that no toxic document has can't be chosen, but may have been seen elsewhere
             keys = list(toxic.keys() | clean.keys())
-            yield pd.DataFrame({"entry": keys, "t": [toxic[k] for k in keys], "c": [clean[k] for k in keys]})
+            if keys:
+                yield pd.DataFrame({"entry": keys, "t": [toxic[k] for k in keys], "c": [clean[k] for k in keys]})
 
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
@@ -220,7 +221,8 @@ def spread(train: DataFrame, entries: set[str]) -> set[str]:
         machine = finder(entries)
         for batch in batches:
             seen = {(e, f"{before} {after}") for text in batch.text for e, before, _, after in found_words(machine, text)}
-            yield pd.DataFrame(sorted(seen), columns=["entry", "context"], dtype=object)
+            if seen:
+                yield pd.DataFrame(sorted(seen), columns=["entry", "context"], dtype=object)
 
     if not entries:
         return set()
@@ -240,7 +242,8 @@ def learned_exceptions(train: DataFrame, weights: dict[str, float]) -> tuple[str
                 near = {p for _, before, word, after in found_words(machine, text) for p in ((before, word), (word, after)) if all(p)}
                 counts[int(label == 1)].update(" ".join(p) for p in near)
             keys = sorted(counts[0].keys() | counts[1].keys())
-            yield pd.DataFrame({"phrase": keys, "t": [counts[1][k] for k in keys], "c": [counts[0][k] for k in keys]})
+            if keys:
+                yield pd.DataFrame({"phrase": keys, "t": [counts[1][k] for k in keys], "c": [counts[0][k] for k in keys]})
 
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     sums = train.mapInPandas(phrases, "phrase string, t long, c long").groupBy("phrase").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
