@@ -206,6 +206,11 @@ def with_top(rows: DataFrame, tops: DataFrame) -> DataFrame:
     return rows.join(tops.select(F.col("node").alias("fp"), F.col("top").alias("__top")), "fp", "left").withColumn("top", F.coalesce("__top", "fp")).drop("__top")
 
 
+def joined_by(tops: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, top) with more edges between them. They go in as stars, so that few rounds are left."""
+    return simhash.components(tops.select(F.col("node").alias("a"), F.col("top").alias("b")).union(edges))
+
+
 def components(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
     """(node, top) of all nodes that are linked to another. nodes: fp, rid of one of its rows, print and keys."""
     keys = nodes.select("fp", F.explode("keys").alias("key"))
@@ -214,22 +219,20 @@ def components(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
     pairs = settled(by_print(nodes))
     wanted = met.select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct().join(nodes.select("fp", "rid"), "fp").select("rid")
     sets = settled(sketches.select("rid", "fp", "shingles").join(small_or_not(settled(wanted)), "rid", "left_semi").drop("rid"))
-    edges = settled(tested(_asked(pairs), sets))
-    tops = simhash.components(edges)
+    tops = simhash.components(tested(_asked(pairs), sets))
 
     hubs = with_top(met, tops).join(met.groupBy("fp").agg(F.sum("n").alias("met")), "fp")
     hubs = settled(hubs.groupBy("key").agg(F.max_by(F.struct(F.col("fp").alias("hub"), F.col("top").alias("hub_top")), F.struct("met", "fp")).alias("hub"), F.count_distinct("top").alias("tops"), F.count("*").alias("n")))
     around = with_totals(with_top(met.drop("n"), tops), hubs.filter("tops > 1"), "key")
     pairs = settled(around.filter("top <> hub.hub_top").select(F.col("hub.hub").alias("a"), F.col("fp").alias("b")).distinct())
-    edges = settled(edges.union(tested(_asked(pairs), sets)))
-    tops = simhash.components(edges)
+    tops = joined_by(tops, tested(_asked(pairs), sets))
 
     left = settled(with_top(met.drop("n"), tops))
     sizes = left.groupBy("key", "top").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("top", F.struct("k", "top")).alias("largest"), F.count("*").alias("tops"), F.sum("k").alias("n"))
     mixed = with_totals(left, settled(sizes.filter("tops > 1").drop("tops")), "key")
     own = mixed.select("fp", F.lit(0).alias("start"), "key", F.lit(0).alias("role"), "top")
     asking = mixed.filter("top <> largest").select("fp", F.lit(0).alias("start"), "key", F.lit(1).alias("role"), "top")
-    return simhash.components(edges.union(tested(settled(own.union(asking)), sets)))
+    return joined_by(tops, tested(settled(own.union(asking)), sets))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

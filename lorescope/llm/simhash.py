@@ -34,6 +34,8 @@ BLOCK = 512
 #: below it one segment is selective enough. The links found are the same.
 LONG_KEYS_FROM = 1 << 21
 _CHUNK = 1 << 16
+#: Edges of a checkpoint's file.
+ROWS_A_FILE = 50_000
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -201,15 +203,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     edges = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = total(edges)
+    # few edges need few files: 50,000 in each
+    parts = 1 + before[0] // ROWS_A_FILE
+    edges = edges.coalesce(parts)
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
         tops = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("top"), F.count("*").alias("n"))
         large = with_totals(both, tops, "a", 2 * before[0]).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("top").alias("b"))
-        large = settled(large.filter("a <> b").distinct())
+        large = settled(large.filter("a <> b").distinct().coalesce(parts))
         tops = large.groupBy("a").agg(F.min("b").alias("top"), F.count("*").alias("n"))
         small = with_totals(large, tops, "a", 2 * before[0])
         small = small.select(F.col("b").alias("a"), F.col("top").alias("b")).union(tops.select("a", F.col("top").alias("b")))
-        edges = settled(small.filter("a <> b").distinct())
+        edges = settled(small.filter("a <> b").distinct().coalesce(parts))
         after = total(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("top"))
