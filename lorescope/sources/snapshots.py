@@ -45,10 +45,15 @@ def active_only(df: DataFrame, include_deleted: bool = False, flag: str = "isDel
     return df if include_deleted else df.filter(~F.coalesce(F.col(flag), F.lit(False)))
 
 
+def last_of(new: DataFrame, key: str, order: list[str], names: list[str]) -> DataFrame:
+    """Of the rows of a key the last by `order`."""
+    return new.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("row")).select("row.*")
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Insert or replace by key; of several new rows for a key the last by `order` wins."""
     names = existing.columns
-    last = new.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("row")).select("row.*")
+    last = last_of(new, key, order, names)
     return existing.join(last.select(key), key, "left_anti").select(names).unionByName(last)
 
 
@@ -77,12 +82,15 @@ def upsert_points(base: str, new: DataFrame, order: list[str], dim: int) -> tupl
     spark = new.sparkSession
     ensure_collection(spark, base, dim)
     version, held, _ = newest(spark, base)
-    good, bad = checked_points(new, dim)
+    # embedding is dear: the new points are worked out once, and read from here on
+    staged = f"{base}/data/{uuid.uuid4().hex}"
+    new.write.parquet(staged)
+    good, bad = checked_points(spark.read.parquet(staged), dim)
     untyped = good.filter("metadata_type is null").withColumn("reason", F.lit("no metadata_type"))
     good, bad = good.filter("metadata_type is not null"), bad.unionByName(untyped)
     kinds = [r[0] for r in good.select("metadata_type").distinct().collect()]  # a handful of types
     touched = [p for k, p in held.items() if k in kinds]
-    merged = upsert(spark.read.parquet(*touched), good, "id", order) if touched else upsert(good.limit(0), good, "id", order)
+    merged = upsert(spark.read.parquet(*touched), good, "id", order) if touched else last_of(good, "id", order, good.columns)
     at = f"{base}/data/{uuid.uuid4().hex}"
     merged.withColumn("kind", F.md5("metadata_type")).write.partitionBy("kind").parquet(at)
     paths = {k: p for k, p in held.items() if k not in kinds} | {k: f"{at}/kind={hashlib.md5(k.encode()).hexdigest()}" for k in kinds}
