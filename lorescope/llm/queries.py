@@ -1,6 +1,6 @@
 """The queries of the corpus operators and, where SQL can express one, its SQL for DuckDB."""
 
-from . import license_scan, media, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_codes, toxicity, urls
+from . import license_scan, media, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_codes, toxicity, urls, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_media": media.op9_media,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op12_token_codes": token_codes.op12_token_codes,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
