@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import settled
@@ -153,30 +154,35 @@ def _of_bytes(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, dim).astype("i8")
 
 
-def _summed(distinct: DataFrame, dim: int, part) -> dict[tuple[int, int], float | int]:
-    """part(vectors) gives a matrix for some vectors; their sum over all, entry by entry, through Spark."""
+def _summed(distinct: DataFrame, dim: int, part) -> np.ndarray | None:
+    """part(vectors) gives a matrix for some vectors; their sum over all, None without a vector.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task sends one matrix. Of p tasks' matrices groups of some sqrt(p) are added in tasks, and the groups' sums by the driver,
+    both in the order of tasks, so that reruns agree.
+    """
+    kind, shape = (m := part(np.zeros((1, dim), "i8"))).dtype, m.shape
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 m = part(_of_bytes(batch.column(0).slice(k, 4096), dim))
                 total = m if total is None else total + m
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), "i4"), pa.array(j.ravel(), "i4"), pa.array(total.ravel())], ["i", "j", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], "i4"), pa.array([total.tobytes()], pa.binary())], ["task", "m"])
 
-    kind = "long" if part(np.zeros((1, dim), "i8")).dtype.kind == "i" else "double"
-    # a task's sums stay within a long below 2^32 vectors of entries up to 2^31; beyond tasks they are summed as decimals
-    v = F.col("v").cast("decimal(38,0)") if kind == "long" else F.col("v")
-    return {(r["i"], r["j"]): r["v"] for r in distinct.mapInArrow(run, f"i int, j int, v {kind}").groupBy("i", "j").agg(F.sum(v).alias("v")).collect()}
+    def added(rows: list[tuple[int, bytes]]) -> np.ndarray:
+        return sum(np.frombuffer(m, kind).reshape(shape) for _, m in sorted(rows, key=lambda r: r[0]))
 
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t, m) for batch in batches for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([min(t for t, _ in rows)], "i4"), pa.array([added(rows).tobytes()], pa.binary())], ["task", "m"])
 
-def _matrix(entries: dict, n: int, m: int) -> np.ndarray:
-    out = np.zeros((n, m))
-    for (i, j), v in entries.items():
-        out[i, j] = v
-    return out
+    groups = int(distinct.rdd.getNumPartitions() ** 0.5) + 1
+    out = "task int, m binary"
+    found = distinct.mapInArrow(partial, out).repartition(groups, F.col("task") % groups).mapInArrow(grouped, out).collect()
+    return added([(r["task"], r["m"]) for r in found]) if found else None
 
 
 def fit(rows: DataFrame, vector: str = "embedding", wanted: int | None = None) -> Whitening | None:
@@ -185,16 +191,17 @@ def fit(rows: DataFrame, vector: str = "embedding", wanted: int | None = None) -
     if not dim:
         return None
     distinct = settled(_distinct(rows, vector, dim))
-    first = _summed(distinct, dim, lambda x: np.vstack([x.sum(axis=0), np.full(dim, len(x))]))
-    if not first:
+    # high and low parts apart, so that no sum leaves a long
+    first = _summed(distinct, dim, lambda x: np.vstack([(x >> 16).sum(axis=0), (x & 0xFFFF).sum(axis=0), np.full(dim, len(x))]))
+    if first is None:
         return None
-    n, sums = int(first[1, 0]), tuple(int(first[0, j]) for j in range(dim))
+    n, sums = int(first[2, 0]), tuple((int(a) << 16) + int(b) for a, b in zip(first[0], first[1], strict=True))
     mean, rest = np.array([s // n for s in sums], "f8"), np.array([s % n for s in sums], "f8") / n
 
     def centred(x: np.ndarray) -> np.ndarray:
         return x - mean - rest
 
-    cov = _matrix(_summed(distinct, dim, lambda x: centred(x).T @ centred(x)), dim, dim) / n
+    cov = _summed(distinct, dim, lambda x: centred(x).T @ centred(x)) / n
     cov, trace = (cov + cov.T) / 2, float(np.trace(cov))
     if trace <= 0:
         return None
@@ -208,7 +215,7 @@ def fit(rows: DataFrame, vector: str = "embedding", wanted: int | None = None) -
         z = centred(x) @ scaled
         return np.vstack([z.T @ z, z.sum(axis=0)])
 
-    found = _matrix(_summed(distinct, dim, squares), k + 1, k) / n
+    found = _summed(distinct, dim, squares) / n
     error = float(np.abs(found[:k] - np.outer(found[k], found[k]) - np.eye(k)).max())
     return Whitening(n, sums, values, vectors, trace, error)
 
