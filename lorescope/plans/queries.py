@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- sources and sinks
 
 
-def _exported(spark: SparkSession, sf_dir: str) -> str:
-    """Customers written as JSON lines of buckets; every 50th line is cut short."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), (F.col("c_custkey") % 11 == 0).alias("isDeleted"))
-    line = F.to_json(F.struct("id", "name", "type", "isDeleted"))
+def _exported(spark: SparkSession, sf_dir: str, run: str | None = None) -> str:
+    """Customers written as JSON lines of buckets; every 50th line is cut short. Of the runs "old" and "new" each lacks some, and
+    the new one has its keys in another order and some other types."""
+    kind = F.when(F.lit(run == "new") & (F.col("c_custkey") % 7 == 0), "CHANGED").otherwise(F.col("c_mktsegment"))
+    c = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % (17 if run == "old" else 13) != 0 if run else F.lit(True))
+    c = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), kind.alias("type"), F.array("c_mktsegment", "c_name").alias("tags"), (F.col("c_custkey") % 11 == 0).alias("isDeleted"))
+    line = F.to_json(F.struct(*(("tags", "isDeleted", "type", "name", "id") if run == "new" else ("id", "name", "type", "tags", "isDeleted"))))
     path = snapshots.new_path(spark, "export")
     c.select(F.when(F.col("id").cast("long") % 50 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line).alias("value")).write.text(path)
     return path
@@ -376,6 +379,27 @@ def o29(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", identity.content_hash(raw).alias("content_hash"))
 
 
+def _nested(spark, sf_dir) -> DataFrame:
+    """Lines with a struct, an array of structs and a map in them, whose parts are in no order and partly null."""
+    li = table(spark, sf_dir, "lineitem")
+    flag = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    entries = [F.lit("ship"), F.col("l_linestatus"), F.lit("flag"), flag, F.lit("line"), F.col("l_linenumber").cast("string")]
+    part = F.struct(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_returnflag")).alias("even"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.create_map(*entries).alias("marks"), F.array(part, F.lit(None).cast("struct<supplier: bigint, part: bigint, even: string>")).alias("parts"), F.struct(flag.alias("flag"), F.col("l_linenumber").cast("double").alias("at")).alias("inner"))
+
+
+@query(
+    "o29_row_hash",
+    """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, sha256('{"inner":{"at":' || l_linenumber || case when l_returnflag <> 'N' then ',"flag":"' || l_returnflag || '"' else '' end || '},"marks":{'
+  || case when l_returnflag <> 'N' then '"flag":"' || l_returnflag || '",' else '' end || '"line":"' || l_linenumber || '","ship":"' || l_linestatus || '"},"parts":[{'
+  || case when l_partkey % 2 = 0 then '"even":"' || l_returnflag || '",' else '' end || '"part":' || l_partkey || ',"supplier":' || l_suppkey || '},null]}') as content_hash from lineitem""",
+)
+def o29b(spark, sf_dir):
+    rows = _nested(spark, sf_dir)
+    return identity.with_row_hash(rows, ["marks", "parts", "inner"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "content_hash")
+
+
 def _hashed(spark, sf_dir, name):
     return view(spark, sf_dir, name).select("entity_id", F.sha2("content", 256).alias("content_hash"), "content")
 
@@ -400,11 +424,23 @@ def o31(spark, sf_dir):
     return changes.snapshot_diff(_hashed(spark, sf_dir, "snap_old"), _hashed(spark, sf_dir, "snap_new"), ["entity_id"])
 
 
+@query(
+    "o31_typed_diff",
+    """
+with o as (select c_custkey as id from customer where c_custkey % 17 <> 0 and c_custkey % 50 <> 0), n as (select c_custkey as id from customer where c_custkey % 13 <> 0 and c_custkey % 50 <> 0)
+select cast(coalesce(o.id, n.id) as varchar) as id, case when o.id is null then 'new' when n.id is null then 'removed' when n.id % 7 = 0 then 'changed' else 'unchanged' end as status from o full join n on o.id = n.id""",
+)
+def o31b(spark, sf_dir):
+    """Two exports with their keys in another order, read as typed rows, hashed and compared."""
+    old, new = (snapshots.read_entities(spark, _exported(spark, sf_dir, run), "buckets")[0] for run in ("old", "new"))
+    return changes.snapshot_diff(identity.with_row_hash(old), identity.with_row_hash(new), ["id"])
+
+
 @query("o32_incremental", _DIFF + "select entity_id, case when status = 'unchanged' then 'old' else 'fresh' end as taken, content from diff where status <> 'removed'")
 def o32(spark, sf_dir):
     old, new = _hashed(spark, sf_dir, "snap_old"), _hashed(spark, sf_dir, "snap_new")
-    listing = new.join(old.select("entity_id", F.col("content_hash").alias("previous_hash")), "entity_id", "left")
-    return changes.incremental(old.withColumn("taken", F.lit("old")), listing, new.withColumn("taken", F.lit("fresh")), "entity_id").select("entity_id", "taken", "content")
+    found, _ = changes.incremental(old.withColumn("taken", F.lit("old")), new, new.withColumn("taken", F.lit("fresh")), "entity_id", old.select("entity_id", "content_hash"))
+    return found.select("entity_id", "taken", "content")
 
 
 def _levels(spark, sf_dir):
@@ -448,6 +484,28 @@ def o32b(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "o32_incremental_state",
+    _LEVELS
+    + """select 'buckets' as entity_type, bucket as entity_id, sha256(cast(case when same then before else after end as varchar)) as content_hash from bs join b using (bucket)
+union all select 'tables', cast(table_id as varchar), sha256(cast(case when ts.same then before else after end as varchar)) from ts join t using (table_id)
+union all select 'details', cast(detail_id as varchar), sha256(o_orderstatus || case when again and not same then '/again' else '' end) from ds""",
+)
+def o32c(spark, sf_dir):
+    """The state after the second run has the hashes of what was kept."""
+    return changes.incremental_levels(*_levels(spark, sf_dir))[1]
+
+
+@query("o32_third_run", "select o_orderkey as detail_id, case when o_orderkey % 3 = 0 then o_orderstatus || '/again' else o_orderstatus end as content from orders where o_custkey in (select c_custkey from customer)")
+def o32d(spark, sf_dir):
+    """After a run that kept details under unchanged tables, all tables change: every detail that had changed meanwhile is fresh."""
+    levels, state = _levels(spark, sf_dir)
+    found, after = changes.incremental_levels(levels, state)
+    moved = lambda df: df.withColumn("content_hash", F.concat("content_hash", F.lit("+")))
+    again = [changes.Level(x.name, x.key, found[x.name], x.listing if x.name == "details" else moved(x.listing), x.fresh, x.parent, x.parent_key) for x in levels]
+    return changes.incremental_levels(again, after)[0]["details"].select("detail_id", "content")
+
+
 @query("o33_rollover_state", "select 'customer' as entity_type, entity_id, sha256(content) as content_hash from snap_new")
 def o33(spark, sf_dir):
     return changes.rolled_over(_typed(_hashed(spark, sf_dir, "snap_new")))

@@ -113,19 +113,44 @@ def test_diff_and_incremental(spark):
     assert rows(changes.snapshot_diff(*nulls, ["id"])) == [(1, "unchanged"), (2, "changed"), (3, "changed"), (4, "new")]
     typed = [d.select(F.lit("t").alias("entity_type"), F.col("id").alias("entity_id"), "content_hash") for d in nulls]
     assert rows(changes.has_changed(typed[1], typed[0]).select("entity_id", "changed")) == [(1, False), (2, True), (3, True), (4, True)]
-    listing = new.join(old.select("id", F.col("content_hash").alias("previous_hash")), "id", "left")
     a, b = old.withColumn("v", F.lit("old")), new.withColumn("v", F.lit("new"))
-    assert rows(changes.incremental(a, listing, b, "id").select("id", "v")) == [(1, "old"), (2, "new"), (4, "new")]
-    assert rows(changes.incremental(a, listing, b, "id", force_full=True).select("id", "v")) == [(1, "new"), (2, "new"), (4, "new")]
+    found, state = changes.incremental(a, new, b, "id", old)
+    assert rows(found.select("id", "v")) == [(1, "old"), (2, "new"), (4, "new")] and rows(state) == rows(new)
+    found, state = changes.incremental(a, new, b, "id", old, force_full=True)
+    assert rows(found.select("id", "v")) == [(1, "new"), (2, "new"), (4, "new")] and rows(state) == rows(new)
+    known, listed = nulls
+    found, state = changes.incremental(known.withColumn("v", F.lit("old")), listed, listed.withColumn("v", F.lit("new")), "id", known)
+    assert rows(found.select("id", "v")) == [(1, "old"), (2, "new"), (3, "new"), (4, "new")] and rows(state) == rows(listed)
+    lost = listed.filter("id <> 4").withColumn("v", F.lit("new"))  # nothing could be read of 4
+    found, state = changes.incremental(known.withColumn("v", F.lit("old")), listed, lost, "id", known)
+    assert rows(state.select("id")) == [(1,), (2,), (3,)] == rows(found.select("id"))
 
 
 def test_children_of_unchanged_parents_are_kept(spark):
-    old = spark.createDataFrame([("t1", "old"), ("t2", "old"), ("t3", "old")], "id string, v string")
-    fresh = spark.createDataFrame([(f"t{i}", "new") for i in range(1, 6)], "id string, v string")
-    listing = spark.createDataFrame([("t1", "b1", "x", "y"), ("t2", "b2", "x", "y"), ("t3", "b2", "x", "x"), ("t4", "b1", "x", None), ("t5", "b2", "x", None)], "id string, bucket string, content_hash string, previous_hash string")
+    old = spark.createDataFrame([("t1", "old"), ("t2", "old"), ("t3", "old"), ("t6", "old")], "id string, v string")
+    fresh = spark.createDataFrame([(f"t{i}", "new") for i in range(1, 7)], "id string, v string")
+    listing = spark.createDataFrame([("t1", "b1", "x"), ("t2", "b2", "x"), ("t3", "b2", "x"), ("t4", "b1", "x"), ("t5", "b2", "x"), ("t6", "b1", "x")], "id string, bucket string, content_hash string")
+    state = spark.createDataFrame([("t1", "y"), ("t2", "y"), ("t3", "x")], "id string, content_hash string")
     buckets = spark.createDataFrame([("b1", True), ("b2", False)], "bucket string, unchanged boolean")
-    out = changes.incremental(old, listing, fresh, "id", buckets, "bucket")
-    assert rows(out.select("id", "v")) == [("t1", "old"), ("t2", "new"), ("t3", "old"), ("t4", "new"), ("t5", "new")]
+    out, after = changes.incremental(old, listing, fresh, "id", state, buckets, "bucket")
+    assert rows(out.select("id", "v")) == [("t1", "old"), ("t2", "new"), ("t3", "old"), ("t4", "new"), ("t5", "new"), ("t6", "old")]
+    # t1 keeps the hash of its old content; of t6's old content no hash is known
+    assert rows(after) == [("t1", "y"), ("t2", "x"), ("t3", "x"), ("t4", "x"), ("t5", "x")]
+
+
+def test_three_runs(spark):
+    """A table changes under an unchanged bucket, and is read afresh when the bucket changes."""
+    make = lambda hashes, v: (spark.createDataFrame([("b", hashes[0])], "bucket string, content_hash string"), spark.createDataFrame([("t", "b", hashes[1])], "table string, bucket string, content_hash string"), spark.createDataFrame([("b", v)], "bucket string, v string"), spark.createDataFrame([("t", v)], "table string, v string"))
+    none = spark.createDataFrame([], "bucket string, v string"), spark.createDataFrame([], "table string, v string")
+    state = spark.createDataFrame([], "entity_type string, entity_id string, content_hash string")
+    got, kept = [], none
+    for run, hashes in enumerate((("b1", "h1"), ("b1", "h2"), ("b1", "h2"), ("b2", "h2"), ("b3", "h2"))):
+        buckets, tables, fresh_b, fresh_t = make(hashes, f"run{run}")
+        levels = [changes.Level("buckets", "bucket", kept[0], buckets, fresh_b), changes.Level("tables", "table", kept[1], tables, fresh_t, "buckets", "bucket")]
+        found, state = changes.incremental_levels(levels, state)
+        state, kept = spark.createDataFrame(state.collect(), state.schema), [spark.createDataFrame(found[n].collect(), found[n].schema) for n in ("buckets", "tables")]
+        got.append((kept[1].first()["v"], {r["entity_id"]: r["content_hash"] for r in state.collect()}["t"]))
+    assert got == [("run0", "h1"), ("run0", "h1"), ("run0", "h1"), ("run3", "h2"), ("run3", "h2")]
 
 
 def test_levels(spark):
@@ -145,7 +170,8 @@ def test_levels(spark):
     assert rows(found["buckets"].select("bucket", "run")) == [("b1", "last"), ("b2", "fresh")]
     assert rows(found["tables"].select("table", "run")) == [("t1", "last"), ("t2", "last"), ("t3", "fresh"), ("t4", "fresh")]
     assert rows(found["details"].select("detail", "run")) == [("d1", "last"), ("d2", "last"), ("d3", "fresh"), ("d4", "fresh"), ("d5", "last"), ("d6", "fresh")]
-    assert after.count() == 12 and rows(after.filter("entity_id = 'd1'")) == [("details", "d1", "changed")]
+    # t1 and d1 are kept under b1, d2 under t2; d6 was lost and is fresh
+    assert after.count() == 12 and {r["entity_id"]: r["content_hash"] for r in after.collect()} == {"b1": "x", "b2": "y2", "t1": "old", "t2": "same", "t3": "changed", "t4": "new", "d1": "old", "d2": "old", "d3": "changed", "d4": "new", "d5": "same", "d6": "lost"}
     full, _ = changes.incremental_levels(levels, state, force_full=True)
     assert {r["run"] for df in full.values() for r in df.collect()} == {"fresh"} and full["details"].count() == 6
 
@@ -158,6 +184,35 @@ def test_ids_and_hashes(spark):
     assert a == b != c
 
 
+def test_hash_of_typed_rows(spark, tmp_path):
+    """Any order of columns, fields, keys and map entries gives the hash of the JSON text; values, places in arrays and names count."""
+    text = '{"id":"t","columns":["b","a"],"metadata":{"k":"v","a":"w"},"name":"n"}'
+    (tmp_path / "d.json").write_text(text)
+    one = snapshots.read_entities(spark, str(tmp_path), "table_details")[0]
+    want = spark.createDataFrame([(text,)], "j string").select(identity.content_hash(F.col("j"))).first()[0]
+    of = lambda df: identity.with_row_hash(df).first()["content_hash"]
+    assert of(one) == want == of(one.select(*reversed(one.columns))) == of(identity.with_row_hash(one))
+    other = one.withColumn("metadata", F.create_map(F.lit("a"), F.lit("w"), F.lit("z"), F.lit(None).cast("string"), F.lit("k"), F.lit("v")))
+    assert of(other) == want
+    for changed in (one.withColumn("columns", F.array(F.lit("a"), F.lit("b"))), one.withColumn("metadata", F.create_map(F.lit("a"), F.lit("w"))), one.withColumn("columns", F.array(F.lit("b"), F.lit(None), F.lit("a"))), one.withColumnRenamed("name", "title")):
+        assert of(changed) != want
+    deep = "a struct<x: map<string, struct<p: int, q: array<map<string, timestamp>>>>, y: double>"
+    flip = "a struct<y: double, x: map<string, struct<q: array<map<string, timestamp>>, p: int>>>"
+    from datetime import datetime
+
+    t = datetime(2024, 1, 2, 3, 4, 5, 6)
+    p = spark.createDataFrame([(({"m": (1, [{"u": t, "w": None}, None]), "n": None}, 2.0),)], deep)
+    q = spark.createDataFrame([((2.0, {"m": ([{"u": t}, None], 1)}),)], flip)
+    first = of(p)
+    assert first == of(q)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert of(p) == first
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert of(spark.createDataFrame([((None, 2.0),)], deep)) != first and of(spark.createDataFrame([(None,)], deep)) == spark.range(1).select(F.sha2(F.lit("{}"), 256)).first()[0]
+
+
 def test_batches_and_retries():
     assert [len(b) for b in embed.batched(list(range(25)), 10)] == [10, 10, 5]
     assert list(embed.batched([], 10)) == []
