@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity, render, vectors
 from ..operators import changes, embed, profile, search, shape
-from ..sources import snapshots
+from ..sources import points, snapshots
 from .bindings import sql, view
 
 QUERIES = {}
@@ -75,35 +75,47 @@ select id, seq, event_type, value from ranked where r = 1"""
 def o04(spark, sf_dir):
     feed = view(spark, sf_dir, "changes")
     cut = F.lit(feed.agg(F.percentile_approx("ts", 0.5)).first()[0])
-    first = snapshots.upsert(feed.limit(0), feed.filter(F.col("ts") <= cut), "id", ["ts", "seq"])
-    return snapshots.upsert(first, feed.filter(F.col("ts") > cut), "id", ["ts", "seq"]).select("id", "seq", "event_type", "value")
+    first = points.upsert(feed.limit(0), feed.filter(F.col("ts") <= cut), "id", ["ts", "seq"])
+    return points.upsert(first, feed.filter(F.col("ts") > cut), "id", ["ts", "seq"]).select("id", "seq", "event_type", "value")
 
 
-@query("o04_upsert_points", "select cast(id as varchar) as id, metadata_type, case when metadata_type = 'columns' and id % 2 = 0 then 'new' else 'old' end as text, round(list_sum(vector), 4) as total from points")
+@query("o04_upsert_points", "select cast(id as varchar) as id, case when metadata_type = 'columns' and id % 4 = 0 then 'tables' else metadata_type end as metadata_type, case when metadata_type = 'columns' and id % 2 = 0 then 'new' else 'old' end as text, round(list_sum(vector), 4) as total from points")
 def o04b(spark, sf_dir):
-    """Two upserts: all points, then half of the columns' points; the other types' files are not written again."""
-    points = view(spark, sf_dir, "points").withColumns({"id": F.col("id").cast("string"), "text": F.lit("old"), "seq": F.lit(0)})
-    new = points.filter("metadata_type = 'columns' and cast(id as bigint) % 2 = 0").withColumns({"text": F.lit("new"), "seq": F.lit(1)})
+    """Two upserts: all points, then half of the columns' points, some of them as tables now; only those are written."""
+    first = view(spark, sf_dir, "points").withColumns({"id": F.col("id").cast("string"), "text": F.lit("old"), "seq": F.lit(0)})
+    new = first.filter("metadata_type = 'columns' and cast(id as bigint) % 2 = 0").withColumns({"text": F.lit("new"), "seq": F.lit(1)})
+    new = new.withColumn("metadata_type", F.when(F.col("id").cast("long") % 4 == 0, "tables").otherwise(F.col("metadata_type")))
     base = snapshots.new_path(spark, "points")
-    for part in (points, new):
-        snapshots.upsert_points(base, part, ["seq"], 64)
-    return snapshots.load_points(spark, base).select("id", "metadata_type", "text", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    for part in (first, new):
+        points.upsert_points(base, part, ["seq"], 64)
+    return points.load_points(spark, base).select("id", "metadata_type", "text", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("o04_delete_removed", "select cast(o.entity_id as varchar) as id, o.content as text from snap_old o join snap_new n on o.entity_id = n.entity_id")
+def o04c(spark, sf_dir):
+    """Points of the last snapshot, without those of items that the new one has no more."""
+    old, new = _hashed(spark, sf_dir, "snap_old"), _hashed(spark, sf_dir, "snap_new")
+    base = snapshots.new_path(spark, "points")
+    first = old.select(F.col("entity_id").cast("string").alias("id"), F.lit("tables").alias("metadata_type"), F.col("content").alias("text"), F.array(F.lit(1.0), F.col("entity_id").cast("double")).alias("vector"))
+    points.upsert_points(base, first, ["text"], 2)
+    points.delete_points(base, changes.snapshot_diff(old, new, ["entity_id"]).filter(F.col("status") == changes.REMOVED).select(F.col("entity_id").alias("id")))
+    return points.load_points(spark, base).select("id", "text")
 
 
 @query("o05_dimension_check", "select cast(id as varchar) as id, id % 10 <> 0 as stored, case when id % 10 = 0 then 'dimension 63, not 64' end as reason from points")
 def o05(spark, sf_dir):
     """The collection is made with its dimension, and points of another are told apart when they are written."""
-    points = view(spark, sf_dir, "points").withColumns({"vector": F.when(F.col("id") % 10 == 0, F.slice("vector", 1, 63)).otherwise(F.col("vector")), "id": F.col("id").cast("string")})
+    given = view(spark, sf_dir, "points").withColumns({"vector": F.when(F.col("id") % 10 == 0, F.slice("vector", 1, 63)).otherwise(F.col("vector")), "id": F.col("id").cast("string")})
     base = snapshots.new_path(spark, "points")
-    snapshots.ensure_collection(spark, base, 64)
-    _, bad = snapshots.upsert_points(base, points, ["id"], 64)
-    good = snapshots.load_points(spark, base).select("id", F.lit(True).alias("stored"), F.lit(None).cast("string").alias("reason"))
+    points.ensure_collection(spark, base, 64)
+    _, bad = points.upsert_points(base, given, ["id"], 64)
+    good = points.load_points(spark, base).select("id", F.lit(True).alias("stored"), F.lit(None).cast("string").alias("reason"))
     return good.unionByName(bad.select("id", F.lit(False).alias("stored"), "reason"))
 
 
 @query("o06_scan_points", "select id, metadata_type, table_id from points where metadata_type = 'columns' and table_id = '3' order by id limit 20")
 def o06(spark, sf_dir):
-    return snapshots.scan_points(view(spark, sf_dir, "points"), {"metadata_type": "columns", "table_id": "3"}, 20).select("id", "metadata_type", "table_id")
+    return points.scan_points(view(spark, sf_dir, "points"), {"metadata_type": "columns", "table_id": "3"}, 20).select("id", "metadata_type", "table_id")
 
 
 @query("o07_state", "select 'customer' as entity_type, cast(entity_id as varchar) as entity_id, sha256(content) as content_hash from snap_new")
@@ -587,9 +599,9 @@ select id, metadata_type, table_id, lang, round(s, 6) as score from scores where
 def stored(spark: SparkSession, sf_dir: str) -> str:
     """Where the points of the collection view are; they are embedded and upserted once for each session and folder."""
     base = f"{snapshots.shared_dir(spark)}/collection-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
-    if snapshots.newest(spark, base) is None:
-        points = vectors.hash_embed(view(spark, sf_dir, "collection").repartition(spark.sparkContext.defaultParallelism), "text")
-        snapshots.upsert_points(base, points.withColumn("seq", F.lit(1)), ["seq"], 64)
+    if points.is_empty(spark, base):
+        embedded = vectors.hash_embed(view(spark, sf_dir, "collection").repartition(spark.sparkContext.defaultParallelism), "text")
+        points.upsert_points(base, embedded.withColumn("seq", F.lit(1)), ["seq"], 64)
     return base
 
 
@@ -599,8 +611,8 @@ def _hits(found: DataFrame) -> DataFrame:
 
 @query("o38_semantic_search", _ask(QUESTION, "lang = 'en'", 10))
 def o38(spark, sf_dir):
-    points = snapshots.load_points(spark, stored(spark, sf_dir))
-    return _hits(search.semantic_search(points, question(spark), stage="en", stage_column="lang"))
+    held = points.load_points(spark, stored(spark, sf_dir))
+    return _hits(search.semantic_search(held, question(spark), stage="en", stage_column="lang"))
 
 
 @query("o39_metadata_filter", "select id from points where metadata_type = 'columns' and table_id = '2'")
@@ -623,8 +635,8 @@ select id, metadata_type, round(s, 6) as score from scored order by s desc, id l
 
 @query("o40_related_by_table", _ask("table src3", "metadata_type = 'transformations'", 5))
 def o40(spark, sf_dir):
-    points = snapshots.load_points(spark, stored(spark, sf_dir), ["transformations"])
-    return _hits(search.related_transformations(points, "src3", lambda text: question(spark, text)))
+    held = points.load_points(spark, stored(spark, sf_dir), ["transformations"])
+    return _hits(search.related_transformations(held, "src3", lambda text: question(spark, text)))
 
 
 @query("o41_related_by_transformation", _near("id <> 0", 10))
@@ -647,13 +659,13 @@ def o43(spark, sf_dir):
 
 @query("o43_table_columns_query", _ask(QUESTION, "metadata_type = 'columns' and table_id = 'src3'", 10))
 def o43b(spark, sf_dir):
-    points = snapshots.load_points(spark, stored(spark, sf_dir), ["columns"])
-    return _hits(search.table_columns(points, "src3", question(spark), 10))
+    held = points.load_points(spark, stored(spark, sf_dir), ["columns"])
+    return _hits(search.table_columns(held, "src3", question(spark), 10))
 
 
 @query("o44_search_all", _ask(QUESTION, "true", 10))
 def o44(spark, sf_dir):
-    return _hits(search.top_k(snapshots.load_points(spark, stored(spark, sf_dir)), question(spark), 10))
+    return _hits(search.top_k(points.load_points(spark, stored(spark, sf_dir)), question(spark), 10))
 
 
 @query("o45_exclude_self", _near("id <> 7 and metadata_type = 'tables'", 5).replace("where id = 0", "where id = 7"))

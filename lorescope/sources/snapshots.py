@@ -1,13 +1,12 @@
-"""Reading exported snapshots, and keeping points and state as versioned Parquet."""
+"""Reading exported snapshots, and keeping state as versioned Parquet."""
 
-import hashlib
 import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.joins import settled, with_totals
+from . import manifest
 from .schemas import ENTITIES
 from .shared import shared_dir
 
@@ -45,114 +44,19 @@ def active_only(df: DataFrame, include_deleted: bool = False, flag: str = "isDel
     return df if include_deleted else df.filter(~F.coalesce(F.col(flag), F.lit(False)))
 
 
-def last_of(new: DataFrame, key: str, order: list[str], names: list[str]) -> DataFrame:
-    """Of the rows of a key the last by `order`."""
-    return new.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("row")).select("row.*")
-
-
-def upsert(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Insert or replace by key; of several new rows for a key the last by `order` wins."""
-    names = existing.columns
-    last = last_of(new, key, order, names)
-    return existing.join(last.select(key), key, "left_anti").select(names).unionByName(last)
-
-
-POINTS = "id STRING, metadata_type STRING, text STRING, vector ARRAY<DOUBLE>"
-
-
-def ensure_collection(spark: SparkSession, base: str, dim: int) -> int:
-    """The newest version of the points at base, which is made, empty, if there is none. ValueError if the collection
-    that is there has another dimension."""
-    found = newest(spark, base)
-    if found is None:
-        return _commit(spark, base, 1, [("", "", dim)])
-    if found[2] != dim:
-        raise ValueError(f"the points at {base} have dimension {found[2]}, not {dim}")
-    return found[0]
-
-
-def upsert_points(base: str, new: DataFrame, order: list[str], dim: int) -> tuple[int, DataFrame]:
-    """Upsert points (id, metadata_type, vector, ...) and commit a new version; gives its number and the rejected
-    points, whose vector has another dimension or whose metadata_type is null.
-
-    Only the metadata types that new points have are read and written; the others' files go into the new version as
-    they are. A point stays in its type: an id is a point of one type. Readers see a version once it is whole, and of
-    two writers that start from one version the second fails.
-    """
-    spark = new.sparkSession
-    ensure_collection(spark, base, dim)
-    version, held, _ = newest(spark, base)
-    # embedding is dear: the new points are worked out once, and read from here on
-    staged = f"{base}/data/{uuid.uuid4().hex}"
-    new.write.parquet(staged)
-    good, bad = checked_points(spark.read.parquet(staged), dim)
-    untyped = good.filter("metadata_type is null").withColumn("reason", F.lit("no metadata_type"))
-    good, bad = good.filter("metadata_type is not null"), bad.unionByName(untyped)
-    kinds = [r[0] for r in good.select("metadata_type").distinct().collect()]  # a handful of types
-    touched = [p for k, p in held.items() if k in kinds]
-    merged = upsert(spark.read.parquet(*touched), good, "id", order) if touched else last_of(good, "id", order, good.columns)
-    at = f"{base}/data/{uuid.uuid4().hex}"
-    merged.withColumn("kind", F.md5("metadata_type")).write.partitionBy("kind").parquet(at)
-    paths = {k: p for k, p in held.items() if k not in kinds} | {k: f"{at}/kind={hashlib.md5(k.encode()).hexdigest()}" for k in kinds}
-    return _commit(spark, base, version + 1, [(k, p, dim) for k, p in paths.items()] or [("", "", dim)]), bad
-
-
-def load_points(spark: SparkSession, base: str, kinds: list[str] | None = None) -> DataFrame:
-    """The newest version's points, of some types only if they are named: other types' files are not opened."""
-    found = newest(spark, base)
-    if found is None:
-        raise ValueError(f"no points at {base}")
-    paths = [p for k, p in found[1].items() if kinds is None or k in kinds]
-    return spark.read.parquet(*paths) if paths else spark.createDataFrame([], POINTS)
-
-
-def checked_points(points: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Points whose vector has the collection's dimension, and the others with a reason."""
-    fits = F.coalesce(F.size("vector") == dim, F.lit(False)) & F.col("vector").isNotNull()
-    return points.filter(fits), points.filter(~fits).withColumn("reason", F.format_string("dimension %d, not %d", F.coalesce(F.size("vector"), F.lit(-1)), F.lit(dim)))
-
-
-def scan_points(points: DataFrame, conditions: dict[str, object], limit: int | None = None) -> DataFrame:
-    """Points that meet all equalities; with a limit the first by id."""
-    found = points.filter(reduce(Column.__and__, [F.col(k) == v for k, v in conditions.items()], F.lit(True)))
-    return found if limit is None else found.orderBy("id").limit(limit)
-
-
-def newest(spark: SparkSession, base: str) -> tuple[int, dict[str, str], int] | None:
-    """Number, paths by kind, and dimension of the newest version at base; None if there is none.
-
-    A version is a folder of the manifest, written after the data it names. Points and state share this scheme.
-    """
-    try:
-        rows = spark.read.schema("kind STRING, path STRING, dim INT, v INT").parquet(f"{base}/manifest")
-        last = rows.agg(F.max("v")).first()[0]
-        found = rows.filter(F.col("v") == last).collect()  # a row for each kind
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return (last, {r["kind"]: r["path"] for r in found if r["path"]}, found[0]["dim"]) if found else None
-
-
-def _commit(spark: SparkSession, base: str, version: int, entries: list[tuple[str, str, int]]) -> int:
-    """Fails if the version is there already."""
-    spark.createDataFrame(entries, "kind STRING, path STRING, dim INT").coalesce(1).write.mode("error").parquet(f"{base}/manifest/v={version:08d}")
-    return version
-
-
 def save_state(state: DataFrame, base: str) -> int:
     """Write a new version of the state; it counts once it is complete. Of two writers that start from one version the
     second fails, and its data is never read."""
     spark, at = state.sparkSession, f"{base}/data/{uuid.uuid4().hex}"
-    found = newest(spark, base)
+    found = manifest.versions(spark, base)
     state.write.parquet(at)
-    return _commit(spark, base, found[0] + 1 if found else 1, [("state", at, 0)])
+    return manifest.put(spark, base, found[-1] + 1 if found else 1, {"path": at})
 
 
 def load_state(spark: SparkSession, base: str, schema: str = ENTITIES["state"]) -> DataFrame:
     """The newest complete version; without one, an empty state."""
-    found = newest(spark, base)
-    return spark.read.schema(schema).parquet(found[1]["state"]) if found else spark.createDataFrame([], schema)
+    found = manifest.newest(spark, base)
+    return spark.read.schema(schema).parquet(found[1]["path"]) if found else spark.createDataFrame([], schema)
 
 
 def snapshot_summary(entities: dict[str, DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorescope.functions import identity, vectors
 from lorescope.operators import changes, embed, joins, profile, search, shape
-from lorescope.sources import snapshots
+from lorescope.sources import manifest, points as points_store, snapshots
 
 
 def rows(df):
@@ -26,35 +26,14 @@ def test_state_versions(spark, tmp_path):
     assert snapshots.load_state(spark, base).count() == 0
     for h in ("a", "b"):
         snapshots.save_state(spark.createDataFrame([("t", "1", h)], "entity_type string, entity_id string, content_hash string"), base)
-    (tmp_path / "state" / "manifest" / "v=00000009").mkdir()  # never completed
+    (tmp_path / "state" / "manifest" / ".draft-x").write_text("{")  # never completed
     (tmp_path / "state" / "data" / "half").mkdir()
-    assert rows(snapshots.load_state(spark, base)) == [("t", "1", "b")] and snapshots.newest(spark, base)[0] == 2
+    assert rows(snapshots.load_state(spark, base)) == [("t", "1", "b")] and manifest.newest(spark, base)[0] == 2
     with pytest.raises(Exception, match="already exists"):  # a second writer from the same version
-        snapshots._commit(spark, base, 2, [("state", "elsewhere", 0)])
+        manifest.put(spark, base, 2, {"path": "elsewhere"})
     assert rows(snapshots.load_state(spark, base)) == [("t", "1", "b")]
 
 
-def test_points_of_untouched_types_are_not_written_again(spark, tmp_path):
-    kind = "id string, metadata_type string, text string, vector array<double>, seq int"
-    base = str(tmp_path / "points")
-    with pytest.raises(ValueError):
-        snapshots.load_points(spark, base)
-    assert snapshots.ensure_collection(spark, base, 2) == 1 == snapshots.ensure_collection(spark, base, 2)
-    assert snapshots.load_points(spark, base).count() == 0
-    with pytest.raises(ValueError):
-        snapshots.ensure_collection(spark, base, 3)
-    first = spark.createDataFrame([("a", "tables", "old", [1.0, 0.0], 0), ("b", "a column: x", "old", [0.0, 1.0], 0), ("c", "tables", "bad", [1.0], 0), ("d", None, "bad", [1.0, 1.0], 0)], kind)
-    version, bad = snapshots.upsert_points(base, first, ["seq"], 2)
-    assert version == 2 and sorted((r["id"], r["reason"]) for r in bad.collect()) == [("c", "dimension 1, not 2"), ("d", "no metadata_type")]
-    before = snapshots.newest(spark, base)[1]
-    again = spark.createDataFrame([("b", "a column: x", "new", [0.0, 2.0], 1), ("e", "a column: x", "new", [1.0, 1.0], 1)], kind)
-    assert snapshots.upsert_points(base, again, ["seq"], 2)[0] == 3
-    after = snapshots.newest(spark, base)[1]
-    assert after["tables"] == before["tables"] and after["a column: x"] != before["a column: x"]
-    assert sorted((r["id"], r["text"]) for r in snapshots.load_points(spark, base).collect()) == [("a", "old"), ("b", "new"), ("e", "new")]
-    assert [r["id"] for r in snapshots.load_points(spark, base, ["tables"]).collect()] == ["a"]
-
-
 def test_children_in_long_form(spark):
     """A parent with most of the children, one with some and one with none."""
     parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
@@ -88,13 +67,16 @@ def test_running_sums(spark):
 def test_upsert_last_wins_and_repeats_change_nothing(spark):
     old = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "id long, seq int, v string")
     new = spark.createDataFrame([(2, 1, "c"), (2, 2, "d"), (3, 1, "e")], "id long, seq int, v string")
-    once = snapshots.upsert(old, new, "id", ["seq"])
-    assert rows(once) == [(1, 0, "a"), (2, 2, "d"), (3, 1, "e")] == rows(snapshots.upsert(once, new, "id", ["seq"]))
+    once = points_store.upsert(old, new, "id", ["seq"])
+    assert rows(once) == [(1, 0, "a"), (2, 2, "d"), (3, 1, "e")] == rows(points_store.upsert(once, new, "id", ["seq"]))
+    nameless = spark.createDataFrame([(None, 1, "n")], "id long, seq int, v string")
+    twice = points_store.upsert(points_store.upsert(once, nameless, "id", ["seq"]), nameless, "id", ["seq"])
+    assert rows(twice) == sorted([(1, 0, "a"), (2, 2, "d"), (3, 1, "e"), (None, 1, "n")], key=repr)
 
 
 def test_dimension(spark):
-    p = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0]), ("c", None)], "id string, vector array<float>")
-    good, bad = snapshots.checked_points(p, 2)
+    p = spark.createDataFrame([("a", "t", [1.0, 2.0]), ("b", "t", [1.0]), ("c", "t", None)], "id string, metadata_type string, vector array<float>")
+    good, bad = points_store.checked_points(p, 2)
     assert [r["id"] for r in good.collect()] == ["a"] and bad.count() == 2
 
 
