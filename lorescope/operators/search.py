@@ -94,6 +94,21 @@ def _best(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, limit:
     return np.repeat(own, best.shape[1])[there], ids[best].ravel()[there], found[there]
 
 
+def product(dim: int, limit: int, exclude_self: bool) -> Callable[[pa.Table], pa.Table]:
+    """For a group of rows (key, vector, side: 0 asks, 1 is found): the best of each query, as (query_id, id, score)."""
+
+    def run(part: pa.Table) -> pa.Table:
+        sides = [part.filter(pc.equal(part.column("side"), s)).combine_chunks() for s in (0, 1)]
+        keys, vectors = ([s.column(c) for s in sides] for c in ("key", "vector"))
+        x, y = (_matrix(pa.concat_arrays(v.chunks) if v.num_chunks else pa.array([], v.type), dim) for v in vectors)
+        if not len(x) or not len(y):
+            return pa.table({"query_id": keys[0].slice(0, 0), "id": keys[1].slice(0, 0), "score": pa.array([], pa.float64())})
+        found = _best(keys[0].to_numpy(), x, keys[1].to_numpy(), y, limit, exclude_self)
+        return pa.table(dict(zip(["query_id", "id", "score"], map(pa.array, found), strict=True)))
+
+    return run
+
+
 def batch_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank): exact top-k of queries(query_id, vector) among points(id, vector).
 
@@ -133,17 +148,8 @@ def batch_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude
         df = df.select(F.col(key).alias("key"), "vector", F.lit(side).alias("side"), mine.cast("int").alias("mine"), all_.alias("other"))
         return df.select("key", "vector", "side", *([F.col("mine").alias("i"), F.col("other").alias("j")] if side == 0 else [F.col("other").alias("i"), F.col("mine").alias("j")]))
 
-    def product(part: pa.Table) -> pa.Table:
-        sides = [part.filter(pc.equal(part.column("side"), s)).combine_chunks() for s in (0, 1)]
-        keys, vectors = ([s.column(c) for s in sides] for c in ("key", "vector"))
-        x, y = (_matrix(pa.concat_arrays(v.chunks) if v.num_chunks else pa.array([], v.type), dim) for v in vectors)
-        if not len(x) or not len(y):
-            return pa.table({"query_id": keys[0].slice(0, 0), "id": keys[1].slice(0, 0), "score": pa.array([], pa.float64())})
-        found = _best(keys[0].to_numpy(), x, keys[1].to_numpy(), y, limit, exclude_self)
-        return pa.table(dict(zip(names, map(pa.array, found), strict=True)))
-
     both = dealt(asked, "query_id", a, b, 0).union(dealt(points, "id", b, a, 1))
-    return _ranked(both.groupBy("i", "j").applyInArrow(product, out), limit)
+    return _ranked(both.groupBy("i", "j").applyInArrow(product(dim, limit, exclude_self), out), limit)
 
 
 def all_similar(points: DataFrame, limit: int = 5, block: int = BLOCK) -> DataFrame:
