@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.vectors import cosine
 
@@ -152,6 +152,55 @@ def batch_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude
     return _ranked(both.groupBy("i", "j").applyInArrow(product(dim, limit, exclude_self), out), limit)
 
 
+def store_blocks(points: DataFrame, path: str, block: int = BLOCK) -> str:
+    """Write points(id, vector) as blocks of a matrix each, for batch_search_blocks(): their ids, the numbers as they are, and the rows'
+    lengths. Vectors of another dimension than most (of equally many, the longest), and those with nulls, are left out."""
+    alike = points.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())).select("id", "vector")
+    most = alike.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    dim = most["dim"] if most else 0
+    width = "<f4" if points.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, block):
+                ids, vectors = whole.slice(k, block).columns
+                m = vectors.flatten().to_numpy(zero_copy_only=False).astype(width).reshape(-1, dim)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], "i4"), ids)
+                yield pa.RecordBatch.from_arrays([lists, pa.array([dim], "i4"), pa.array([width]), pa.array([m.tobytes()], pa.binary()), pa.array([np.linalg.norm(m.astype("f8"), axis=1).tobytes()], pa.binary())], ["ids", "dim", "width", "matrix", "lengths"])
+
+    kind = points.schema["id"].dataType.simpleString()
+    alike.filter(F.size("vector") == dim).mapInArrow(run, f"ids array<{kind}>, dim int, width string, matrix binary, lengths binary").write.parquet(path)
+    return path
+
+
+def batch_search_blocks(spark: SparkSession, path: str, queries: DataFrame, limit: int = 10, exclude_self: bool = False, most: int = BLOCK) -> DataFrame:
+    """batch_search() over stored blocks: one product a block, nothing to decode. Up to `most` queries(query_id, vector); ValueError beyond
+    (more queries are points of their own, for batch_search() or an index)."""
+    asked = queries.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())).limit(most + 1).toArrow()
+    if asked.num_rows > most:
+        raise ValueError(f"more than {most} queries")
+    stored = spark.read.parquet(path)
+    out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {stored.schema['ids'].dataType.elementType.simpleString()}, score double"
+    if not asked.num_rows:
+        return _ranked(spark.createDataFrame([], out), limit)
+    sizes = pc.list_value_length(asked.column("vector"))
+    by_dim = {d: asked.filter(pc.equal(sizes, d)).combine_chunks() for d in pc.unique(sizes).to_pylist()}
+    sides = {d: (t.column("query_id").combine_chunks().to_numpy(zero_copy_only=False), _matrix(t.column("vector").combine_chunks(), d)) for d, t in by_dim.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, dim, width, matrix, lengths = (c[k] for c in batch.columns)
+                if dim.as_py() not in sides:
+                    continue
+                y, n = np.frombuffer(matrix.as_py(), width.as_py()).reshape(-1, dim.as_py()).astype("f8"), np.frombuffer(lengths.as_py(), "f8")
+                y /= np.where(n == 0, 1, n)[:, None]
+                found = _best(sides[dim.as_py()][0], sides[dim.as_py()][1], ids.values.to_numpy(zero_copy_only=False), y, limit, exclude_self)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "id", "score"])
+
+    return _ranked(stored.mapInArrow(run, out), limit)
+
+
 def all_similar(points: DataFrame, limit: int = 5, block: int = BLOCK) -> DataFrame:
     """The nearest others of every point, exactly."""
     return batch_search(points, points.select(F.col("id").alias("query_id"), "vector"), limit, True, block)

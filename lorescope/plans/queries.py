@@ -1,12 +1,13 @@
 """One query for each operator, bound to the driver's tables, with SQL that gives the same rows."""
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity, render, vectors
-from ..operators import changes, embed, profile, search, shape
-from ..sources import points, snapshots
+from ..operators import cells, changes, embed, profile, search, shape
+from ..sources import manifest, points, snapshots
 from .bindings import sql, view
 
 QUERIES = {}
@@ -668,6 +669,24 @@ def o44(spark, sf_dir):
     return _hits(search.top_k(points.load_points(spark, stored(spark, sf_dir)), question(spark), 10))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> cells.Index:
+    """The points of stored(), by cell, once for each session and folder."""
+    base = f"{stored(spark, sf_dir)}-cells"
+    if manifest.newest(spark, base) is None:
+        cells.build(points.load_points(spark, stored(spark, sf_dir)).select("id", "metadata_type", "table_id", "lang", "vector"), base, n_cells=16)
+    return cells.opened(spark, base)
+
+
+@query("o44_search_all_in_cells", _ask(QUESTION, "true", 10))
+def o44b(spark, sf_dir):
+    return _hits(cells.nearest(spark, _indexed(spark, sf_dir), question(spark), 10))
+
+
+@query("o38_semantic_search_in_cells", _ask(QUESTION, "lang = 'en'", 10))
+def o38b(spark, sf_dir):
+    return _hits(cells.nearest(spark, _indexed(spark, sf_dir), question(spark), 10, search.metadata_filter(stage="en", stage_column="lang")))
+
+
 @query("o45_exclude_self", _near("id <> 7 and metadata_type = 'tables'", 5).replace("where id = 0", "where id = 7"))
 def o45(spark, sf_dir):
     p = view(spark, sf_dir, "points")
@@ -683,8 +702,26 @@ ranked as (select *, row_number() over (partition by query_id order by round(s,
 select query_id, id, round(s, 6) as score, cast(rank as int) as rank from ranked where rank <= {limit}"""
 
 
+def stored_blocks(spark: SparkSession, sf_dir: str) -> str:
+    """Where the points of the embeddings are kept as matrices, written once for each session and folder."""
+    base = f"{snapshots.shared_dir(spark)}/blocks-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    found = manifest.newest(spark, base)
+    if found is None:
+        path = search.store_blocks(view(spark, sf_dir, "points"), f"{base}/data/{uuid.uuid4().hex}")
+        return manifest.read(spark, base, manifest.commit(spark, base, lambda body: body or {"path": path}))["path"]
+    return found[1]["path"]
+
+
 @query("o46_batch_search", _many("id % 50 = 0", 10))
 def o46(spark, sf_dir):
+    asked = view(spark, sf_dir, "points").filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = search.batch_search_blocks(spark, stored_blocks(spark, sf_dir), asked, 10, exclude_self=True)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("o46_batch_search_of_points", _many("id % 50 = 0", 10))
+def o46b(spark, sf_dir):
+    """The same without stored blocks, of any number of queries."""
     p = view(spark, sf_dir, "points")
     asked = p.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     return search.batch_search(p, asked, 10, exclude_self=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
@@ -695,6 +732,13 @@ def o47(spark, sf_dir):
     return search.all_similar(view(spark, sf_dir, "points"), 5, block=1024).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("o47_all_similar_in_cells", _many("true", 5))
+def o47b(spark, sf_dir):
+    """The same through an index, whose cells leave out what can't be among the nearest."""
+    index = cells.build(view(spark, sf_dir, "points").select("id", "vector"), snapshots.new_path(spark, "cells"), n_cells=8)
+    return cells.all_nearest(spark, index, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("o48_format_hits", _near("id <> 0", 10).replace("select id, metadata_type, round(s, 6) as score from scored order by s desc, id limit 10", "select cast(row_number() over (order by s desc, id) as int) as rank, format('{:.3f}', s) as score_text, id, metadata_type from scored order by s desc, id limit 10"))
 def o48(spark, sf_dir):
     p = view(spark, sf_dir, "points")

@@ -265,6 +265,23 @@ def test_search(spark):
         search.similar_columns(p, "none", "t1")
 
 
+def test_search_of_stored_blocks(spark, tmp_path):
+    """The same as from points, whatever the precision, the size of blocks, and odd rows on either side."""
+    p = points(spark).select("id", "vector")
+    odd = spark.createDataFrame([(900, None), (901, [1.0]), (902, [None] * 8), (903, [0.0] * 8)], p.schema)
+    asked = p.filter("id % 3 = 0").union(odd).select(F.col("id").alias("query_id"), "vector")
+    for k, df in enumerate((p.union(odd), p.union(odd).withColumn("vector", F.transform("vector", lambda x: x.cast("double"))))):
+        want = rows(search.batch_search(df, asked, 3, True))
+        for block in (7, 4096):
+            at = search.store_blocks(df.repartition(2), str(tmp_path / f"{k}-{block}"), block)
+            assert [(*w[:2], round(w[2], 9), w[3]) for w in rows(search.batch_search_blocks(spark, at, asked, 3, True)) if w[0] < 901] == [(*w[:2], round(w[2], 9), w[3]) for w in want if w[0] < 901]
+    with pytest.raises(ValueError):
+        search.batch_search_blocks(spark, at, asked, 3, most=2)
+    assert search.batch_search_blocks(spark, at, asked.limit(0), 3).count() == 0
+    none = search.store_blocks(p.limit(0), str(tmp_path / "none"))
+    assert search.batch_search_blocks(spark, none, asked, 3).count() == 0
+
+
 def test_search_plan(spark):
     p = points(spark)
     plan = search.semantic_search(p, [1.0] * 8, 5, metadata_type="columns")._jdf.queryExecution().executedPlan().toString()
