@@ -40,17 +40,39 @@ def with_totals(left: DataFrame, totals: DataFrame, on: str, rows: int | None =
     return here.unionByName(rest)
 
 
+def split_join(left: DataFrame, right: DataFrame, on: str, block: int = 2000) -> DataFrame:
+    """The inner join of two tables that may both have many rows of a key.
+
+    Rows are counted by key on either side. A hot key (see HOT_ROWS) is dealt into blocks of about `block` rows on both, each row
+    of a block goes to all blocks of the other side, and so a key's result is made by as many tasks as it has pairs of blocks. Other keys
+    are joined as they are. Null keys meet none.
+    """
+    counts = [settled(df.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias(n))) for df, n in ((left, "__l"), (right, "__r"))]
+    least = [max(HOT_ROWS, (c.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE) for c, n in zip(counts, ("__l", "__r"), strict=True)]
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    hot = settled(counts[0].join(counts[1], on).filter((F.col("__l") >= least[0]) | (F.col("__r") >= least[1])).select(on, blocks("__l").alias("__a"), blocks("__r").alias("__b")))
+    one = F.lit(1)
+
+    def dealt(df: DataFrame, mine: str, other: str, i: str, j: str) -> DataFrame:
+        out = df.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(hot), on, "left")  # at most 2 * HOT_SHARE keys
+        out = out.withColumn(i, F.pmod(F.col("__row"), F.coalesce(mine, one)).cast("int"))
+        return out.withColumn(j, F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))).drop("__row", "__a", "__b")
+
+    return dealt(left, "__a", "__b", "__i", "__j").join(dealt(right, "__b", "__a", "__j", "__i"), [on, "__i", "__j"]).drop("__i", "__j")
+
+
 def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """df with running sums (this row included) in the given order, which must be without ties.
 
     Two passes: rows are dealt out by range and summed within their partition, and the partitions' totals, one row
-    each, give what stands before. Whatever the number of rows, no task holds more than its range.
+    each, give what stands before. A task holds some 10,000 rows, or a million where there are more than 10^8 of them.
     """
-    parts = max(1, min(200, df.count() // 10_000))
+    n = df.count()
+    parts = max(1, min(10_000, n // 10_000), n // 1_000_000)
     df = settled(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     totals = df.groupBy("__part").agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("__part", *[F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__{k}") for k in sums])
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()}).join(F.broadcast(bases), "__part")  # at most 200 rows
+    df = df.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()}).join(F.broadcast(bases), "__part")  # a row for each task
     return df.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *[f"__{k}" for k in sums])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.render import dependencies
 from ..sources.schemas import COLUMN
-from .joins import settled, small_or_not, with_totals
+from .joins import settled, small_or_not, split_join, with_totals
 
 
 def explode_columns(details: DataFrame) -> DataFrame:
@@ -31,24 +31,33 @@ def tables_of_bucket(tables: DataFrame, bucket: Column, bucket_id: str) -> DataF
 
 
 def resolve_linked_tables(details: DataFrame) -> DataFrame:
-    """Linked tables (with source_id) get their source's description, by one hop, and columns_of, the id of the table
-    whose columns they show: an accessible source, else themselves. details(id, name, description, source_id, source_name)."""
-    source = details.select(F.col("id").alias("__id"), F.struct("id", "name", "description").alias("__found"))
-    linked, found = F.col("source_id").isNotNull(), F.col("__found").isNotNull()
+    """Linked tables (with source_id) get their source's details, by one hop, and columns_of, the id of the table whose columns
+    they show: an accessible source, else themselves.
+
+    details(id, name, description, source_id, source_name and, if known, bucket_id, source_project, source_bucket). What is known of a source
+    that can't be read, its project and bucket too, stands in a stub. A source of most links is no task's work alone.
+    """
     text = F.lit(None).cast("string")
-    stub = F.struct(F.col("source_id").alias("id"), text.alias("description"), F.col("source_name").alias("displayName"), F.lit(False).alias("isAccessible"))
-    full = F.struct(F.col("__found.id").alias("id"), F.col("__found.description").alias("description"), F.col("__found.name").alias("displayName"), F.lit(True).alias("isAccessible"))
-    out = details.join(source, details["source_id"] == source["__id"], "left")
-    out = out.withColumns({"isLinked": linked, "sourceTableDetails": F.when(linked & found, full).when(linked, stub), "columns_of": F.when(linked & found, F.col("source_id")).otherwise(F.col("id"))})
-    return out.drop("__id", "__found")
+    known = lambda c: F.col(c) if c in details.columns else text
+    of = lambda c: F.struct(c.alias("id"))
+    source = details.select(F.col("id").alias("source_id"), F.struct("id", "name", "description", known("bucket_id").alias("bucket_id")).alias("__found"))
+    linked = details.filter(F.col("source_id").isNotNull())
+    totals = settled(linked.groupBy("source_id").agg(F.count("*").alias("n")).join(source, "source_id", "left"))
+    found = F.col("__found").isNotNull()
+    stub = F.struct(F.col("source_id").alias("id"), text.alias("description"), F.col("source_name").alias("displayName"), of(known("source_project")).alias("project"), of(known("source_bucket")).alias("bucket"), F.lit(False).alias("isAccessible"))
+    full = F.struct(F.col("__found.id").alias("id"), F.col("__found.description").alias("description"), F.col("__found.name").alias("displayName"), of(known("source_project")).alias("project"), of(F.col("__found.bucket_id")).alias("bucket"), F.lit(True).alias("isAccessible"))
+    out = with_totals(linked, totals, "source_id")
+    out = out.withColumns({"isLinked": F.lit(True), "sourceTableDetails": F.when(found, full).otherwise(stub), "columns_of": F.when(found, F.col("source_id")).otherwise(F.col("id"))})
+    own = details.filter(F.col("source_id").isNull()).withColumns({"isLinked": F.lit(False), "sourceTableDetails": F.lit(None).cast(out.schema["sourceTableDetails"].dataType), "columns_of": F.col("id")})
+    return out.drop("__found").unionByName(own).select(*details.columns, "isLinked", "sourceTableDetails", "columns_of")
 
 
 def linked_columns(resolved: DataFrame, columns: DataFrame) -> DataFrame:
     """columns(table_id, ...) of every table of resolve_linked_tables(), a linked table's taken from its source; table_id is
-    the table that shows them."""
-    shown = resolved.select(F.col("id").alias("__shown"), "columns_of")
+    the table that shows them. A table with most of the columns, most of the links, or both, is dealt into many tasks."""
+    shown = resolved.select(F.col("id").alias("__shown"), F.col("columns_of").alias("table_id"))
     fields = [c for c in columns.columns if c != "table_id"]
-    return columns.join(shown, columns["table_id"] == shown["columns_of"]).select(F.col("__shown").alias("table_id"), *fields)
+    return split_join(columns, shown, "table_id").select(F.col("__shown").alias("table_id"), *fields)
 
 
 def enrich_configurations(components: DataFrame, configs: DataFrame, rows: DataFrame | None = None, versions: DataFrame | None = None, component_id: str | None = None) -> DataFrame:
@@ -94,6 +103,15 @@ def explode_blocks(transformations: DataFrame) -> DataFrame:
     return whole.unionByName(parts)
 
 
+def numbered_blocks(transformations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The same from blocks in long form: transformations(id), blocks(transformation_id, position from 1 on, and a block's fields). No list is
+    made, and nothing is shuffled."""
+    fields = [c for c in blocks.columns if c not in ("transformation_id", "position")]
+    parts = blocks.select("transformation_id", "position", F.struct(*fields).alias("block"))
+    whole = transformations.select(F.col("id").alias("transformation_id"), F.lit(0).alias("position"), F.lit(None).cast(parts.schema["block"].dataType).alias("block"))
+    return whole.unionByName(parts)
+
+
 def transformation_dependencies(transformations: DataFrame) -> DataFrame:
     """Edges (transformation_id, direction, table_id)."""
     requires, produces = dependencies(F.struct(*transformations.columns))

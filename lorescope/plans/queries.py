@@ -156,15 +156,21 @@ def o11(spark, sf_dir):
 @query(
     "o12_resolve_linked_tables",
     """
-with resolved as (select a.name as id, a.source_name is not null as is_linked, case when a.source_name is not null then b.name is not null end as accessible, coalesce(b.name, a.name) as columns_of
+with resolved as (select a.name as id, a.source_name is not null as is_linked, case when a.source_name is not null then b.name is not null end as accessible, coalesce(b.name, a.name) as columns_of,
+    case when a.source_name is not null then coalesce(b.bucket_id, 'away') end as source_bucket, case when a.source_name is not null then 'project ' || a.c_custkey % 3 end as source_project
   from tables a left join tables b on a.source_name = b.name)
-select id, is_linked, accessible, c.name as column_name from resolved left join columns c on c.table_name = columns_of""",
+select id, is_linked, accessible, source_bucket, source_project, c.name as column_name from resolved left join columns c on c.table_name = columns_of""",
 )
 def o12(spark, sf_dir):
-    details = view(spark, sf_dir, "tables").select(F.col("name").alias("id"), "name", F.lit(None).cast("string").alias("description"), F.col("source_name").alias("source_id"), "source_name")
+    t, linked = view(spark, sf_dir, "tables"), F.col("source_name").isNotNull()
+    details = t.select(
+        F.col("name").alias("id"), "name", F.lit(None).cast("string").alias("description"), "bucket_id", F.col("source_name").alias("source_id"), "source_name",
+        F.when(linked, F.lit("away")).alias("source_bucket"), F.when(linked, F.concat(F.lit("project "), (F.col("c_custkey") % 3).cast("string"))).alias("source_project"),
+    )
     tables = shape.resolve_linked_tables(details)
     columns = shape.linked_columns(tables, view(spark, sf_dir, "columns").select(F.col("table_name").alias("table_id"), F.col("name").alias("column_name")))
-    out = tables.select("id", F.col("isLinked").alias("is_linked"), F.col("sourceTableDetails.isAccessible").alias("accessible"))
+    source = F.col("sourceTableDetails")
+    out = tables.select("id", F.col("isLinked").alias("is_linked"), source["isAccessible"].alias("accessible"), source["bucket"]["id"].alias("source_bucket"), source["project"]["id"].alias("source_project"))
     return out.join(columns.withColumnRenamed("table_id", "id"), "id", "left")
 
 
@@ -220,6 +226,14 @@ def _transformations(spark, sf_dir) -> DataFrame:
     return t.select(F.col("id").cast("string").alias("id"), F.concat(F.lit("order "), F.col("id").cast("string")).alias("name"), "type", "description", blocks.alias("blocks"), declared.alias("dependencies"), F.lit(None).cast("struct<type: string, memory: string>").alias("runtime"), F.when(F.col("id") % 3 == 0, F.lit("4g")).otherwise(none).alias("memory"))
 
 
+def _numbered_blocks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The same transformations, and their blocks one to a row, with their numbers."""
+    file = "array<struct<file: string, source: string, destination: string>>"
+    b = view(spark, sf_dir, "blocks")
+    block = [F.concat(F.lit("block "), F.col("block_no").cast("string")).alias("name"), F.lit(None).cast("string").alias("code"), F.array(shape.normal_file(F.col("input_source"))).cast(file).alias("inputs"), F.array(shape.normal_file(F.col("output_destination"))).cast(file).alias("outputs")]
+    return view(spark, sf_dir, "transformations").select(F.col("id").cast("string").alias("id")), b.select(F.col("transformation_id").cast("string").alias("transformation_id"), F.col("block_no").cast("int").alias("position"), *block)
+
+
 @query(
     "o15_explode_blocks",
     """
@@ -227,10 +241,22 @@ select cast(id as varchar) as transformation_id, cast(0 as int) as position, cas
 union all select cast(transformation_id as varchar), cast(block_no as int), split_part(input_source, '.', 2), input_source from blocks""",
 )
 def o15(spark, sf_dir):
-    out = shape.explode_blocks(_transformations(spark, sf_dir))
+    t, blocks = _numbered_blocks(spark, sf_dir)
+    out = shape.numbered_blocks(t, blocks)
     return out.select("transformation_id", "position", F.get("block.inputs", F.lit(0))["file"].alias("file"), F.get("block.inputs", F.lit(0))["source"].alias("source"))
 
 
+@query(
+    "o15_explode_lists_of_blocks",
+    """
+select cast(id as varchar) as transformation_id, cast(0 as int) as position, cast(null as varchar) as source from transformations
+union all select cast(transformation_id as varchar), cast(block_no as int), input_source from blocks""",
+)
+def o15b(spark, sf_dir):
+    out = shape.explode_blocks(_transformations(spark, sf_dir))
+    return out.select("transformation_id", "position", F.get("block.inputs", F.lit(0))["source"].alias("source"))
+
+
 _EDGES = """
 with edges as (
   select distinct cast(transformation_id as varchar) as transformation_id, 'requires' as direction, input_source as table_id from blocks where transformation_id % 7 <> 0
@@ -253,9 +279,9 @@ def o16(spark, sf_dir):
     return shape.block_dependencies(*_blocks(spark, sf_dir))
 
 
-@query("o16_dependencies_of_lists", _EDGES + "select * from edges where transformation_id in (select cast(id as varchar) from transformations where id % 10 = 0)")
+@query("o16_dependencies_of_lists", _EDGES + "select * from edges")
 def o16b(spark, sf_dir):
-    return shape.transformation_dependencies(_transformations(spark, sf_dir).filter("id % 10 = 0"))
+    return shape.transformation_dependencies(_transformations(spark, sf_dir))
 
 
 @query("o17_items_union", "select 'buckets' as metadata_type, id, name from buckets union all select 'tables', id, name from tables union all select 'columns', cast(column_key as varchar), name from columns")
@@ -341,7 +367,7 @@ def o23(spark, sf_dir):
 
 @query("o24_render_block", "select cast(transformation_id as varchar) as transformation_id, cast(block_no as int) as position, 'Block: block ' || block_no || ' | Inputs: ' || split_part(input_source, '.', 2) || ' from ' || input_source || ' | Outputs: ' || split_part(output_destination, '.', 2) || ' to ' || output_destination as text from blocks")
 def o24(spark, sf_dir):
-    blocks = shape.explode_blocks(_transformations(spark, sf_dir)).filter("position > 0")
+    blocks = shape.numbered_blocks(*_numbered_blocks(spark, sf_dir)).filter("position > 0")
     return blocks.select("transformation_id", "position", render.render_block(F.col("block")).alias("text"))
 
 
@@ -621,6 +647,15 @@ def o39(spark, sf_dir):
     return view(spark, sf_dir, "points").filter(search.metadata_filter(metadata_type="columns", table_id="2")).select("id")
 
 
+@query("o39_component_filter", "select c_custkey as id, o_orderkey from customer join orders on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
+def o39c(spark, sf_dir):
+    """Rows of configurations whose component is of one type."""
+    components, configs, rows, _ = _configurations(spark, sf_dir)
+    enriched = shape.enrich_configurations(components.withColumn("type", F.col("id")), configs).withColumn("component_type", F.col("component.type"))
+    found = enriched.filter(search.metadata_filter(component_type="BUILDING"))
+    return shape.configuration_children(found, rows).select(F.col("config_id").alias("id"), "o_orderkey")
+
+
 @query("o39_stage_filter", "select id from tables where split_part(bucket_id, '.', 1) = 'in'")
 def o39b(spark, sf_dir):
     t = view(spark, sf_dir, "tables").withColumn("stage", search.stage_of(F.lit(None).cast("string"), F.col("bucket_stage"), F.col("id")))

@@ -304,6 +304,41 @@ def test_linked_tables_one_hop(spark):
     assert rows(shape.linked_columns(resolved, columns)) == [("a", "y"), ("b", "y")]
 
 
+def test_stub_of_a_source_that_cannot_be_read(spark):
+    d = spark.createDataFrame([("a", "A", None, "b", "B", "p1", "k1", "x"), ("c", "C", None, "gone", "G", "p2", "k2", "x"), ("b", "B", "of b", None, None, None, None, "y")], "id string, name string, description string, source_id string, source_name string, source_project string, source_bucket string, bucket_id string")
+    out = {r["id"]: r["sourceTableDetails"] for r in shape.resolve_linked_tables(d).collect()}
+    assert out["c"].asDict(True) == {"id": "gone", "description": None, "displayName": "G", "project": {"id": "p2"}, "bucket": {"id": "k2"}, "isAccessible": False}
+    assert out["a"].asDict(True) == {"id": "b", "description": "of b", "displayName": "B", "project": {"id": "p1"}, "bucket": {"id": "y"}, "isAccessible": True} and out["b"] is None
+
+
+def test_hot_keys_on_both_sides(spark):
+    """A third of columns and a third of links have one key: no task has most of the result, and none is lost."""
+    columns = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 500).cast("string"))).alias("table_id"), F.col("id").alias("column"))
+    links = spark.range(1500).select(F.concat(F.lit("l"), "id").alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 700).cast("string"))).alias("columns_of"))
+    out = joins.split_join(columns, links.withColumnRenamed("columns_of", "table_id"), "table_id", block=100)
+    want = columns.join(links, F.col("table_id") == F.col("columns_of")).select("id", "column")
+    assert out.count() == want.count() > 500_000 and out.select("id", "column").exceptAll(want).count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        sizes = [r["count"] for r in joins.split_join(columns, links.withColumnRenamed("columns_of", "table_id"), "table_id", block=100).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) > 12 and max(sizes) < 0.25 * sum(sizes)
+    assert shape.linked_columns(links, columns).count() == out.count()
+    few = spark.createDataFrame([(None, 1), ("x", 2)], "table_id string, column long")
+    assert rows(joins.split_join(few, few.withColumnRenamed("column", "other"), "table_id")) == [("x", 2, 2)]
+
+
+def test_blocks_in_long_form_make_no_lists(spark, data):
+    from lorescope.plans import queries
+
+    for name in ("o15_explode_blocks", "o24_render_block"):
+        plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "sort_array" not in plan
+
+
 def test_dependencies_of_blocks(spark):
     file = "array<struct<file: string, source: string, destination: string>>"
     t = spark.createDataFrame([("1", None), ("2", (["r"], None)), ("3", (None, None))], "id string, dependencies struct<requires: array<string>, produces: array<string>>")
