@@ -4,7 +4,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from ..sources import manifest, points
+from .joins import settled, with_totals
 
 Provider = Callable[[list[str]], list[list[float]]]
 
@@ -49,3 +52,30 @@ def embed(df: DataFrame, text: str, make: Callable[[], Provider], batch_size: in
     from pyspark.sql import types as T
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+
+
+def embed_stored(df: DataFrame, text: str, make: Callable[[], Provider], base: str, dim: int, model: str = "default", batch_size: int = 10, retries: int = 3, delay: float = 1.0) -> DataFrame:
+    """df with `vector`, from a store at `base` that is keyed by model and text; null texts count as empty.
+
+    Only texts that the store has not are sent to the provider, each once, however often it stands in df, and then
+    kept: a collection of points whose ids are hashes. What is known is found out by hashes alone; vectors meet their rows by a
+    join that no common text brings into one task. ValueError if the provider gives vectors of another dimension.
+    """
+    spark = df.sparkSession
+    words = F.coalesce(F.col(text), F.lit(""))
+    keyed = df.withColumn("__key", F.sha2(F.concat(F.lit(model), F.lit("\0"), words), 256))
+    counts = settled(keyed.groupBy(F.col("__key").alias("id")).agg(F.count("*").alias("n")))
+    known = None if points.is_empty(spark, base) else points.load_points(spark, base).select("id")
+    new = counts.select("id") if known is None else counts.select("id").join(known, "id", "left_anti")
+    new = settled(new.withColumn("n", F.lit(1)))
+    if new.take(1):
+        # the first row of each new text, so that a common one goes on from its tasks as one row
+        texts = keyed.select(F.col("__key").alias("id"), words.alias("text")).join(new.select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+        vectors = embed(texts, "text", make, batch_size, retries, delay).withColumn("metadata_type", F.lit(model)).select("id", "metadata_type", "vector")
+        _, bad = points.upsert_points(base, vectors, ["id"], dim)
+        if wrong := bad.take(1):
+            raise ValueError(wrong[0]["reason"])
+    if manifest.newest(spark, base) is None:  # no rows, and nothing stored
+        return df.limit(0).withColumn("vector", F.array().cast("array<float>"))
+    held = points.load_points(spark, base).select(F.col("id").alias("__key"), "vector").join(counts.withColumnRenamed("id", "__key"), "__key")
+    return with_totals(keyed, held, "__key").select(*df.columns, "vector")

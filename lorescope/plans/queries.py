@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity, render, vectors
-from ..operators import cells, changes, embed, profile, search, shape
+from ..operators import cells, changes, embed, profile, search, shape, sketches
 from ..sources import manifest, points, snapshots
 from .bindings import sql, view
 
@@ -564,6 +564,15 @@ def o34(spark, sf_dir):
     return out.select("doc_id", F.col("vector")[0].cast("double").alias("a"), F.col("vector")[1].cast("double").alias("b"))
 
 
+@query("o34_embed_stored", "select doc_id, length(text)::double as a, (length(text) - length(replace(text, ' ', '')))::double as b from documents")
+def o34b(spark, sf_dir):
+    """The same through a store of vectors, which has those of a half already."""
+    base, docs = snapshots.new_path(spark, "vectors"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    embed.embed_stored(docs.filter("doc_id % 2 = 0"), "text", _length_provider, base, 3, batch_size=64)
+    out = embed.embed_stored(docs, "text", _length_provider, base, 3, batch_size=64)
+    return out.select("doc_id", F.col("vector")[0].cast("double").alias("a"), F.col("vector")[1].cast("double").alias("b"))
+
+
 def _flaky_provider():
     """The same, but the first call in each task fails."""
     calls, inner = [], _length_provider()
@@ -807,6 +816,28 @@ def o50(spark, sf_dir):
     return out.select("column_name", "min", "max", F.col("avg").cast("double").alias("avg"), "unique_count", F.array_join("most_common", ",").alias("most_common"))
 
 
+_PROFILED = ("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+
+
+@query(
+    "o50_merged_profiles",
+    " union all ".join(f"select '{c}' as column_name, count(*) as rows, cast(min({c}) as double) as low, cast(max({c}) as double) as high, round(avg({c}), 6) as mean, true as distinct_near, true as median_near from lineitem" for c in _PROFILED[:3])
+    + " union all select 'l_returnflag', count(*), null, null, null, true, true from lineitem",
+)
+def o50b(spark, sf_dir):
+    """Three snapshots' profiles kept and merged; the numbers of different values and the medians are near those of the rows."""
+    li, base = table(spark, sf_dir, "lineitem").select(*_PROFILED), snapshots.new_path(spark, "profiles")
+    for k in range(3):
+        sketches.save(sketches.sketched(li.filter(F.col("l_orderkey") % 3 == k)), base, f"run {k}")
+    out = sketches.estimated(sketches.merged(sketches.load(spark, base)), (0.48, 0.52))
+    exact = li.agg(*[F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("distinct"), (F.percentile_approx(c, 0.5, F.lit(1_000_000)) if c != "l_returnflag" else F.lit(None)).cast("double").alias("median")).alias(c) for c in _PROFILED])
+    exact = exact.select(F.explode(F.array(*_PROFILED)).alias("e")).select("e.*")
+    near = (F.abs(F.col("unique_count") / F.col("distinct") - 1) < 0.08).alias("distinct_near")
+    median = F.coalesce(F.col("median").between(F.col("quantiles")[0], F.col("quantiles")[1]), F.col("median").isNull()).alias("median_near")
+    number = lambda c: F.col(c).try_cast("double")
+    return out.join(exact, "column_name").select("column_name", "rows", number("min").alias("low"), number("max").alias("high"), F.round("avg", 6).alias("mean"), near, median)
+
+
 @query("o51_completeness", "select round(count(email) * 1.0 / count(*), 9)::double as email, round(count(acctbal) * 1.0 / count(*), 9)::double as acctbal from emails")
 def o51(spark, sf_dir):
     e = view(spark, sf_dir, "emails")

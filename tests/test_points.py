@@ -171,3 +171,39 @@ def test_columns_may_come_later(spark, tmp_path):
     points.upsert_points(base, make(spark, [("a", "t", "x", 1)]), ["seq"], 2)
     points.upsert_points(base, make(spark, [("b", "t", "y", 1)]).withColumn("stage", F.lit("in")).drop("text"), ["seq"], 2)
     assert sorted((r["id"], r["text"], r["stage"]) for r in points.load_points(spark, base).collect()) == [("a", "x", None), ("b", None, "in")]
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    """Only unseen texts reach the provider, each once; vectors are the provider's."""
+    from lorescope.operators import embed
+
+    base, calls = str(tmp_path / "vectors"), tmp_path / "calls"
+    calls.mkdir()
+
+    def make(model):
+        def provider(texts):
+            import uuid
+
+            (calls / uuid.uuid4().hex).write_text("\n".join(f"{model}:{t}" for t in texts))
+            return [[float(len(t)), float(len(model))] for t in texts]
+
+        return lambda: provider
+
+    def sent():
+        out = sorted(line for f in calls.iterdir() for line in f.read_text().split("\n"))
+        for f in calls.iterdir():
+            f.unlink()
+        return out
+
+    assert embed.embed_stored(spark.createDataFrame([], "k long, t string"), "t", make("m"), base, 2).count() == 0
+    texts = ["aa"] * 700 + ["b", "ccc", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(4)
+    check = lambda out, model: sorted((r["k"], r["vector"]) for r in out.collect()) == [(k, [float(len(t or "")), float(len(model))]) for k, t in enumerate(texts)]
+    assert check(embed.embed_stored(df, "t", make("m"), base, 2, "m"), "m") and sent() == ["m:", "m:aa", "m:b", "m:ccc"]
+    more = df.union(spark.createDataFrame([(999, "new"), (1000, "b")], "k long, t string"))
+    out = embed.embed_stored(more, "t", make("m"), base, 2, "m")
+    assert out.count() == len(texts) + 2 and out.columns == ["k", "t", "vector"] and sent() == ["m:new"]
+    assert check(embed.embed_stored(df, "t", make("other"), base, 2, "other"), "other") and len(sent()) == 4
+    assert check(embed.embed_stored(df, "t", make("m"), base, 2, "m"), "m") and sent() == []
+    with pytest.raises(ValueError, match="dimension"):
+        embed.embed_stored(df, "t", make("x"), str(tmp_path / "v3"), 3, "x")
