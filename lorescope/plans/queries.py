@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity, render, vectors
-from ..operators import cells, changes, embed, profile, search, shape, sketches
+from ..operators import cells, changes, embed, indexing, profile, search, shape, sketches
 from ..sources import manifest, points, snapshots
 from .bindings import sql, view
 
@@ -610,6 +610,27 @@ def o37(spark, sf_dir):
     return out.select("doc_id", F.posexplode("vector").alias("slot", "x")).filter("x > 0").select("doc_id", "slot", F.round("x", 6).alias("x"))
 
 
+@query(
+    "o27_index_snapshot",
+    """
+select 'buckets' as metadata_type, name, null as table_id, 'Name: ' || name as text, split_part(id, '.', 1) as stage from buckets where not is_deleted
+union all select 'columns', name, table_name, 'Name: ' || name || ' | Type: ' || max(type), split_part(table_name, '.', 1) from columns group by name, table_name
+union all select 'transformations', 'order ' || id, null, 'Name: order ' || id || ' | Type: ' || type || ' | Description: ' || description || ' | Dependencies:  | Runtime: ', cast(id as varchar) from transformations""",
+)
+def o27b(spark, sf_dir):
+    """One call from a snapshot of three types, one of them from details, to points, and back."""
+    none = F.lit(None).cast("string")
+    buckets = view(spark, sf_dir, "buckets").select("id", "name", F.col("is_deleted").alias("isDeleted"))
+    c = view(spark, sf_dir, "columns")
+    # a detail for each column, so that no table's columns are gathered
+    details = c.select(F.col("table_name").alias("id"), none.alias("bucket_id"), F.array(F.to_json(F.struct("name", "type"))).alias("columns"))
+    t = view(spark, sf_dir, "transformations").select(F.col("id").cast("string").alias("id"), F.concat(F.lit("order "), F.col("id").cast("string")).alias("name"), "type", "description", F.lit(None).cast("struct<requires: array<string>, produces: array<string>>").alias("dependencies"), F.lit(None).cast("struct<type: string, memory: string>").alias("runtime"), none.alias("memory"))
+    t = t.withColumn("blocks", F.array().cast("array<struct<name: string, code: string, inputs: array<struct<file: string, source: string, destination: string>>, outputs: array<struct<file: string, source: string, destination: string>>>>"))
+    base = snapshots.new_path(spark, "index")
+    indexing.index(base, {"buckets": buckets, "table_details": details, "transformations": t}, lambda df: vectors.hash_embed(df, "text"), 64)
+    return points.load_points(spark, base).select("metadata_type", "name", "table_id", "text", "stage")
+
+
 # ---- search
 
 #: The text asked for.

@@ -207,3 +207,28 @@ def test_texts_are_embedded_once(spark, tmp_path):
     assert check(embed.embed_stored(df, "t", make("m"), base, 2, "m"), "m") and sent() == []
     with pytest.raises(ValueError, match="dimension"):
         embed.embed_stored(df, "t", make("x"), str(tmp_path / "v3"), 3, "x")
+
+
+def test_a_snapshot_is_indexed_in_one_call(spark, tmp_path):
+    """Deleted items stay out, details give columns, transformations give blocks; a second call replaces, under the same ids."""
+    from lorescope.functions import vectors
+    from lorescope.operators import indexing, search
+
+    base = str(tmp_path / "index")
+    file = "array<struct<file: string, source: string, destination: string>>"
+    buckets = spark.createDataFrame([("in.b", "B", None), ("in.gone", "G", True), (None, "nameless id", False)], "id string, name string, isDeleted boolean")
+    details = spark.createDataFrame([("in.b.t", "in.b", ["plain", '{"name": "x", "type": "INT"}'])], "id string, bucket_id string, columns array<string>")
+    t = spark.createDataFrame([("7", "T", "sql", "d", None, None, None, [("load", "select 1", None, None)])], f"id string, name string, type string, description string, dependencies struct<requires: array<string>, produces: array<string>>, runtime struct<type: string, memory: string>, memory string, blocks array<struct<name: string, code: string, inputs: {file}, outputs: {file}>>")
+    embed = lambda df: vectors.hash_embed(df, "text", 8)
+    give = lambda b: {"buckets": b, "table_details": details, "transformations": t}
+    version, bad = indexing.index(base, give(buckets), embed, 8)
+    held = {(r["metadata_type"], r["name"]): r for r in points.load_points(spark, base).collect()}
+    assert version == 1 and bad.count() == 0
+    assert set(held) == {("buckets", "B"), ("buckets", "nameless id"), ("columns", "plain"), ("columns", "x"), ("transformations", "T"), ("transformation_blocks", "load")}
+    assert held["columns", "x"]["table_id"] == "in.b.t" and held["columns", "x"]["stage"] == "in" and held["transformation_blocks", "load"]["text"].startswith("Block: load")
+    again = buckets.withColumn("name", F.concat("name", F.lit("!")))
+    indexing.index(base, give(again.filter("id is not null")), embed, 8)
+    after = {r["id"]: r["name"] for r in points.load_points(spark, base).collect()}
+    assert after[held["buckets", "B"]["id"]] == "B!" and len(after) == 6
+    found = search.semantic_search(points.load_points(spark, base), [1.0] * 8, 3, metadata_type="columns")
+    assert {r["name"] for r in found.collect()} == {"plain", "x"}
