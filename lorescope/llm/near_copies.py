@@ -33,6 +33,8 @@ from .common import settled, shared_dir, small_or_not, with_totals
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 BLOCK = 128
+#: A set counts once more in its block for each so many shingles; values that are counted at once.
+LONG_SET, AT_ONCE = 20_000, 2_000_000
 _SEEDS = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * ROWS), "u8")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 4096
@@ -107,16 +109,14 @@ def sketched(docs: DataFrame, slice_rows: int = 256) -> DataFrame:
 def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column, and the row of each."""
     sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False)
-    return pc.list_flatten(sets).to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    return pc.list_flatten(sets).to_numpy(), np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
 
 
-def similar(own: pa.Array, asking: pa.Array) -> np.ndarray:
-    """Which sets of `own` have a similarity of 0.8 or more with which of `asking`."""
-    (a, a_rows), (b, b_rows) = _flat(own), _flat(asking)
-    both = np.intersect1d(a, b)
-    same = np.zeros((len(own), len(asking)), "f4")
+def _shared(sides: list[tuple[np.ndarray, np.ndarray]], same: np.ndarray) -> None:
+    """Add to same[i, j] the number of values that row i of one side and row j of the other have in common."""
+    both = np.intersect1d(sides[0][0], sides[1][0])
     found = []
-    for values, rows in ((a, a_rows), (b, b_rows)):
+    for values, rows in sides:
         at = np.searchsorted(both, values)
         hit = at < len(both)
         hit[hit] = both[at[hit]] == values[hit]
@@ -130,14 +130,25 @@ def similar(own: pa.Array, asking: pa.Array) -> np.ndarray:
             m[rows[x:y], at[x:y] - low] = 1
             parts.append(m)
         same += parts[0] @ parts[1].T
+
+
+def similar(own: pa.Array, asking: pa.Array, at_once: int = AT_ONCE) -> np.ndarray:
+    """Which sets of `own` have a similarity of 0.8 or more with which of `asking`. Values are counted range by range, about `at_once`
+    in each, so that beside the sets themselves memory does not grow with their sizes."""
+    sides = [_flat(own), _flat(asking)]
+    same = np.zeros((len(own), len(asking)), "f4")
+    edges = np.linspace(-(2**31), 2**31, max(1, -(-sum(len(v) for v, _ in sides) // at_once)) + 1).astype("i8")
+    for low, high in zip(edges, edges[1:], strict=False):
+        _shared([(v[inside], r[inside]) for v, r in sides for inside in [(v >= low) & (v < high)]] if len(edges) > 2 else sides, same)
     sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (own, asking)]
     return 9 * same >= 4 * (sizes[0][:, None] + sizes[1][None, :])
 
 
-def tested(keys: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+def tested(keys: DataFrame, sets: DataFrame, block: int = BLOCK, long: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of forests of the links between nodes of one key: role 0 with role 1, if their `top` differs.
 
-    keys: fp, start, key, role, top; sets: fp, shingles.
+    keys: fp, start, key, role, top; sets: fp, shingles. long(fp, weight) names the long sets, if there are any: they weigh more in their blocks, so
+    that a unit is bounded by its shingles.
     """
     unit = ["start", "key", "i", "j"]
 
@@ -179,6 +190,8 @@ def tested(keys: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
                 yield out()
         yield out()
 
+    if long is not None:
+        keys = keys.join(small_or_not(long), "fp", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     rows = simhash.dealt(keys, block).join(sets, "fp").select(*unit, "role", "fp", "top", "shingles")
     return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(solve, "a long, b long").distinct()
 
@@ -219,20 +232,22 @@ def components(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
     pairs = settled(by_print(nodes))
     wanted = met.select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct().join(nodes.select("fp", "rid"), "fp").select("rid")
     sets = settled(sketches.select("rid", "fp", "shingles").join(small_or_not(settled(wanted)), "rid", "left_semi").drop("rid"))
-    tops = simhash.components(tested(_asked(pairs), sets))
+    long = settled(sketches.filter(F.col("n") >= LONG_SET).select("fp", (1 + F.floor(F.col("n") / LONG_SET)).cast("int").alias("weight")).distinct().coalesce(1))
+    long = long if long.take(1) else None
+    tops = simhash.components(tested(_asked(pairs), sets, long=long))
 
     hubs = with_top(met, tops).join(met.groupBy("fp").agg(F.sum("n").alias("met")), "fp")
     hubs = settled(hubs.groupBy("key").agg(F.max_by(F.struct(F.col("fp").alias("hub"), F.col("top").alias("hub_top")), F.struct("met", "fp")).alias("hub"), F.count_distinct("top").alias("tops"), F.count("*").alias("n")))
     around = with_totals(with_top(met.drop("n"), tops), hubs.filter("tops > 1"), "key")
     pairs = settled(around.filter("top <> hub.hub_top").select(F.col("hub.hub").alias("a"), F.col("fp").alias("b")).distinct())
-    tops = joined_by(tops, tested(_asked(pairs), sets))
+    tops = joined_by(tops, tested(_asked(pairs), sets, long=long))
 
     left = settled(with_top(met.drop("n"), tops))
     sizes = left.groupBy("key", "top").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("top", F.struct("k", "top")).alias("largest"), F.count("*").alias("tops"), F.sum("k").alias("n"))
     mixed = with_totals(left, settled(sizes.filter("tops > 1").drop("tops")), "key")
     own = mixed.select("fp", F.lit(0).alias("start"), "key", F.lit(0).alias("role"), "top")
     asking = mixed.filter("top <> largest").select("fp", F.lit(0).alias("start"), "key", F.lit(1).alias("role"), "top")
-    return joined_by(tops, tested(settled(own.union(asking)), sets))
+    return joined_by(tops, tested(settled(own.union(asking)), sets, long=long))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -105,9 +105,10 @@ def keyed(nodes: DataFrame, bits: int = BITS, long_keys: bool = False) -> DataFr
 def dealt(keys: DataFrame, block: int = BLOCK) -> DataFrame:
     """Deal each key's fingerprints into blocks; a row goes to each pair of blocks that has its own.
 
-    keys has fp, start, key, role and any other columns, which go along.
+    keys has fp, start, key, role and any other columns, which go along; with a `weight` a row counts as so many.
     """
-    sizes = keys.groupBy("start", "key").agg(F.sum(1 - F.col("role")).alias("own"), F.sum("role").alias("asking"))
+    weight = F.col("weight") if "weight" in keys.columns else F.lit(1)
+    sizes = keys.groupBy("start", "key").agg(F.sum((1 - F.col("role")) * weight).alias("own"), F.sum(F.col("role") * weight).alias("asking"))
     sizes = settled(sizes.filter((F.col("own") > block) | (F.col("asking") > block)))
     sizes = sizes.select("start", "key", F.ceil(F.col("own") / block).alias("a"), F.ceil(F.col("asking") / block).alias("b"))
     one = F.lit(1).cast("long")

@@ -1,6 +1,7 @@
 """Near copies in the pipeline's stage against a plain count of all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,44 @@ def test_sets_are_compared_in_blocks(spark, block):
     for i, t in top.items():
         want.setdefault(t, set()).add(i)
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and len(want) > 1
+
+
+def test_ranges_of_values_give_the_same_counts():
+    r = np.random.default_rng(4)
+    base = r.integers(-(2**31), 2**31, 3000)
+    sets = [np.unique(np.where(r.random(3000) < p, base, r.integers(-(2**31), 2**31, 3000))).astype("i4") for p in (1, 0.99, 0.93, 0.9, 0.5, 0)] + [np.array([], "i4"), np.array([-(2**31), 2**31 - 1], "i4")]
+    lists = pa.array([s.tolist() for s in sets], pa.list_(pa.int32()))
+    want = [[len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets]
+    for at_once in (100, 5000, 10**9):
+        assert near_copies.similar(lists, lists, at_once).tolist() == want
+
+
+def test_a_unit_of_long_sets_stays_small():
+    """128 x 128 sets of 100,000 shingles: beside the sets, a fixed number of values at a time."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    flat = r.integers(-(2**31), 2**31, 128 * 100_000).astype("i4")
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(129) * 100_000, "i4"), pa.array(flat))
+    tracemalloc.start()
+    near_copies.similar(lists, lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+
+
+def test_long_sets_are_dealt_into_more_blocks(spark):
+    """Sets that weigh as much as a block alone are in different units, and no link is lost."""
+    r = np.random.default_rng(9)
+    base = r.integers(-(2**31), 2**31, 400)
+    sets = [np.unique(np.where(r.random(400) < 0.97, base, r.integers(-(2**31), 2**31, 400))).tolist() for _ in range(12)]
+    frame = spark.createDataFrame([(i + 1, s) for i, s in enumerate(sets)], "fp long, shingles array<int>")
+    keys = spark.createDataFrame([(i + 1, 0, 5, role, i + 1) for i in range(12) for role in (0, 1)], "fp long, start int, key long, role int, top long")
+    heavy = spark.createDataFrame([(i + 1, 4) for i in range(12)], "fp long, weight int")
+    found = {}
+    for long in (None, heavy):
+        edges = [tuple(e) for e in near_copies.tested(keys, frame, 8, long).collect()]
+        found[long is None] = {frozenset(r) for r in [tuple(x) for x in near_copies.simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()]}
+    assert {min(x) for x in found[True]} == {min(x) for x in found[False]} == {1} and len(set().union(*found[True])) == 12 == len(set().union(*found[False]))
+    units = near_copies.simhash.dealt(keys.join(heavy, "fp"), 8).select("i", "j").distinct().count()
+    assert units > near_copies.simhash.dealt(keys, 8).select("i", "j").distinct().count()
