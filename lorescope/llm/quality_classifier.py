@@ -6,10 +6,12 @@ estimates each labeller's accuracy and the share of good documents. The posterio
 sample, on which logistic regression over hashed features of the text is trained, which then scores all.
 
 How many different words a text should have grows with its length n as n^0.65 (measured on plain documents of 20 to 20,000
-words, and near what is known of natural text), so one limit on different / n^0.65 holds at every length.
+words, and near what is known of natural text), so one limit on different / n^0.65 holds at every length that it is used on: the
+labeller of few different words gives no vote on texts under LEAST_WORDS (20) words, where the count says nothing, and the mark
+of missing words is not set there.
 
-Defined results. A null or blank text gets votes as any other and is scored. Repeated rows are scored alike. A very
-long text is voted on and described whole. An empty table gives no row; if the sample has posteriors on one side
+Defined results. A null or blank text gets votes as any other and is scored. Repeated rows are scored alike. Rows without an id, and rows of one
+id with other texts, train as any other. A very long text is voted on and described whole. An empty table gives no row; if the sample has posteriors on one side
 only, the posterior is the score. Only doc_id and text are read.
 """
 
@@ -137,8 +139,9 @@ def _features(df: DataFrame) -> DataFrame:
 def trained(docs: DataFrame, rows: int = TRAIN_ROWS):
     """The linear scorer, or None if no document of the sample is weakly labelled good, or none bad."""
     labels = F.broadcast(weak_labels(voted(docs)))  # at most 2^8 rows; counted over the whole corpus
-    sample = settled(sampled(docs.select("doc_id", "text"), rows, "doc_id", "text"))
-    votes = voted(sample).join(labels, "votes").select("doc_id", "posterior").groupBy("doc_id").agg(F.avg("posterior").alias("posterior"))
+    # each row of the sample by a number of its own
+    sample = settled(sampled(docs.select("doc_id", "text"), rows, "doc_id", "text").select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    votes = voted(sample).join(labels, "votes").select("doc_id", "posterior")
     points = settled(_features(described(sample)).join(votes, "doc_id").select("features", "posterior"))
     sides = points.agg(F.min("posterior"), F.max("posterior")).first()
     if sides[0] is None or sides[0] >= 0.5 or sides[1] < 0.5:

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import awkward, prose
 from lorescope.llm import quality_classifier as quality
@@ -63,3 +64,23 @@ def test_the_scorer_sees_repetition(spark):
     score = {r["doc_id"]: r["score"] for r in quality.scored(docs.union(spark.createDataFrame(odd, docs.schema))).filter("doc_id > 10000000").collect()}
     # a thousand documents hold few that repeat within a line only
     assert score[10_000_001] < 0.8 < 0.99 < score[10_000_003] and score[10_000_002] < 0.5
+
+
+def test_rows_without_an_id_train(spark):
+    """All ids null, or all equal: the same scorer as with ids."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    scores = {}
+    for name, key in (("ids", "doc_id"), ("none", None), ("one", 7)):
+        df = docs if key == "doc_id" else docs.withColumn("doc_id", F.lit(key).cast("long"))
+        assert quality.trained(df) is not None
+        scores[name] = sorted(r["score"] for r in quality.scored(df).collect())
+    assert len(scores["none"]) == docs.count()
+    for name in ("none", "one"):
+        assert max(abs(a - b) for a, b in zip(scores["ids"], scores[name])) < 0.02
+
+
+def test_short_texts_get_no_vote_on_different_words(spark):
+    few = "alpha beta gamma delta "
+    df = spark.createDataFrame([(1, few * 4 + "alpha beta gamma"), (2, few * 5)], "doc_id long, text string")
+    votes = {r["doc_id"]: r["votes"] for r in quality.voted(df).collect()}
+    assert (votes[1][3], votes[2][3]) == (-1, 0)
