@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import prefix_sums, settled, with_totals
 
-#: Formats whose share is measured.
+#: Fixed value: a format whose share is measured.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-PHONE = r"^\+[1-9]\d{1,14}$"
 
 
 @dataclass(frozen=True)

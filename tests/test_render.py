@@ -29,9 +29,9 @@ def test_column(spark, row, line):
 
 def test_table(spark):
     kind = T.StructType.fromDDL(ENTITIES["tables"])
-    assert one(spark, kind, dict(name="test", description="test desc"), "tables") == "Name: test | Description: test desc"
-    linked = dict(name="linked_test", description="linked desc", isLinked=True, sourceTable=dict(id="src_123", project=dict(id="proj_456")), sourceTableDetails=dict(description="source desc"))
-    assert one(spark, kind, linked, "tables") == "Name: linked_test | Description: linked desc | Type: Linked Table | Source Table: src_123 | Source Project: proj_456 | Source Description: source desc"
+    assert one(spark, kind, dict(name="scales", description="Weights of crates"), "tables") == "Name: scales | Description: Weights of crates"
+    linked = dict(name="harvest", description="Crates a day", isLinked=True, sourceTable=dict(id="orchard.picks", project=dict(id="farm-9")), sourceTableDetails=dict(description="Every crate weighed"))
+    assert one(spark, kind, linked, "tables") == "Name: harvest | Description: Crates a day | Type: Linked Table | Source Table: orchard.picks | Source Project: farm-9 | Source Description: Every crate weighed"
     away = dict(name="t", isLinked=True, sourceTable=dict(id="s"), sourceTableDetails=dict(isAccessible=False, displayName="S"), rowsCount=5, dataSizeBytes=7, bucket=dict(stage="in"), primaryKey=["a", "b"], created="2024")
     assert one(spark, kind, away, "tables") == "Name: t | Type: Linked Table | Source Table: s | Source Project: unknown | Source Table Status: Inaccessible | Source Display Name: S | Rows: 5 | Size: 7 bytes | Bucket: unknown | Primary Key: a, b | Created: 2024"
     assert one(spark, kind, dict(), "tables") == "{}"
@@ -45,8 +45,8 @@ def test_default(spark):
 
 def test_transformation(spark):
     kind = T.StructType.fromDDL(ENTITIES["transformations"])
-    declared = dict(name="T", dependencies=dict(requires=["in.c-main.customers"], produces=["out.c-processed.results"]), runtime=dict(type="docker", memory="4g"))
-    assert one(spark, kind, declared, "transformations") == "Name: T | Type: unknown | Description:  | Dependencies: Requires in.c-main.customers; Produces out.c-processed.results | Runtime: docker, 4g memory"
+    declared = dict(name="T", dependencies=dict(requires=["orchard.picks", "orchard.trees"], produces=["mill.juice"]), runtime=dict(type="shell", memory="512m"))
+    assert one(spark, kind, declared, "transformations") == "Name: T | Type: unknown | Description:  | Dependencies: Requires orchard.picks, orchard.trees; Produces mill.juice | Runtime: shell, 512m memory"
     derived = dict(blocks=[dict(inputs=[dict(source="b"), dict(source="a"), dict(source="")], outputs=[dict(destination="o"), dict(destination="o")])], memory="2g")
     assert one(spark, kind, derived, "transformations") == "Name: Unnamed | Type: unknown | Description:  | Dependencies: Requires a, b; Produces o | Runtime: docker, 2g memory"
     empty = dict(dependencies=dict(requires=[]))
@@ -55,8 +55,8 @@ def test_transformation(spark):
 
 def test_block(spark):
     kind = T.StructType.fromDDL(ENTITIES["transformations"])["blocks"].dataType.elementType
-    block = dict(name="Process Data", code="# Load and process customer data\nx = read_csv(f)\ny = x.groupby(k).aggregate(m)", inputs=[dict(file="customers.csv", source="in.c-main.customers"), dict(source="lost")], outputs=[dict(file="results.csv", destination="out.c-processed.results")])
-    assert one(spark, kind, block, "transformation_blocks") == "Block: Process Data | Inputs: customers.csv from in.c-main.customers | Outputs: results.csv to out.c-processed.results | Code: Load and process customer data Operations: read_csv, groupby, aggregate, aggregate"
+    block = dict(name="Press", code="# Weigh crates, sum by tree\nw = read_csv(f)\ns = w.groupby(t).aggregate(sum)", inputs=[dict(file="picks.csv", source="orchard.picks"), dict(source="lost")], outputs=[dict(file="juice.csv", destination="mill.juice")])
+    assert one(spark, kind, block, "transformation_blocks") == "Block: Press | Inputs: picks.csv from orchard.picks | Outputs: juice.csv to mill.juice | Code: Weigh crates, sum by tree Operations: read_csv, groupby, aggregate, aggregate"
     assert one(spark, kind, dict(), "transformation_blocks") == "Block: Unnamed Block"
 
 
