@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity, render, vectors
 from ..operators import cells, changes, embed, indexing, profile, search, shape, sketches
+from ..operators.joins import settled
 from ..sources import manifest, points, snapshots
 from .bindings import sql, view
 
@@ -541,7 +542,8 @@ def o32d(spark, sf_dir):
     levels, state = _levels(spark, sf_dir)
     found, after = changes.incremental_levels(levels, state)
     moved = lambda df: df.withColumn("content_hash", F.concat("content_hash", F.lit("+")))
-    again = [changes.Level(x.name, x.key, found[x.name], x.listing if x.name == "details" else moved(x.listing), x.fresh, x.parent, x.parent_key) for x in levels]
+    after = settled(after)  # a run's results are kept before the next one
+    again = [changes.Level(x.name, x.key, settled(found[x.name]), x.listing if x.name == "details" else moved(x.listing), x.fresh, x.parent, x.parent_key) for x in levels]
     return changes.incremental_levels(again, after)[0]["details"].select("detail_id", "content")
 
 
