@@ -159,7 +159,8 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, containmen
     known = _templates(docs.sparkSession, NOTICES | TEXTS if templates is None else templates)
     shingles = settled(known.select("license", "words", F.posexplode(shingled(F.col("h"))).alias("place", "shingle")))
     held = narrow_held(docs, known.filter(F.col("words") < LONG)).unionByName(wide_held(docs, known.filter(F.col("words") >= LONG)))
-    held = held.distinct().join(small_or_not(shingles), ["license", "shingle"])
+    # in the scan itself: what no template has goes before anything is shuffled
+    held = held.join(small_or_not(shingles), ["license", "shingle"])
     # a template's own places, so the sets are bounded by its length
     held = held.groupBy("doc", "doc_id", "license", "words").agg(F.collect_set("place").alias("places"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (SHINGLE - 1))))))

@@ -347,6 +347,15 @@ def test_changed_license_texts(spark):
     assert sum(d >= 40 * len(names) for d, _ in found) > 5
 
 
+def test_license_shingles_meet_templates_before_a_shuffle(spark):
+    """Of documents with a license only the shingles that templates have leave their tasks."""
+    text = " ".join([prose(1, 5000), license_scan.TEXTS["ISC-text"], prose(2, 5000)])
+    out = license_scan.matches(spark.createDataFrame([(i, text) for i in range(8)], "doc_id long, text string").repartition(2))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert rows(out.select("doc_id", "license")) == [(i, "ISC-text") for i in range(8)]
+
+
 def test_license_rows_without_an_id(spark):
     mit = license_scan.NOTICES["MIT"]
     df = spark.createDataFrame([(None, f"{prose(i % 3, 20)} {mit}") for i in range(9)] + [(None, mit[:8])], "doc_id long, text string")
