@@ -35,6 +35,8 @@ BANDS, ROWS = 24, 5
 BLOCK = 128
 #: A set counts once more in its block for each so many shingles; values that are counted at once.
 LONG_SET, AT_ONCE = 20_000, 2_000_000
+#: Bits of a row's number within its bitmap; bitmaps (of 64 words at most) that are broadcast together.
+MAP_BITS, MAPS = 12, 1 << 16
 _SEEDS = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * ROWS), "u8")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 4096
@@ -250,6 +252,45 @@ def components(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined_by(tops, tested(settled(own.union(asking)), sets, long=long))
 
 
+def slices(counts: list[tuple[int, int]], most: int) -> list[int]:
+    """Where ranges begin, besides the first, so that each has `most` at most. counts: (key, number) in order of key."""
+    starts, held = [], 0
+    for key, n in counts:
+        if held and held + n > most:
+            starts.append(key)
+            held = 0
+        held += n
+    return starts
+
+
+def without(sketches: DataFrame, gone: DataFrame, most: int = MAPS) -> DataFrame:
+    """The rows whose rid isn't in gone; they stay where they lie, whatever the number that goes.
+
+    What goes is a bit for each rid. Its bitmaps meet the rows by broadcast, in ranges of rid with `most` bitmaps (some
+    64 MB) each; files have their rids in order, so a range reads its own files and row groups.
+    """
+    words = gone.groupBy(F.shiftright("rid", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rid").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    # at most 64 words each
+    maps = words.groupBy(F.shiftright("word", MAP_BITS - 6).alias("map")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit(63)), "bits"))).alias("words"))
+    maps = settled(maps)
+    # a range counted at once has no more bitmaps than a slice may have
+    width = most.bit_length() - 1
+    counts = maps.groupBy(F.shiftright("map", width).alias("range")).count().orderBy("range").collect()  # two numbers for 2^28 rows or a task
+    starts = [s << (width + MAP_BITS) for s in slices([tuple(r) for r in counts], most)]
+    out = None
+    for a, b in zip([None, *starts], [*starts, None], strict=True):
+        mine, marks = sketches.select("rid", "row"), maps
+        if a is not None:
+            mine, marks = mine.filter(F.col("rid") >= a), marks.filter(F.col("map") >= a >> MAP_BITS)
+        if b is not None:
+            mine, marks = mine.filter(F.col("rid") < b), marks.filter(F.col("map") < b >> MAP_BITS)
+        met = mine.join(F.broadcast(marks), F.shiftright("rid", MAP_BITS) == F.col("map"), "left")
+        bits = F.coalesce(F.try_element_at("words", F.shiftright("rid", 6).bitwiseAND(F.lit(63))), F.lit(0).cast("long"))
+        met = met.filter(F.getbit(bits, F.col("rid").bitwiseAND(F.lit(63)).cast("int")) == 0).select("row.*")
+        out = met if out is None else out.unionAll(met)
+    return out
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies, with the columns of docs."""
     sketches = sketched(docs)
@@ -259,4 +300,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     tied = with_top(nodes.select("fp", "best"), components(nodes, sketches))
     stay = settled(tied.groupBy("top").agg(F.min("best").alias("best")).select("best.rid"))
     gone = settled(sketches.select("rid").join(stay, "rid", "left_anti"))
-    return sketches.select("rid", "row").join(small_or_not(gone), "rid", "left_anti").select("row.*")
+    return without(sketches, gone)

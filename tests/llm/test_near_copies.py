@@ -143,3 +143,15 @@ def test_long_sets_are_dealt_into_more_blocks(spark):
     assert {min(x) for x in found[True]} == {min(x) for x in found[False]} == {1} and len(set().union(*found[True])) == 12 == len(set().union(*found[False]))
     units = near_copies.simhash.dealt(keys.join(heavy, "fp"), 8).select("i", "j").distinct().count()
     assert units > near_copies.simhash.dealt(keys, 8).select("i", "j").distinct().count()
+
+
+@pytest.mark.parametrize("most", [1, 2, 1 << 16])
+def test_rows_that_go_are_taken_out_where_they_lie(spark, most, tmp_path):
+    rids = [(p << 40) + k for p in range(3) for k in (0, 1, 63, 64, 4095, 4096, 9000, 20000)]
+    spark.createDataFrame([(r, (r, None if r % 2 else "x")) for r in rids], "rid long, row struct<rid: long, text: string>").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    sketches = spark.read.parquet(str(tmp_path / "rows"))
+    for drop in ([], rids[::2], rids[:8], rids):
+        out = near_copies.without(sketches, spark.createDataFrame([(r,) for r in drop], "rid long"), most)
+        assert sorted(r["rid"] for r in out.collect()) == sorted(set(rids) - set(drop))
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert near_copies.slices([(1, 2), (4, 1), (5, 3), (9, 1)], 3) == [5, 9]
