@@ -3,10 +3,11 @@
 Text is folded first: case, accents, full-width and look-alike letters, digits and signs that stand for
 letters, and hidden characters. Lexicon entries are words or beginnings of words; their weights
 are log odds over labelled training rows, of which copies and near copies count as one, and each must stand between
-different neighbours (LEAST_CONTEXTS), as words of one much edited document don't. Matches inside an exception phrase
-don't count: some phrases are fixed, others are learned, namely an entry's word with its neighbour on one side, if
-clean documents have it as often as toxic ones. The sum is normalised by length, and a logistic curve through the
-training rows makes it a score.
+different neighbours (LEAST_CONTEXTS), as words of one much edited document don't. Of entries that begin with one another
+the strongest stays, and others only for what it does not match: a stem with many endings is one entry, and a beginning
+is none if only a longer word makes it toxic. Matches inside an exception phrase don't count: some phrases are fixed,
+others are learned, namely an entry's whole word, alone or with its neighbour on one side, if clean documents have it as
+often as toxic ones. The sum is normalised by length, and a logistic curve through the training rows makes it a score.
 
 Bounds of what is learned: about TRAIN_ROWS labelled rows, one for each doc_id; LEXICON entries and PHRASES exceptions, the
 strongest; words of over LONGEST_WORD letters are no entries, their beginnings are. The summed weight counts up to MOST_WEIGHT.
@@ -18,6 +19,7 @@ kinds nothing is learned and every score is 0. An empty table gives no row. Of d
 of labels only doc_id and toxic.
 """
 
+import math
 import re
 import unicodedata
 from bisect import bisect_right
@@ -36,6 +38,8 @@ from .common import sampled, settled
 TRAIN_ROWS = 8000
 #: An entry stands in so many toxic training documents at least, in such a share of them, and so much more often than in others.
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 2.3
+#: Times that a word counts in one training document, at most.
+REPEATS = 3
 #: Words of a shingle by which copies are known.
 COPY_SHINGLE = 5
 SHORTEST, LONGEST, LONGEST_WORD = 4, 9, 40
@@ -160,39 +164,63 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def entries_of(line: str) -> set[str]:
-    """The whole words of a folded text and their beginnings."""
-    found = set()
-    for w in set(line.split()):
+def entries_of(line: str) -> Counter:
+    """The whole words of a folded text and their beginnings, with how often they stand there; a word counts REPEATS times at most."""
+    found = Counter()
+    for w, k in Counter(line.split()).items():
+        k = min(k, REPEATS)
         if len(w) <= LONGEST_WORD:
-            found.add(f" {w} ")
-        for n in range(SHORTEST, min(LONGEST, len(w) - 1) + 1):
-            found.add(f" {w[:n]}")
+            found[f" {w} "] += k
+        for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
+            found[f" {w[:n]}"] += k
     return found
 
 
+def chosen(seen: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Of entries with how often toxic and clean rows have them, those that are kept, and their weights. The strongest come first;
+    what begins with a kept entry is matched by it already, and a beginning of kept ones counts only where they don't match."""
+
+    def odds(t: int, c: int) -> float:
+        return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+
+    kept = {}
+    # of entries at the same places the longest, and of a word and its whole beginning the beginning
+    for e in sorted(seen, key=lambda e: (-odds(*seen[e]) * math.sqrt(seen[e][0]), -len(e.strip()), e.endswith(" "), e)):
+        if any(e.startswith(k) for k in kept):
+            continue
+        inside = [k for k in kept if k.startswith(e)]
+        outer = [k for k in inside if not any(k != j and k.startswith(j) for j in inside)]
+        t, c = (seen[e][i] - sum(seen[k][i] for k in outer) for i in (0, 1))
+        if t >= max(LEAST_DOCS, LEAST_SHARE * toxic) and odds(t, c) >= LEAST_ODDS:
+            kept[e] = odds(t, c)
+    return kept
+
+
 def learned(train: DataFrame) -> dict[str, float]:
-    """Entries and weights. Documents are counted by entry and label: first within each batch, then by Spark."""
+    """Entries and weights. Documents and places are counted by entry and label: first within each batch, then by Spark."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            toxic, clean = Counter(), Counter()
+            docs, toxic, clean = Counter(), Counter(), Counter()
             for text, label in zip(batch.text, batch.toxic, strict=True):
-                (toxic if label == 1 else clean).update(entries_of(folded(text)))
+                found = entries_of(folded(text))
+                (toxic if label == 1 else clean).update(found)
+                if label == 1:
+                    docs.update(found.keys())
             # an entry that no toxic document has can't be chosen, but may have been seen elsewhere
             keys = list(toxic.keys() | clean.keys())
             if keys:
-                yield pd.DataFrame({"entry": keys, "t": [toxic[k] for k in keys], "c": [clean[k] for k in keys]})
+                yield pd.DataFrame({"entry": keys, "n": [docs[k] for k in keys], "t": [toxic[k] for k in keys], "c": [clean[k] for k in keys]})
 
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return {}
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
-    sums = train.mapInPandas(counted, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    best = sums.filter(F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * n[1])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    found = {r["entry"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "entry").limit(LEXICON).collect()}
+    sums = train.mapInPandas(counted, "entry string, n long, t long, c long").groupBy("entry").agg(*(F.sum(k).alias(k) for k in "ntc"))
+    best = sums.filter(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n[1])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+    found = {r["entry"]: (r["t"], r["c"]) for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "entry").limit(LEXICON).collect()}
     wide = spread(train, set(found))
-    return {k: w for k, w in found.items() if k in wide}
+    return chosen({k: v for k, v in found.items() if k in wide}, n[1], n[0])
 
 
 def found_words(machine, text: str) -> Iterator[tuple[str, str, str, str]]:
@@ -231,7 +259,7 @@ def spread(train: DataFrame, entries: set[str]) -> set[str]:
 
 
 def learned_exceptions(train: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
-    """Phrases of two words, one with an entry, that LEAST_DOCS clean rows have, and in no smaller share than toxic ones."""
+    """Words with an entry, alone or with a neighbour, that LEAST_DOCS clean rows have, and in no smaller share than toxic ones."""
     entries = sorted(weights)
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +267,7 @@ def learned_exceptions(train: DataFrame, weights: dict[str, float]) -> tuple[str
         for batch in batches:
             counts = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.text, batch.toxic, strict=True):
-                near = {p for _, before, word, after in found_words(machine, text) for p in ((before, word), (word, after)) if all(p)}
+                near = {p for _, before, word, after in found_words(machine, text) for p in ((word,), (before, word), (word, after)) if all(p)}
                 counts[int(label == 1)].update(" ".join(p) for p in near)
             keys = sorted(counts[0].keys() | counts[1].keys())
             if keys:
@@ -252,16 +280,20 @@ def learned_exceptions(train: DataFrame, weights: dict[str, float]) -> tuple[str
 
 
 def fitted(points: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a little shrinkage."""
-    x, w = np.column_stack([np.ones(len(points)), points]), np.zeros(3)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 1e-2, 1e-2])
-        step = np.linalg.solve(hess, x.T @ (toxic - p) - np.array([0, 1e-2, 1e-2]) * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return tuple(map(float, w))
+    """Logistic regression by Newton steps with a little shrinkage. No weight is negative: a further match never lowers a score."""
+    x, use = np.column_stack([np.ones(len(points)), points]), [0, 1, 2]
+    while True:
+        a, w, shrink = x[:, use], np.zeros(len(use)), np.array([0, 1e-2, 1e-2])[use]
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            hess = (a * (p * (1 - p))[:, None]).T @ a + np.diag(np.maximum(shrink, 1e-6))
+            step = np.linalg.solve(hess, a.T @ (toxic - p) - shrink * w)
+            w += step
+            if np.abs(step).max() < 1e-9:
+                break
+        if (w[1:] >= 0).all():
+            return tuple(float(w[use.index(k)]) if k in use else 0.0 for k in range(3))
+        use = [0, *(k for k, v in zip(use[1:], w[1:], strict=True) if v >= 0)]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
