@@ -280,15 +280,21 @@ def learned_exceptions(train: DataFrame, weights: dict[str, float]) -> tuple[str
 
 
 def fitted(points: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a little shrinkage. No weight is negative: a further match never lowers a score."""
+    """Logistic regression by Newton steps with a little shrinkage, each halved until the loss falls: whole steps may run away where the
+    rows separate well. No weight is negative: a further match never lowers a score."""
     x, use = np.column_stack([np.ones(len(points)), points]), [0, 1, 2]
     while True:
-        a, w, shrink = x[:, use], np.zeros(len(use)), np.array([0, 1e-2, 1e-2])[use]
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            hess = (a * (p * (1 - p))[:, None]).T @ a + np.diag(np.maximum(shrink, 1e-6))
-            step = np.linalg.solve(hess, a.T @ (toxic - p) - shrink * w)
-            w += step
+        a, w, shrink = x[:, use], np.zeros(len(use)), np.array([1e-6, 1e-2, 1e-2])[use]
+
+        def loss(v, a=a, shrink=shrink):
+            return np.logaddexp(0, a @ v).sum() - toxic @ (a @ v) + 0.5 * shrink @ v**2
+
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(shrink), a.T @ (toxic - p) - shrink * w)
+            while np.abs(step).max() >= 1e-9 and loss(w + step) > loss(w):
+                step = step / 2
+            w = w + step
             if np.abs(step).max() < 1e-9:
                 break
         if (w[1:] >= 0).all():

@@ -158,6 +158,17 @@ def test_no_match_lowers_a_score():
     assert toxicity.fitted(np.column_stack([hits, -hits]).astype(float), (hits > 2).astype(float))[2] == 0
 
 
+def test_the_curve_does_not_run_away():
+    """Rows that matches separate, with some labels wrong: texts without a match are clean, those with many toxic."""
+    r = np.random.default_rng(3)
+    for heavy, wrong in ((20.0, 0.0), (60.0, 0.004), (100.0, 0.02)):
+        toxic = (r.random(3000) < 0.1).astype(float)
+        total, n = np.where(toxic == 1, heavy, 0.0), r.integers(20, 4000, 3000)
+        toxic = np.where(r.random(3000) < wrong, 1 - toxic, toxic)
+        a, b, c = toxicity.fitted(np.column_stack([total / np.sqrt(n), total]), toxic)
+        assert a < -2 and b >= 0 and c >= 0 and a + b * heavy / np.sqrt(500) + c * heavy > 0
+
+
 def test_time_is_linear():
     model = toxicity.Model({" clown ": 2.0}, (0.0, 1.0, 0.0))
     took = []
