@@ -9,8 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.vectors import cosine
 
-#: Points of one block of the all-pairs product; a unit of work holds two blocks.
+#: Points of one block of a product, and queries that go with the code at most.
 BLOCK = 4096
+#: Numbers of one side of a unit of work of the all-pairs product, which holds two sides, and groups that a side is dealt into at least.
+NUMBERS, GROUPS = 2**21, 8
+#: Queries and points of a product that is made at once, and numbers of the pairs that are scored again at once.
+TILE, PAIRS = (512, 2048), 2**20
+
+
+def groups(n: int, dim: int, block: int = BLOCK, least: int = GROUPS) -> int:
+    """Groups that n points are dealt into: of `block` points up to `least` groups, and of as many as a unit of work can hold beyond. A
+    point goes once to each group of the other side, so few groups move little."""
+    return max(1, min(-(-n // block), least), -(-n * dim // NUMBERS))
 
 
 def metadata_filter(metadata_type: str | None = None, component_type: str | None = None, table_id: str | None = None, stage: str | None = None, component: str = "component_type", stage_column: str = "stage") -> Column:
@@ -82,16 +92,67 @@ def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
+def _distinct(y: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of rows of which at most so many before them are the same vector; ids are in order, so the others can't be among the best."""
+    most += int(np.unique(ids, return_counts=True)[1].max(initial=1)) - 1  # rows of one id are left out together
+    if len(y) <= most:
+        return np.arange(len(y))
+    same = np.unique(y.view(f"V{y.dtype.itemsize * y.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    first = np.searchsorted(same[order], same[order], "left")
+    return np.sort(order[np.arange(len(y)) - first < most])
+
+
 def _best(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, limit: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, ids and scores of the `limit` best of each query, ties by id."""
+    """query ids, ids and scores of the `limit` best of each query, ties by id.
+
+    Products are made tile by tile in single precision; what could be among the best within its error is scored again in double
+    precision. So memory is that of the two sides and a tile, and few scores are sorted. Rows without finite numbers find nothing.
+    """
     order = np.argsort(ids, kind="stable")
-    ids, score = ids[order], np.round(x @ y[order].T, 12)
-    if exclude_self:
-        score[own[:, None] == ids[None, :]] = -np.inf
-    best = np.argsort(-score, axis=1, kind="stable")[:, :limit]
-    found = np.take_along_axis(score, best, 1).ravel()
-    there = np.isfinite(found)
-    return np.repeat(own, best.shape[1])[there], ids[best].ravel()[there], found[there]
+    ids, y = ids[order], np.ascontiguousarray(y[order])
+    sound, there = np.isfinite(x).all(axis=1), np.isfinite(y).all(axis=1)
+    ids, y, own, x = ids[there], y[there], own[sound], np.ascontiguousarray(x[sound])
+    kept = _distinct(y, ids, limit + 1)
+    ids, y = ids[kept], np.ascontiguousarray(y[kept])
+    dim, few = x.shape[1] if x.ndim > 1 else 1, limit + 1 + int(np.unique(ids, return_counts=True)[1].max(initial=1))
+    slack, x4, y4 = np.float32(4 * (dim + 4) * 2.0**-24), x.astype("f4"), y.astype("f4")
+    parts = []
+
+    def exact(q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of places with their scores, without those of a query with itself."""
+        if exclude_self:
+            other = own[q] != ids[k]
+            q, k = q[other], k[other]
+        step = max(1, PAIRS // dim)
+        score = [np.einsum("nd,nd->n", x[q[i : i + step]], y[k[i : i + step]]) for i in range(0, len(q), step)]
+        return q, k, np.round(np.concatenate(score), 12) if score else np.zeros(0)
+
+    def top(q: np.ndarray, k: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = np.lexsort((k, -score, q))
+        q, k, score = q[by], k[by], score[by]
+        good = np.arange(len(q)) - np.searchsorted(q, q, "left") < limit
+        return q[good], k[good], score[good]
+
+    zero = np.flatnonzero(~x.any(axis=1))  # all scores are 0
+    parts.append(top(*exact(np.repeat(zero, min(few, len(ids))), np.tile(np.arange(min(few, len(ids))), len(zero)))))
+    asking = np.flatnonzero(x.any(axis=1))
+    for start in range(0, len(asking), TILE[0]):
+        rows = asking[start : start + TILE[0]]
+        q4, least, best = x4[rows], np.full(len(rows), -np.inf, "f4"), (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
+        for at in range(0, len(ids), TILE[1]):
+            score = q4 @ y4[at : at + TILE[1]].T
+            if not at and score.shape[1] > few:
+                least = np.partition(score, -few, axis=1)[:, -few]
+            r, c = np.divmod(np.flatnonzero(score >= (least - slack)[:, None]), score.shape[1])
+            for i in range(0, len(r), PAIRS):  # one part as a rule
+                best = top(*(np.concatenate(pair) for pair in zip(best, exact(rows[r[i : i + PAIRS]], c[i : i + PAIRS] + at), strict=True)))
+            n = np.bincount(np.searchsorted(rows, best[0]), minlength=len(rows))
+            full = n >= limit
+            least[full] = np.maximum(least[full], best[2][np.cumsum(n)[full] - 1].astype("f4"))
+        parts.append(best)
+    q, k, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return own[q], ids[k], score
 
 
 def product(dim: int, limit: int, exclude_self: bool) -> Callable[[pa.Table], pa.Table]:
@@ -113,7 +174,7 @@ def batch_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude
     """(query_id, id, score, rank): exact top-k of queries(query_id, vector) among points(id, vector).
 
     Up to `block` queries go to every task with the code, and points stay where they are. Of more, both sides are dealt
-    into blocks, and each pair of blocks is a matrix product in one task. Either way a product gives `limit` rows a
+    into groups (`groups`), and each pair of groups is one task's product, made tile by tile. Either way a product gives `limit` rows a
     query, whose best are merged; scores of all pairs never leave a task. Points and queries without a vector, or
     with one of another dimension than the first query's, find nothing.
     """
@@ -141,7 +202,7 @@ def batch_search(points: DataFrame, queries: DataFrame, limit: int = 10, exclude
 
         return _ranked(points.mapInArrow(products, out), limit)
 
-    a, b = max(1, -(-asked.count() // block)), max(1, -(-points.count() // block))
+    a, b = groups(asked.count(), dim, block), groups(points.count(), dim, block)
 
     def dealt(df: DataFrame, key: str, own: int, other: int, side: int) -> DataFrame:
         mine, all_ = F.pmod(F.xxhash64(key), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))

@@ -282,6 +282,38 @@ def test_search_of_stored_blocks(spark, tmp_path):
     assert search.batch_search_blocks(spark, none, asked, 3).count() == 0
 
 
+def test_products_hold_a_tile_only():
+    """Few bytes beside the two sides, and the same rows as scores of all pairs, copies, zeros and repeated ids among them."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.standard_normal((4096, 16))
+    x[100:900], x[1000:1100], x[2000:2010, 3] = x[99], 0, np.nan
+    x /= np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    ids = r.permutation(4000)[np.arange(4096) % 4000]
+    tracemalloc.start()
+    found = search._best(ids, x, ids, x, 5, True)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # all scores are 134 MB
+    tracemalloc.stop()
+    order = np.argsort(ids, kind="stable")
+    for at in (3, 99, 500, 1050, 4050):
+        score = np.round(np.einsum("nd,d->n", x[order], x[at]), 12)
+        score[(ids[order] == ids[at]) | np.isnan(score)] = -np.inf
+        best = np.argsort(-score, kind="stable")[:5]
+        mine = found[0] == ids[at]
+        got = {(i, s) for i, s in zip(found[1][mine], found[2][mine])}
+        assert {(i, s) for i, s in zip(ids[order][best], score[best])} <= got
+    assert not np.isin(ids[2000:2010], found[0]).any()
+
+
+def test_many_points_are_dealt_into_few_groups():
+    """How often a point is sent: once for each group of the other side."""
+    assert search.groups(615_384, 64, 1024) == 19 and search.groups(102_564, 64, 1024) == 8 == search.groups(8000, 64, 1000)
+    assert search.groups(100, 64) == 1 == search.groups(0, 64) and search.groups(100_000, 4096) == 196
+
+
 def test_search_plan(spark):
     p = points(spark)
     plan = search.semantic_search(p, [1.0] * 8, 5, metadata_type="columns")._jdf.queryExecution().executedPlan().toString()
