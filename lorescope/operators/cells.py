@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..sources import manifest
 from .joins import settled, small_or_not
-from .search import BLOCK, _matrix, _ranked, product, top_k
+from .search import BLOCK, _matrix, _ranked, groups, product, top_k
 
 #: Cells at most; points that a cell has on average, at least; vectors at most that centroids are fitted on.
 CELLS, POINTS_A_CELL, SAMPLE = 512, 4096, 20_000
+#: Groups that a large cell is dealt into at least; cells are units of work by themselves.
+CELL_GROUPS = 2
 #: Angles are right to about the root of a double's precision.
 SLACK = 1e-6
 
@@ -177,11 +179,11 @@ def _targets(index: Index, first: dict, floor: bool):
 def _scored(asked: DataFrame, points: DataFrame, index: Index, limit: int, exclude_self: bool, block: int) -> DataFrame:
     """(query_id, id, score) from products of blocks: asked(query_id, vector, cell, targets) with the points of their targets.
 
-    A cell of more than `block` points is dealt into blocks by the ids' hash, whoever's cell it is. Points go only where a
-    query of a block asks for their cell.
+    A cell of more than `block` points is dealt into groups (`search.groups`) by the ids' hash, whoever's cell it is. Points go only where a
+    query of a group asks for their cell; products are made tile by tile.
     """
     spark = asked.sparkSession
-    blocks = [(c, max(1, -(-int(k) // block))) for c, k in enumerate(index.n)]
+    blocks = [(c, groups(int(k), index.dim, block, CELL_GROUPS)) for c, k in enumerate(index.n)]
     sizes = F.broadcast(spark.createDataFrame(blocks, "c int, blocks int"))  # a row for each cell
     own = asked.join(sizes.withColumnRenamed("c", "cell"), "cell").select("query_id", "vector", "cell", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("i"), F.explode("targets").alias("target"))
     wanted = settled(own.select("cell", "i", "target").distinct())  # a row for each block of queries and cell

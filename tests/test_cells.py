@@ -56,6 +56,16 @@ def test_all_pairs_leave_most_out(spark, clustered):
     assert cells.share_read(spark, index, found, 5) < 0.25
 
 
+def test_a_large_cell_is_dealt_into_few_groups(spark, tmp_path):
+    """One cell with all points: dealt out, with the scan's rows, and not once for each block of 4,096."""
+    assert search.groups(76_923, 64, least=cells.CELL_GROUPS) == 3
+    df = frame(spark, vectors(500, 4, 0.3))
+    index = cells.build(df, str(tmp_path / "one"), n_cells=1)
+    near = cells._scored(cells.rows(spark, index).select(F.col("id").alias("query_id"), "vector", "cell", F.array("cell").alias("targets")), cells.rows(spark, index), index, 3, True, 50)
+    assert near.count() == 500 * 3 * cells.CELL_GROUPS  # the best of each group
+    assert plain(cells.all_nearest(spark, index, 3, block=50)) == plain(search.all_similar(df, 3))
+
+
 def test_few_probes_find_most(spark, clustered):
     df, index = clustered
     want = {t[:2] for t in plain(search.all_similar(df, 5))}
