@@ -852,13 +852,13 @@ def o50b(spark, sf_dir):
     li, base = table(spark, sf_dir, "lineitem").select(*_PROFILED), snapshots.new_path(spark, "profiles")
     for k in range(3):
         sketches.save(sketches.sketched(li.filter(F.col("l_orderkey") % 3 == k)), base, f"run {k}")
-    out = sketches.estimated(sketches.merged(sketches.load(spark, base)), (0.48, 0.52))
-    exact = li.agg(*[F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("distinct"), (F.percentile_approx(c, 0.5, F.lit(1_000_000)) if c != "l_returnflag" else F.lit(None)).cast("double").alias("median")).alias(c) for c in _PROFILED])
-    exact = exact.select(F.explode(F.array(*_PROFILED)).alias("e")).select("e.*")
-    near = (F.abs(F.col("unique_count") / F.col("distinct") - 1) < 0.08).alias("distinct_near")
-    median = F.coalesce(F.col("median").between(F.col("quantiles")[0], F.col("quantiles")[1]), F.col("median").isNull()).alias("median_near")
+    out = sketches.held_against(sketches.estimated(sketches.merged(sketches.load(spark, base)), (0.48, 0.52)), li)
+    near = ((F.col("unique_count") == F.col("distinct")) | (F.abs(F.col("unique_count") - F.col("distinct")) < 0.08 * F.col("distinct"))).alias("distinct_near")
+    # the median is the first value that half of the values are up to
+    half = F.ceil(F.col("filled") / 2)
+    median = (F.col("quantiles").isNull() | ((F.col("under") < half) & (F.col("upto") >= half))).alias("median_near")
     number = lambda c: F.col(c).try_cast("double")
-    return out.join(exact, "column_name").select("column_name", "rows", number("min").alias("low"), number("max").alias("high"), F.round("avg", 6).alias("mean"), near, median)
+    return out.select("column_name", "rows", number("min").alias("low"), number("max").alias("high"), F.round("avg", 6).alias("mean"), near, median)
 
 
 @query("o51_completeness", "select round(count(email) * 1.0 / count(*), 9)::double as email, round(count(acctbal) * 1.0 / count(*), 9)::double as acctbal from emails")

@@ -70,3 +70,17 @@ def test_one_pass(spark, rows):
     """No row is multiplied for the numbers of different values."""
     plan = sketches.sketched(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_estimates_are_held_against_counts(spark, rows):
+    """Exact figures from counts of equal values: the plan sorts no values into a percentile and multiplies no row."""
+    found = sketches.estimated(sketches.merged(sketches.sketched(rows)), (0.48, 0.52))
+    out = sketches.held_against(found, rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "Expand" not in plan
+    got, values = of(out), [r["x"] for r in rows.collect() if r["x"] is not None]
+    low, high = got["x"]["quantiles"]
+    assert (got["x"]["under"], got["x"]["upto"]) == (sum(v < low for v in values), sum(v <= high for v in values))
+    assert (got["x"]["filled"], got["x"]["distinct"]) == (18_000, len(set(values))) and (got["name"]["distinct"], got["name"]["filled"]) == (4, 20_000)
+    none = of(sketches.held_against(sketches.estimated(sketches.sketched(rows.limit(0)), (0.48, 0.52)), rows.limit(0)))
+    assert {(r["rows"], r["distinct"], r["filled"]) for r in none.values()} == {(0, 0, 0)} and len(none) == 4
