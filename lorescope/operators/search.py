@@ -234,12 +234,32 @@ def store_blocks(points: DataFrame, path: str, block: int = BLOCK) -> str:
     return path
 
 
-def batch_search_blocks(spark: SparkSession, path: str, queries: DataFrame, limit: int = 10, exclude_self: bool = False, most: int = BLOCK) -> DataFrame:
-    """batch_search() over stored blocks: one product a block, nothing to decode. Up to `most` queries(query_id, vector); ValueError beyond
-    (more queries are points of their own, for batch_search() or an index)."""
-    asked = queries.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())).limit(most + 1).toArrow()
-    if asked.num_rows > most:
-        raise ValueError(f"more than {most} queries")
+def _rows(stored: DataFrame) -> DataFrame:
+    """Points(id, vector) of stored blocks."""
+    kind = stored.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, dim, width, matrix = (batch.column(c)[k] for c in ("ids", "dim", "width", "matrix"))
+                m = np.frombuffer(matrix.as_py(), width.as_py()).astype("f8")
+                yield pa.RecordBatch.from_arrays([ids.values, pa.ListArray.from_arrays(pa.array(np.arange(0, len(m) + 1, dim.as_py()), "i4"), pa.array(m))], ["id", "vector"])
+
+    return stored.mapInArrow(run, f"id {kind}, vector array<double>")
+
+
+def batch_search_blocks(spark: SparkSession, path: str, queries: DataFrame, limit: int = 10, exclude_self: bool = False, most: int | None = None) -> DataFrame:
+    """batch_search() over stored blocks: up to BLOCK queries(query_id, vector) go with the code, to one product a block and nothing to decode.
+    Of more, the blocks' points are dealt out as batch_search() does. ValueError beyond `most` queries, if that is given."""
+    here = BLOCK if most is None else most
+    sound = queries.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    asked = sound.limit(here + 1).toArrow()  # at most here + 1 vectors
+    if asked.num_rows > here:
+        if most is not None:
+            raise ValueError(f"more than {most} queries")
+        stored = spark.read.parquet(path)
+        first = stored.select("dim").first()
+        return batch_search(_rows(stored), sound.filter(F.size("vector") == (first["dim"] if first else -1)), limit, exclude_self)
     stored = spark.read.parquet(path)
     out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {stored.schema['ids'].dataType.elementType.simpleString()}, score double"
     if not asked.num_rows:

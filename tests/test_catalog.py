@@ -314,6 +314,16 @@ def test_many_points_are_dealt_into_few_groups():
     assert search.groups(100, 64) == 1 == search.groups(0, 64) and search.groups(100_000, 4096) == 196
 
 
+def test_many_queries_of_stored_blocks(spark, tmp_path, monkeypatch):
+    """More queries than go with the code."""
+    df = spark.createDataFrame([(i, [float((i * k * 7919) % 13 - 6) for k in range(1, 9)]) for i in range(300)], "id long, vector array<float>")
+    asked = df.select(F.col("id").alias("query_id"), "vector")
+    at = search.store_blocks(df.repartition(2), str(tmp_path / "blocks"), 64)
+    want = rows(search.batch_search(df, asked, 3, True))
+    monkeypatch.setattr(search, "BLOCK", 40)
+    assert rows(search.batch_search_blocks(spark, at, asked, 3, True)) == want and len(want) == 900
+
+
 def test_search_plan(spark):
     p = points(spark)
     plan = search.semantic_search(p, [1.0] * 8, 5, metadata_type="columns")._jdf.queryExecution().executedPlan().toString()
