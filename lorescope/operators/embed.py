@@ -1,18 +1,20 @@
 """Embedding through a pluggable batch provider."""
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..sources import manifest, points
 from .joins import settled, with_totals
 
 Provider = Callable[[list[str]], list[list[float]]]
+#: Rows that go on from a task at once.
+ROWS = 1000
 
 
-def batched(items: list, size: int) -> Iterator[list]:
+def batched(items: Sequence, size: int) -> Iterator[Sequence]:
     for k in range(0, len(items), size):
         yield items[k : k + size]
 
@@ -38,20 +40,23 @@ def embed(df: DataFrame, text: str, make: Callable[[], Provider], batch_size: in
     """df with `vector` (array<float>). `make` builds the provider once for each task; a provider that
     gives another number of vectors than texts is an error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = with_retries(make(), retries, delay)
-        for frame in batches:
-            vectors: list[list[float]] = []
-            for part in batched(frame[text].tolist(), batch_size):
-                found = call(part)
-                if len(found) != len(part):
-                    raise ValueError(f"{len(part)} texts, {len(found)} vectors")
-                vectors += found
-            yield frame.assign(vector=vectors)
-
-    from pyspark.sql import types as T
-
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+        for whole in batches:
+            for rows in batched(range(whole.num_rows), max(1, ROWS // batch_size) * batch_size):
+                vectors = []
+                for few in batched(rows, batch_size):
+                    texts = whole.column(at).slice(few[0], len(few)).to_pylist()  # copied for one call only
+                    found = call(texts)
+                    if len(found) != len(texts):
+                        raise ValueError(f"{len(texts)} texts, {len(found)} vectors")
+                    vectors.append(pa.array(found, pa.list_(pa.float32())))
+                part = whole.slice(rows[0], len(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.concat_arrays(vectors)], [*part.schema.names, "vector"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
 def embed_stored(df: DataFrame, text: str, make: Callable[[], Provider], base: str, dim: int, model: str = "default", batch_size: int = 10, retries: int = 3, delay: float = 1.0) -> DataFrame:

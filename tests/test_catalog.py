@@ -224,6 +224,24 @@ def test_embed(spark):
         embed.embed(df, "text", lambda: lambda texts: [[1.0]]).collect()
 
 
+def test_texts_are_copied_for_one_call_only(spark):
+    """All texts of a task's rows are never Python objects at once."""
+
+    def make():
+        import gc
+
+        def call(texts):
+            held = sum(isinstance(x, str) and len(x) == 4321 for o in gc.get_objects() if type(o) is list for x in o)
+            return [[float(held), float(len(t or ""))] for t in texts]
+
+        return call
+
+    df = spark.range(60).coalesce(1).select("id", F.when(F.col("id") != 7, F.rpad(F.col("id").cast("string"), 4321, "x")).alias("text"), F.current_timestamp().alias("at"))
+    out = embed.embed(df, "text", make, batch_size=10).select("id", "vector").collect()
+    assert [r["vector"][1] for r in sorted(out)] == [0.0 if i == 7 else 4321.0 for i in range(60)]
+    assert max(r["vector"][0] for r in out) <= 10
+
+
 def points(spark, n=40):
     import numpy as np
 
