@@ -655,11 +655,20 @@ scores as (select c.id, c.metadata_type, c.table_id, c.lang, coalesce(sum(n * m)
 select id, metadata_type, table_id, lang, round(s, 6) as score from scores where {where} order by round(s, 9) desc, id limit {limit}"""
 
 
+#: Texts that one task embeds, so that a task's work does not grow with the table.
+TEXTS_A_TASK = 8192
+
+
+def parts_of(n: int, least: int) -> int:
+    return max(least, -(-n // TEXTS_A_TASK))
+
+
 def stored(spark: SparkSession, sf_dir: str) -> str:
     """Where the points of the collection view are; they are embedded and upserted once for each session and folder."""
     base = f"{snapshots.shared_dir(spark)}/collection-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
     if points.is_empty(spark, base):
-        embedded = vectors.hash_embed(view(spark, sf_dir, "collection").repartition(spark.sparkContext.defaultParallelism), "text")
+        texts = view(spark, sf_dir, "collection")
+        embedded = vectors.hash_embed(texts.repartition(parts_of(texts.count(), spark.sparkContext.defaultParallelism)), "text")
         points.upsert_points(base, embedded.withColumn("seq", F.lit(1)), ["seq"], 64)
     return base
 

@@ -355,6 +355,12 @@ def test_vectors(spark):
     assert sum(x * x for x in out[0]["vector"]) == pytest.approx(1) and set(out[1]["vector"]) == {0.0} == set(out[2]["vector"])
 
 
+def test_texts_of_a_task_are_bounded():
+    from lorescope.plans import queries
+
+    assert (queries.parts_of(100, 8), queries.parts_of(3_000_000, 12)) == (8, 367)
+
+
 def test_linked_tables_one_hop(spark):
     d = spark.createDataFrame([("a", "A", None, "b", "B"), ("b", "B", "of b", "c", "C"), ("z", "Z", None, None, None)], "id string, name string, description string, source_id string, source_name string")
     resolved = shape.resolve_linked_tables(d)
