@@ -332,6 +332,29 @@ def test_many_points_are_dealt_into_few_groups():
     assert search.groups(100, 64) == 1 == search.groups(0, 64) and search.groups(100_000, 4096) == 196
 
 
+def test_a_unit_of_batch_search_is_bounded():
+    """However large the table, a pair of groups has NUMBERS a side at most, and its product holds few bytes beside them."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    most = search.NUMBERS // 64
+    assert all(n / search.groups(n, 64) <= most for n in (12_308, 102_564, 615_384, 10_000_000))
+    r, n = np.random.default_rng(7), 3000 + most
+    m = r.standard_normal((n, 64)).astype("f4")
+    side = pa.array(np.arange(n) >= 3000).cast("int32")
+    part = pa.table({"key": pa.array(np.arange(n)), "vector": pa.ListArray.from_arrays(pa.array(np.arange(0, n * 64 + 1, 64), "i4"), pa.array(m.ravel())), "side": side})
+    tracemalloc.start()
+    found = search.product(64, 10, True)(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and found.num_rows == 30_000  # all scores are 786 MB
+    score = m[3000:].astype("f8") @ m[5] / np.linalg.norm(m[3000:].astype("f8"), axis=1)
+    got = found.filter(pa.compute.equal(found["query_id"], 5)).sort_by([("score", "descending")])["id"].to_pylist()
+    assert got == (3000 + np.argsort(-score)[:10]).tolist()
+
+
 def test_many_queries_of_stored_blocks(spark, tmp_path, monkeypatch):
     """More queries than go with the code."""
     df = spark.createDataFrame([(i, [float((i * k * 7919) % 13 - 6) for k in range(1, 9)]) for i in range(300)], "id long, vector array<float>")
